@@ -155,11 +155,14 @@ def _along_u(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _along_v(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
     columns = ["name", "cu", "cv", "coefs"]
+    nothing = pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
     if rows.empty or wanted.empty:
-        return pd.DataFrame({c: [] for c in columns})
+        return nothing
     cells, blocks = _rows_to_blocks(rows, "cv")
     # Blocks are [u power, v power]; carry the v axis.
     targets, moved = _carry(cells, blocks.transpose(0, 2, 1), wanted["cv"].to_numpy())
+    if not len(targets):
+        return nothing
     coefs = moved.transpose(0, 2, 1).reshape(len(targets), -1)
     return pd.DataFrame({
         "name": rows["name"].iat[0], "cu": rows["cu"].iat[0], "cv": targets, "coefs": list(coefs),

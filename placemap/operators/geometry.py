@@ -74,13 +74,23 @@ def lcc_forward(points: DataFrame, anchor: str) -> DataFrame:
     )
 
 
-def lcc_inverse(points: DataFrame, origin: DataFrame) -> DataFrame:
-    """``x_km, y_km`` to ``lon, lat``; ``origin`` gives each run's anchor as ``lon0, lat0``."""
-    ox, oy = lcc_xy(F.col("lon0"), F.col("lat0"))
+Origin = DataFrame | tuple[float, float]
+
+
+def lcc_inverse(points: DataFrame, origin: Origin) -> DataFrame:
+    """``x_km, y_km`` to ``lon, lat``.
+
+    ``origin`` is the anchor's (lon, lat) for all runs, or a table with ``lon0, lat0`` per run.
+    """
+    if isinstance(origin, tuple):
+        ox, oy = lcc_xy(F.lit(float(origin[0])), F.lit(float(origin[1])))
+        placed = points.withColumns({"_ox": ox, "_oy": oy})
+    else:
+        ox, oy = lcc_xy(F.col("lon0"), F.col("lat0"))
+        placed = _beside(points, origin.select(KEY, ox.alias("_ox"), oy.alias("_oy")))
     lon, lat = lcc_lonlat(F.col("_x"), F.col("_y"))
     return (
-        _beside(points, origin.select(KEY, ox.alias("_ox"), oy.alias("_oy")))
-        .withColumn("_x", F.col("x_km") * 1000 + F.col("_ox"))
+        placed.withColumn("_x", F.col("x_km") * 1000 + F.col("_ox"))
         .withColumn("_y", -F.col("y_km") * 1000 + F.col("_oy"))
         .select(*points.columns, lon.alias("lon"), lat.alias("lat"))
     )
@@ -102,9 +112,8 @@ def km_to_px(points: DataFrame, ref=REFERENCE_POINT) -> DataFrame:
     })
 
 
-def positions_to_lonlat(positions: DataFrame, truth: DataFrame, anchor: str, ref=REFERENCE_POINT) -> DataFrame:
-    """Canvas positions as ``lon, lat`` on the map."""
-    origin = anchor_rows(truth, anchor, lon0="lon", lat0="lat")
+def positions_to_lonlat(positions: DataFrame, origin: Origin, ref=REFERENCE_POINT) -> DataFrame:
+    """Canvas positions as ``lon, lat``; ``origin`` lies on the reference pixel."""
     return lcc_inverse(px_to_km(positions, ref), origin).drop("x_km", "y_km")
 
 
