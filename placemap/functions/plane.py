@@ -7,7 +7,8 @@ from placemap.constants import KM_PER_PX, LI_KM, LI_PER_PX
 
 
 def dist(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return F.hypot(x2 - x1, y2 - y1)
+    dx, dy = x2 - x1, y2 - y1
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def dot(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -9,10 +9,11 @@ stays below 1e-10 of the kernel's peak.
 """
 
 import math
-from functools import cache
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,10 @@ TERMS = 16
 REACH = 18  # cells; beyond 9 kernel widths the kernel is below 1e-17
 _COEF = [f"c{b}" for b in range(TERMS)]
 BLOCK = 1024  # targets per numpy block
+_MADE: dict[str, np.ndarray] = {}  # per worker
+
+# Executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 # --- eligibility and moments ------------------------------------------------------------------------
@@ -100,9 +105,10 @@ def _round_coordinates(points: DataFrame, kernel: DataFrame) -> DataFrame:
     })
 
 
-@cache
 def _step_matrices() -> np.ndarray:
     """[step, power of target, power of source] of exp(-(step * WIDTH + t - s)**2 / 2)."""
+    if "steps" in _MADE:
+        return _MADE["steps"]
     out = np.zeros((2 * REACH + 1, TERMS, TERMS))
     fact = [math.factorial(m) for m in range(2 * TERMS)]
     for step in range(-REACH, REACH + 1):
@@ -117,6 +123,7 @@ def _step_matrices() -> np.ndarray:
                 sign = (-1) ** m * (-1) ** j
                 weight = sign * hermite[m] * math.exp(-delta * delta / 2) / fact[m]
                 out[step + REACH, i, j] = weight * (fact[m] / (fact[i] * fact[j]))
+    _MADE["steps"] = out
     return out
 
 
@@ -126,12 +133,11 @@ def _carry(cells: np.ndarray, blocks: np.ndarray, wanted: np.ndarray | None) ->
     around = np.unique((cells[:, None] + np.arange(-REACH, REACH + 1)[None, :]).ravel())
     targets = around if wanted is None else np.intersect1d(around, wanted)
     out = np.zeros((len(targets), TERMS, blocks.shape[2]))
-    where = {cell: i for i, cell in enumerate(cells.tolist())}
     for step in range(-REACH, REACH + 1):
-        pairs = [(i, where[t - step]) for i, t in enumerate(targets.tolist()) if t - step in where]
-        if pairs:
-            to, source = (list(side) for side in zip(*pairs))
-            out[to] += np.einsum("ij,kjb->kib", steps[step + REACH], blocks[source])
+        source = np.minimum(np.searchsorted(cells, targets - step), len(cells) - 1)
+        hit = cells[source] == targets - step
+        if hit.any():
+            out[hit] += steps[step + REACH] @ blocks[source[hit]]
     return targets, out
 
 

@@ -32,3 +32,14 @@ def with_endpoints(edges: DataFrame, positions: DataFrame, salts: int = 1) -> Da
     first = [KEY, "place_a"] if KEY in edges.columns else ["place_a"]
     found = salted_join(edges, start, first, salts)
     return salted_join(found, end, [KEY, "place_b"], salts)
+
+
+def spread(table: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition into the session's number of shuffle partitions and keep that number.
+
+    For small tables whose rows cause much work each; adaptive execution would merge their partitions by
+    size and leave most cores idle. The extra hash keeps the optimizer from taking the columns' present
+    partitioning for this one.
+    """
+    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(partitions, F.xxhash64(*columns))

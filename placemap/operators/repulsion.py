@@ -7,41 +7,50 @@ series; with ``ORDER`` terms the series is exact to about twelve digits. Both pa
 keys followed by sums, and a crowded spot only gets smaller cells.
 """
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placemap.constants import KEY, MIN_DISTANCE, REPULSION_STRENGTH
+from placemap.operators.joins import spread
 
 ORDER = 24  # series terms
 NEAR = 2  # cells up to this many steps away are summed exactly
 CELL = [KEY, "level", "cx", "cy"]
-_RE = [f"re{m}" for m in range(ORDER)]
-_IM = [f"im{m}" for m in range(ORDER)]
+
+# A series travels between tasks as the bytes of its ORDER complex numbers.
+_SERIES = T.StructType(
+    [T.StructField(KEY, T.LongType())] + [T.StructField(c, T.IntegerType()) for c in CELL[1:]]
+    + [T.StructField("series", T.BinaryType())]
+)
+_FIELD = T.StructType([T.StructField(KEY, T.LongType())] + [T.StructField(c, T.DoubleType()) for c in "x y ex ey".split()])
+
+# Executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _points(positions: DataFrame) -> DataFrame:
-    """Distinct coordinates with their number of places and the root square of their run."""
+    """Distinct coordinates of every run with their number of places."""
     spots = positions.groupBy(KEY, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
-    roots = spots.groupBy(KEY).agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"), F.count(F.lit(1)).alias("n"),
-        F.when(extent > 0, extent * (1 + 1e-9)).otherwise(1.0).alias("side"),
-    )
-    return spots.join(roots, KEY)
+    return spread(spots, KEY, "x", "y")
 
 
-def _in_cells(points: DataFrame, leaf: int, min_d: float) -> DataFrame:
-    """One row per point and level. A run of at most ``leaf`` points is one cell of level 0."""
-    # Cells two apart must not come closer than min_d, where the law changes.
-    deepest = F.least(F.floor(F.log2(2 * F.col("side") / min_d)), F.lit(24)).cast("int")
-    small = (F.col("n") <= leaf) | (deepest < 2)
-    levels = F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(2), F.greatest(deepest, F.lit(2))))
-    rows = points.withColumn("deepest", F.when(small, 0).otherwise(deepest)).withColumn("level", F.explode(levels))
+def _in_cells(points: DataFrame, min_d: float) -> DataFrame:
+    """One row per point and level, all runs in one root square."""
+    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    root = points.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), extent.alias("extent"))
+    # Cells more than NEAR apart must not come closer than min_d, where the law changes.
+    side = F.greatest("extent", F.lit(4 * min_d)) * (1 + 1e-9)
+    deepest = F.least(F.floor(F.log2(2 * side / min_d)), F.lit(28)).cast("int")
+    root = root.select(F.struct("x0", "y0", side.alias("side"), deepest.alias("deepest")).alias("root"))
+    rows = points.withColumn("_root", root.scalar()).select("*", "_root.*").drop("_root")
+    rows = rows.withColumn("level", F.explode(F.sequence(F.lit(2), F.col("deepest"))))
     rows = rows.withColumn("cell", F.col("side") / F.pow(F.lit(2.0), F.col("level")))
     return rows.withColumns({
         "cx": F.floor((F.col("x") - F.col("x0")) / F.col("cell")).cast("int"),
@@ -49,7 +58,6 @@ def _in_cells(points: DataFrame, leaf: int, min_d: float) -> DataFrame:
     })
 
 
-
 def _half(cell: Column) -> Column:
     return F.shiftright(cell, 1)
 
@@ -62,46 +70,55 @@ def _centred(rows: DataFrame) -> DataFrame:
     })
 
 
-_CELL_FIELDS = [T.StructField(KEY, T.LongType())] + [T.StructField(c, T.IntegerType()) for c in CELL[1:]]
-_SERIES = T.StructType(_CELL_FIELDS + [T.StructField(c, T.DoubleType()) for c in _RE + _IM])
-_FIELD = T.StructType([T.StructField(KEY, T.LongType())] + [T.StructField(c, T.DoubleType()) for c in "x y ex ey".split()])
+def _unpack(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=complex).reshape(-1, ORDER)
+
 
+def _by_cell(batch: pd.DataFrame, series: np.ndarray) -> pd.DataFrame:
+    """Sum rows of complex numbers per cell."""
+    code = batch.groupby(CELL, sort=False).ngroup().to_numpy()
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    sums = np.add.reduceat(series[order], starts, axis=0)
+    return batch[CELL].iloc[order[starts]].assign(series=[row.tobytes() for row in sums])
 
-def _series_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _start_series(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sums of w * (offset as a complex number) ** m for the cells of each batch."""
     for batch in batches:
-        groups = batch.groupby(CELL, sort=False)
-        offset = batch["u"].to_numpy() + 1j * batch["v"].to_numpy()
-        power = batch["w"].to_numpy().astype(complex)
-        code, count = groups.ngroup().to_numpy(), groups.ngroups
-        out = groups.head(1)[CELL].reset_index(drop=True)
-        sums = {}
-        for re, im in zip(_RE, _IM):
-            sums[re] = np.bincount(code, power.real, count)
-            sums[im] = np.bincount(code, power.imag, count)
-            power = power * offset
-        yield pd.concat([out, pd.DataFrame(sums)[_RE + _IM]], axis=1)
+        if len(batch):
+            offset = batch["u"].to_numpy() + 1j * batch["v"].to_numpy()
+            yield _by_cell(batch, np.vander(offset, ORDER, increasing=True) * batch["w"].to_numpy()[:, None])
 
 
-def _sum_series(parts: DataFrame) -> DataFrame:
-    return parts.groupBy(*CELL).agg(*[F.expr(f"sum({c}) AS {c}") for c in _RE + _IM])
+def _add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sum neighbouring rows of one cell; the last cell of a batch waits for the next batch."""
+    open_cell = None
+    for batch in batches:
+        if open_cell is not None:
+            batch = pd.concat([open_cell, batch])
+        if len(batch):
+            sums = _by_cell(batch, _unpack(batch["series"]))
+            open_cell = sums.iloc[-1:]
+            yield sums.iloc[:-1]
+    if open_cell is not None:
+        yield open_cell
 
 
-def _series(rows: DataFrame) -> DataFrame:
-    """Series of every cell."""
-    return _sum_series(_centred(rows).select(*CELL, "u", "v", "w").mapInPandas(_series_batches, _SERIES))
+def _total(parts: DataFrame) -> DataFrame:
+    """One series per cell from the partial sums of all tasks."""
+    return parts.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(_add_up, _SERIES)
 
 
-def _field_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_field(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Value of the field series at each point."""
     for batch in batches:
-        offset = batch["u"].to_numpy() + 1j * batch["v"].to_numpy()
-        value = np.zeros(len(batch), dtype=complex)
-        for re, im in zip(reversed(_RE), reversed(_IM)):
-            value = value * offset + (batch[re].to_numpy() + 1j * batch[im].to_numpy())
-        value /= batch["cell"].to_numpy()
-        # The field of 1/z is the conjugate of the force direction.
-        yield batch[[KEY, "x", "y"]].assign(ex=value.real, ey=-value.imag)
+        if len(batch):
+            offset = batch["u"].to_numpy() + 1j * batch["v"].to_numpy()
+            value = (_unpack(batch["series"]) * np.vander(offset, ORDER, increasing=True)).sum(axis=1)
+            value /= batch["cell"].to_numpy()
+            # The field of 1/z is the conjugate of the force direction.
+            yield batch[[KEY, "x", "y"]].assign(ex=value.real, ey=-value.imag)
 
 
 def _shift_matrix(dx: int, dy: int) -> np.ndarray:
@@ -116,26 +133,27 @@ def _shift_matrix(dx: int, dy: int) -> np.ndarray:
     return matrix
 
 
-def _shift_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shift_series(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Field series of the target cells, summed over the sources within a batch."""
     matrices: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        series = batch[_RE].to_numpy() + 1j * batch[_IM].to_numpy()
+        if not len(batch):
+            continue
+        series = _unpack(batch["series"])
         moved = np.empty_like(series)
         for (dx, dy), at in batch.groupby(["dx", "dy"]).indices.items():
             key = (int(dx), int(dy))
             if key not in matrices:
                 matrices[key] = _shift_matrix(*key)
             moved[at] = series[at] @ matrices[key]
-        out = batch[CELL].copy()
-        out[_RE], out[_IM] = moved.real, moved.imag
-        yield out
+        yield _by_cell(batch, moved)
 
 
 def _far_field(active: DataFrame, cells: DataFrame) -> DataFrame:
     """Field of all far cells at every point; ``cells`` are the points of all levels."""
     # Partners: children of the parent's near cells that are not near themselves.
     low, high = -2 * NEAR, 2 * NEAR + 1
-    targets = active.filter(F.col("level") > 0).select(*CELL).distinct()
+    targets = spread(active.select(*CELL).distinct(), *CELL)
 
     def reach(cell: str) -> Column:
         odd = F.pmod(F.col(cell), F.lit(2))
@@ -151,61 +169,62 @@ def _far_field(active: DataFrame, cells: DataFrame) -> DataFrame:
     )
     source_keys = [KEY, "level", "sx", "sy"]
     sources = cells.join(wanted.select(*source_keys).distinct().toDF(*CELL), CELL, "left_semi")
-    series = _series(sources).withColumnsRenamed({"cx": "sx", "cy": "sy"})
-    moved = wanted.join(series, source_keys).select(*CELL, "dx", "dy", *_RE, *_IM)
-    fields = _sum_series(moved.mapInPandas(_shift_batches, _SERIES))
+    series = _total(_centred(sources).select(*CELL, "u", "v", "w").mapInPandas(_start_series, _SERIES))
+    moved = wanted.join(series.toDF(*source_keys, "series"), source_keys).select(*CELL, "dx", "dy", "series")
+    fields = _total(moved.mapInPandas(_shift_series, _SERIES))
     here = _centred(active).select(*CELL, "x", "y", "u", "v", "cell").join(fields, CELL)
-    return here.drop(*CELL[1:]).mapInPandas(_field_batches, _FIELD)
+    return here.drop(*CELL[1:]).mapInPandas(_read_field, _FIELD)
+
+
+def _push(pairs: DataFrame, min_d: float) -> DataFrame:
+    """Push of the source ``sx, sy`` on the point ``x, y`` for unit strength."""
+    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    weight = F.col("w") / F.greatest(dx * dx + dy * dy, F.lit(min_d * min_d))
+    return pairs.select(KEY, "x", "y", (weight * dx).alias("ex"), (weight * dy).alias("ey"))
 
 
 def _near_field(final: DataFrame, cells: DataFrame, min_d: float) -> DataFrame:
     """Exact sums over the points of the surrounding cells of the same size."""
     steps = F.explode(F.sequence(F.lit(-NEAR), F.lit(NEAR)))
-    around = (
-        final.withColumn("_ox", steps).withColumn("_oy", steps)
-        .filter((F.col("level") > 0) | ((F.col("_ox") == 0) & (F.col("_oy") == 0)))
-        .select(
-            KEY, "level", (F.col("cx") + F.col("_ox")).alias("cx"), (F.col("cy") + F.col("_oy")).alias("cy"),
-            F.col("x"), F.col("y"),
-        )
+    around = final.withColumn("_ox", steps).withColumn("_oy", steps).select(
+        KEY, "level", (F.col("cx") + F.col("_ox")).alias("cx"), (F.col("cy") + F.col("_oy")).alias("cy"), "x", "y"
     )
     sources = cells.select(*CELL, F.col("x").alias("sx"), F.col("y").alias("sy"), "w")
-    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
-    reach = F.greatest(F.hypot(dx, dy), F.lit(min_d))
-    return around.join(sources, CELL).select(
-        KEY, "x", "y", (F.col("w") * dx / (reach * reach)).alias("ex"), (F.col("w") * dy / (reach * reach)).alias("ey")
-    )
+    return _push(around.join(sources, CELL), min_d)
 
 
 def _all_field(positions: DataFrame, min_d: float, leaf: int) -> DataFrame:
-    cells = _in_cells(_points(positions), leaf, min_d)
-    counts = cells.groupBy(*CELL).agg(F.count(F.lit(1)).alias("points"), F.first("deepest").alias("deepest"))
+    every = _in_cells(_points(positions), min_d)
+    counts = every.groupBy(*CELL).agg(F.count(F.lit(1)).alias("points"), F.first("deepest").alias("deepest"))
     # Cells still too full; they are at most n / leaf per level.
     full = counts.filter((F.col("points") > leaf) & (F.col("level") < F.col("deepest"))).select(*CELL)
+    last = full.agg(F.coalesce(F.max("level") + 1, F.lit(2)).alias("last")).scalar()
+    cells = every.filter(F.col("level") <= last)
     parents = full.toDF(KEY, "_up", "_px", "_py")
     deeper = cells.filter(F.col("level") > 2).withColumns(
         {"_up": F.col("level") - 1, "_px": _half(F.col("cx")), "_py": _half(F.col("cy"))}
     )
     split = deeper.join(parents, [KEY, "_up", "_px", "_py"], "left_semi").select(*cells.columns)
-    active = cells.filter(F.col("level") <= 2).unionByName(split)
+    active = cells.filter(F.col("level") == 2).unionByName(split)
     final = active.join(full, CELL, "left_anti")
     return _far_field(active, cells).unionByName(_near_field(final, cells, min_d))
 
 
 def _small_field(positions: DataFrame, min_d: float) -> DataFrame:
-    points = _points(positions).withColumns({c: F.lit(0) for c in CELL[1:]})
-    return _near_field(points, points, min_d)
+    points = _points(positions)
+    sources = points.select(KEY, F.col("x").alias("sx"), F.col("y").alias("sy"), "w")
+    return _push(points.drop("w").join(sources, KEY), min_d)
 
 
 def repulsion(
     positions: DataFrame, strength: float | Column = REPULSION_STRENGTH, min_d: float = MIN_DISTANCE,
-    leaf: int = 64, small_runs: bool = False,
+    leaf: int = 32, small_runs: bool = False,
 ) -> DataFrame:
     """Sum over all other places of strength / max(d, min_d), pushing away from them.
 
     ``strength`` may be a column over ``run_id``. ``leaf`` is the number of points a cell may hold before it
-    is split; a run that small is summed directly. ``small_runs`` states that the caller has checked every
-    run to be that small, which leaves the cells out of the plan.
+    is split. ``small_runs`` states that the caller has checked every run to hold a few dozen places at
+    most; their pairs are then summed directly, without cells.
     """
     places = positions.select(KEY, "name", "x", "y")
     parts = _small_field(places, min_d) if small_runs else _all_field(places, min_d, leaf)

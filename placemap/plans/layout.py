@@ -47,7 +47,7 @@ def layout_round(
     """Positions after one round of all forces; anchors stay where they are."""
     forces = net_force(
         spring_force(distances, positions, stiffness),
-        repulsion(positions, strength, min_d, leaf=SMALL_RUN, small_runs=small_runs),
+        repulsion(positions, strength, min_d, small_runs=small_runs),
         direction_force(directions, positions, turn),
     )
     moved = move(positions, forces, step, max_move)
