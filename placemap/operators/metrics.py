@@ -83,12 +83,13 @@ def above_threshold(errors: DataFrame, threshold: float = ERROR_CAP) -> DataFram
     return errors.filter(F.col("error") > threshold)
 
 
-_REPORT_ORDER = (F.desc("error"), "place_a", "place_b", "li_eval", "li_spring")
+def _report_order() -> list:
+    return [F.desc("error"), "place_a", "place_b", "li_eval", "li_spring"]
 
 
 def error_report(errors: DataFrame, threshold: float = ERROR_CAP) -> DataFrame:
     """Edges above the threshold, worst first within each run."""
-    return above_threshold(errors, threshold).orderBy(KEY, *_REPORT_ORDER)
+    return above_threshold(errors, threshold).orderBy(KEY, *_report_order())
 
 
 def top_errors(errors: DataFrame, k: int = 5) -> DataFrame:
@@ -99,9 +100,9 @@ def top_errors(errors: DataFrame, k: int = 5) -> DataFrame:
     """
     ranked = errors
     if k >= 1000:
-        part = Window.partitionBy(KEY, F.pmod(F.xxhash64("place_a", "place_b"), F.lit(64))).orderBy(*_REPORT_ORDER)
+        part = Window.partitionBy(KEY, F.pmod(F.xxhash64("place_a", "place_b"), F.lit(64))).orderBy(*_report_order())
         ranked = ranked.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= k)
-    whole = Window.partitionBy(KEY).orderBy(*_REPORT_ORDER)
+    whole = Window.partitionBy(KEY).orderBy(*_report_order())
     return ranked.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
 
 

@@ -62,5 +62,5 @@ def rmse(errors: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
 def error_scale(errors: DataFrame) -> DataFrame:
     """Each place's error as a share of its run's largest, with the matching colour."""
     top = errors.groupBy(KEY).agg(F.max("error_km").alias("max_error_km"))
-    share = F.least(F.try_divide("error_km", "max_error_km"), F.lit(1.0))
+    share = F.when(F.col("max_error_km") > 0, F.least(F.col("error_km") / F.col("max_error_km"), F.lit(1.0)))
     return errors.join(top, KEY).withColumn("share", share).withColumn("colour", diverging_colour(F.col("share")))

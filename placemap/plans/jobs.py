@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from placemap.constants import ALIGN_ANCHOR, DETAIL_BOX, ERROR_CAP, KEY, REFERENCE_POINT, SECOND_ANCHOR
 from placemap.operators import density, directions as compass, ensemble as stats, metrics, truth as known
 from placemap.operators.geometry import flip_y, km_to_px, lcc_forward
+from placemap.operators.joins import one_run
 from placemap.operators.layers import map_layers
 from placemap.sources import readers
 
@@ -55,7 +56,7 @@ def layers_from_files(
 ) -> DataFrame:
     """Map layers from saved tables."""
     nodes = readers.read_positions_lonlat(spark, positions)
-    places = nodes.select(F.lit(0).cast("bigint").alias(KEY), "name")
+    places = one_run(nodes.select("name"))
     truth = known.resolve_aliases(readers.read_ground_truth(spark, ground_truth), places)
     return map_layers(
         nodes, readers.read_samples_lonlat(spark, samples), known.truth_layer(places, truth),

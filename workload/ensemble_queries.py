@@ -7,6 +7,7 @@ from placemap.operators import density as kde
 from placemap.operators import ensemble as stats
 from placemap.operators import graph, series
 from placemap.operators.geometry import random_positions as draw
+from placemap.operators.joins import one_run
 from placemap.plans.layout import start_positions as start
 from workload.fixtures import Tables
 from workload.registry import pick, query, r, rounded
@@ -155,7 +156,7 @@ SELECT e.vec_id AS run_id, name, {r('600+300*CAST(embedding[2*id+1] AS DOUBLE)',
   {r('375+300*CAST(embedding[2*id+2] AS DOUBLE)',6)} AS y
 FROM embeddings e JOIN names ON 2*id+2<=len(embedding)""")
 def flatten_samples(t: Tables):
-    ids = graph.dense_ids(t.places().select(F.lit(0).cast("bigint").alias(KEY), "name"))
+    ids = graph.dense_ids(one_run(t.places()))
     return pick(stats.flatten_samples(t.sample_arrays(), ids), KEY, "name", x=6, y=6)
 
 

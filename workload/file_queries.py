@@ -7,6 +7,7 @@ from placemap.operators import metrics
 from placemap.operators import truth as known
 from placemap.operators.geometry import anchor_rows, positions_to_lonlat
 from placemap.operators.graph import dense_ids
+from placemap.operators.joins import one_run
 from placemap.operators.layers import map_layers
 from placemap.plans.storage import new_path
 from placemap.sources import readers, writers
@@ -134,7 +135,7 @@ def _layers(t: Tables):
     positions = t.positions()
     lonlat = positions_to_lonlat(positions, _origin(t))
     first = lonlat.filter("run_id = 0")
-    ids = dense_ids(t.places().select(F.lit(0).cast("bigint").alias(KEY), "name"))
+    ids = dense_ids(one_run(t.places()))
     cluster = ids.select("name", F.pmod("id", F.lit(6)).alias("cluster"))
     errors = metrics.edge_error(t.one_map_distances(), positions.filter("run_id = 0"))
     return map_layers(
