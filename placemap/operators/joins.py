@@ -11,11 +11,11 @@ from placemap.constants import KEY
 def one_run(table: DataFrame, run_id: int = 0) -> DataFrame:
     """Give a table without ``run_id`` one.
 
-    The value hangs on a column, so that the optimizer does not fold it: a join on a constant key would
-    become a nested loop that may broadcast the large side.
+    The value is a column's hash clamped to ``run_id``, so that the optimizer does not fold it: a join on a
+    constant key would become a nested loop that may broadcast the large side.
     """
-    nothing = F.col(table.columns[0]).isNull().cast("bigint") * 0
-    return table.select((nothing + F.lit(run_id)).cast("bigint").alias(KEY), "*")
+    value = F.lit(run_id).cast("bigint")
+    return table.select(F.greatest(F.least(F.xxhash64(table.columns[0]), value), value).alias(KEY), "*")
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int = 1, how: str = "inner") -> DataFrame:
