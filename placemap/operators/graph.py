@@ -40,18 +40,16 @@ def degrees(distances: DataFrame) -> DataFrame:
 def adjacency(distances: DataFrame, page_rows: int = 10_000) -> DataFrame:
     """Neighbours per place as sorted arrays.
 
-    Equal entries are counted in ``copies`` before they are collected, and a hub's list is cut into
-    pages of about ``page_rows`` entries, so no array grows with the degree. ``pages`` tells how many
-    rows make up one place; ordinary places have one.
+    Equal entries are counted in ``copies`` before they are collected, and a hub's list is spread over
+    ``pages`` rows of at most about ``page_rows`` entries, so no array grows with the degree. Ordinary
+    places have one page.
     """
     entries = (
         symmetric_edges(distances)
         .groupBy(KEY, F.col("place_a").alias("name"), F.col("place_b").alias("neighbor"), "li_eval", "li_spring")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    sizes = entries.groupBy(KEY, "name").agg(
-        F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("pages")
-    )
+    sizes = degrees(distances).select(KEY, "name", F.ceil(F.col("degree") / page_rows).cast("int").alias("pages"))
     page = F.pmod(F.xxhash64("neighbor", "li_eval", "li_spring"), F.col("pages")).cast("int")
     return (
         entries.join(sizes, [KEY, "name"])
