@@ -40,8 +40,8 @@ def test_query_matches_sql(spark, duck, name):
     assert _sorted(rows) == _sorted([tuple(row[i] for i in order) for row in cursor.fetchall()])
 
 
-def test_only_iterated_jobs_go_without_sql():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"layout_history", "ensemble"}
+def test_every_query_has_sql():
+    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
 
 
 def test_entry(spark):
