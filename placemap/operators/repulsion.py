@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from placemap.constants import KEY, MIN_DISTANCE, REPULSION_STRENGTH
 from placemap.operators.joins import spread
+from placemap.sources.storage import stored
 
 ORDER = 24  # series terms
 NEAR = 2  # cells up to this many steps away are summed exactly
@@ -41,16 +42,20 @@ def _points(positions: DataFrame) -> DataFrame:
     return spread(spots, KEY, "x", "y")
 
 
-def _in_cells(points: DataFrame, min_d: float) -> DataFrame:
-    """One row per point and level, all runs in one root square."""
+def _rooted(points: DataFrame, min_d: float) -> DataFrame:
+    """Add the root square of all runs and the deepest level of cells."""
     extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
     root = points.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), extent.alias("extent"))
     # Cells more than NEAR apart must not come closer than min_d, where the law changes.
     side = F.greatest("extent", F.lit(4 * min_d)) * (1 + 1e-9)
     deepest = F.least(F.floor(F.log2(2 * side / min_d)), F.lit(28)).cast("int")
     root = root.select(F.struct("x0", "y0", side.alias("side"), deepest.alias("deepest")).alias("root"))
-    rows = points.withColumn("_root", root.scalar()).select("*", "_root.*").drop("_root")
-    rows = rows.withColumn("level", F.explode(F.sequence(F.lit(2), F.col("deepest"))))
+    return points.withColumn("_root", root.scalar()).select("*", "_root.*").drop("_root")
+
+
+def _in_cells(points: DataFrame, last: Column) -> DataFrame:
+    """One row per point and level from 2 to ``last``."""
+    rows = points.withColumn("level", F.explode(F.sequence(F.lit(2), last)))
     rows = rows.withColumn("cell", F.col("side") / F.pow(F.lit(2.0), F.col("level")))
     return rows.withColumns({
         "cx": F.floor((F.col("x") - F.col("x0")) / F.col("cell")).cast("int"),
@@ -194,12 +199,12 @@ def _near_field(final: DataFrame, cells: DataFrame, min_d: float) -> DataFrame:
 
 
 def _all_field(positions: DataFrame, min_d: float, leaf: int) -> DataFrame:
-    every = _in_cells(_points(positions), min_d)
-    counts = every.groupBy(*CELL).agg(F.count(F.lit(1)).alias("points"), F.first("deepest").alias("deepest"))
-    # Cells still too full; they are at most n / leaf per level.
-    full = counts.filter((F.col("points") > leaf) & (F.col("level") < F.col("deepest"))).select(*CELL)
+    points = _rooted(_points(positions), min_d)
+    counts = _in_cells(points, F.col("deepest")).groupBy(*CELL).agg(F.count(F.lit(1)).alias("points"), F.first("deepest").alias("deepest"))
+    # Cells still too full; they are at most n / leaf per level. Found once, read by all parts below.
+    full = stored(counts.filter((F.col("points") > leaf) & (F.col("level") < F.col("deepest"))).select(*CELL), "cells")
     last = full.agg(F.coalesce(F.max("level") + 1, F.lit(2)).alias("last")).scalar()
-    cells = every.filter(F.col("level") <= last)
+    cells = _in_cells(points, last)
     parents = full.toDF(KEY, "_up", "_px", "_py")
     deeper = cells.filter(F.col("level") > 2).withColumns(
         {"_up": F.col("level") - 1, "_px": _half(F.col("cx")), "_py": _half(F.col("cy"))}
@@ -223,8 +228,8 @@ def repulsion(
     """Sum over all other places of strength / max(d, min_d), pushing away from them.
 
     ``strength`` may be a column over ``run_id``. ``leaf`` is the number of points a cell may hold before it
-    is split. ``small_runs`` states that the caller has checked every run to hold a few dozen places at
-    most; their pairs are then summed directly, without cells.
+    is split; the list of split cells is worked out at once and stored. ``small_runs`` states that the caller
+    has checked every run to hold a few dozen places at most; their pairs are then summed directly, without cells.
     """
     places = positions.select(KEY, "name", "x", "y")
     parts = _small_field(places, min_d) if small_runs else _all_field(places, min_d, leaf)

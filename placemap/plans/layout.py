@@ -15,7 +15,7 @@ from placemap.operators.forces import direction_force, net_force, spring_force
 from placemap.operators.geometry import apply_anchors, random_positions, shift
 from placemap.operators.metrics import raw_stress
 from placemap.operators.repulsion import repulsion
-from placemap.plans.storage import stored
+from placemap.sources.storage import stored
 
 MAX_ROUNDS = 50
 SMALL_RUN = 64
@@ -60,8 +60,9 @@ def layout(
 ) -> Layout:
     """``rounds`` rounds for every run, with the stress after each.
 
-    Each round is written out, so the plan of a round never contains the rounds before it.
-    ``settings`` are those of :func:`layout_round`.
+    Each round is written out, so the plan of a round never contains the rounds before it. Every round reads
+    ``distances`` and ``directions`` anew: pass stored tables (:func:`placemap.sources.storage.stored`) rather
+    than long derivations. ``settings`` are those of :func:`layout_round`.
     """
     if not 1 <= rounds <= MAX_ROUNDS:
         raise ValueError(f"rounds must be between 1 and {MAX_ROUNDS}")

@@ -12,7 +12,7 @@ from conftest import SMALL
 from placemap.operators import metrics
 from placemap.operators.geometry import in_box
 from placemap.plans.jobs import ensemble_statistics, evaluate
-from placemap.plans.storage import shared_folder, stored
+from placemap.sources.storage import shared_folder, stored
 from workload.fixtures import ALIGN, Tables
 from workload.map_queries import _truth
 

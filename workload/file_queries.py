@@ -9,7 +9,7 @@ from placemap.operators.geometry import anchor_rows, positions_to_lonlat
 from placemap.operators.graph import dense_ids
 from placemap.operators.joins import one_run
 from placemap.operators.layers import map_layers
-from placemap.plans.storage import new_path
+from placemap.sources.storage import new_path
 from placemap.sources import readers, writers
 from workload.fixtures import ALIGN, Tables
 from workload.graph_queries import ENDS, ERROR

@@ -8,6 +8,7 @@ from placemap.constants import KEY
 from placemap.operators import forces
 from placemap.operators.repulsion import repulsion as repel
 from placemap.plans import layout as jobs
+from placemap.sources.storage import stored
 from workload.ensemble_queries import _normal, _uniform
 from workload.fixtures import ALIGN, SECOND, Tables
 from workload.graph_queries import ENDS, LENGTH, RAW
@@ -114,7 +115,9 @@ SELECT run_id, iteration, {r('stress1/1e6', 4)} AS stress FROM stress1
 UNION ALL SELECT run_id, iteration, {r('stress2/1e6', 4)} FROM stress2""")
 def layout_history(t: Tables):
     """Stress after each of two rounds."""
-    done = jobs.layout(t.one_map_distances(), t.one_map_directions(), t.positions(), _anchors(t), rounds=2)
+    done = jobs.layout(
+        stored(t.one_map_distances()), stored(t.one_map_directions()), t.positions(), _anchors(t), rounds=2
+    )
     return done.history.select(
         KEY, F.col("iteration").cast("bigint").alias("iteration"), rounded(F.col("stress") / 1e6, 4).alias("stress")
     )
@@ -146,6 +149,6 @@ begun AS (SELECT d.run_id, name, {_pinned('(x-mx)/2+600', '(y-my)/2+375')}
 def ensemble(t: Tables):
     """Three replicates of the one map, two rounds each."""
     done = jobs.ensemble(
-        t.one_map_distances(), t.one_map_directions(), t.places(), _anchors(t), n=3, rounds=2, seed=7
+        stored(t.one_map_distances()), stored(t.one_map_directions()), t.places(), _anchors(t), n=3, rounds=2, seed=7
     )
     return pick(done.positions, KEY, "name", x=6, y=6)
