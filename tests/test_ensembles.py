@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SAMPLES
 from placemap.operators import density as kde
 from placemap.operators import ensemble as stats
 
