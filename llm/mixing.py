@@ -83,8 +83,8 @@ def mix(docs: DataFrame, shares: Mapping[str, int], *, rest: int = 1, block_rows
     have = plan.select("lane", "share").distinct().join(totals, "lane", "left")
     full = F.floor(F.coalesce("__n", F.lit(0)) / block_rows)
     gap = have.select("lane", F.floor(full / F.col("share")).alias("__cycle"), (full % F.col("share")).alias("occurrence"))
-    gaps = gap.join(plan, ["lane", "occurrence"]).agg(F.min(F.col("__cycle") * slots + F.col("slot")).alias("horizon"))
-    table = plan.select("*", F.lit(1).alias("__one")).join(gaps.select("horizon", F.lit(1).alias("__one")), "__one").drop("__one")
+    gap = gap.join(plan, ["lane", "occurrence"]).select("lane", (F.col("__cycle") * slots + F.col("slot")).alias("__gap"))
+    table = plan.join(gap, "lane").withColumn("horizon", F.min("__gap").over(Window.partitionBy())).drop("__gap")
 
     in_slice = Window.partitionBy("lane", "__slice").orderBy("__key", "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     ranked = (
