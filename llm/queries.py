@@ -14,6 +14,7 @@ from llm.mixing import mix
 from llm.packing import pack
 from llm.quality import score_quality
 from llm.registry import ORACLES, QUERIES, query  # noqa: F401
+from llm.repeats import remove_repeats
 from llm.search import top_k
 from placemap.sources.storage import new_path
 
@@ -79,6 +80,16 @@ def op8_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs, SHARES, rest=REST, block_rows=32, seed=0).drop("lane")
 
 
+@query()
+def op9_suffix_bucket_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without repeated strings of 200 bytes."""
+    cut = remove_repeats(read(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query()
 def op10_bounded_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All pieces of all documents' ids."""
