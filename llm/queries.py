@@ -16,6 +16,7 @@ from llm.quality import score_quality
 from llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from llm.repeats import remove_repeats
 from llm.search import top_k
+from llm.shingles import similar_groups
 from placemap.sources.storage import new_path
 
 #: Slots of a hundred for each source; all others share the rest.
@@ -42,6 +43,12 @@ def op3_branch_and_bound_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5).drop("query_key")
 
 
+@query()
+def op4_adaptive_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of near duplicates of each document."""
+    return similar_groups(read(spark, folder, "documents"), words=4, percent=85)
+
+
 @query()
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one full of control strings, formatted and read back."""
