@@ -123,7 +123,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 32, rounds: int = 150, rate
         return model
     b = model.bins(x)
     total = np.full(len(y), model.base)
-    least = 3.0
+    least = min(3.0, 0.05 * y.mean() * (1 - y.mean()) * len(y))  # of the second derivatives in a leaf
 
     def slopes():
         p = 1 / (1 + np.exp(-total))
