@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm import oracles
 from llm.archive import read_archive, write_archive
 from llm.chat import format_chats, read_back, turns_digest
 from llm.common import read
@@ -30,26 +31,26 @@ def op1_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
-@query()
+@query(oracles.LINE_DEDUP)
 def op2_bloom_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of each document without lines that others hold too."""
     cleaned = dedup_lines(read(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-@query()
+@query(oracles.TOP_K)
 def op3_branch_and_bound_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The five best answers to every fiftieth vector."""
     return top_k(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5).drop("query_key")
 
 
-@query()
+@query(oracles.similar(4, 85))
 def op4_adaptive_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
     """The group of near duplicates of each document."""
     return similar_groups(read(spark, folder, "documents"), words=4, percent=85)
 
 
-@query()
+@query(oracles.CHAT)
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one full of control strings, formatted and read back."""
     chats = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -63,7 +64,7 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+@query(oracles.ARCHIVE)
 def op6_content_addressed_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages, written to an archive and read from it."""
     archive = new_path(spark, "archive")
@@ -80,7 +81,7 @@ def op7_tokeniser_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return judge(read(spark, folder, "documents"))
 
 
-@query()
+@query(oracles.mixed(SHARES, REST, 32, 0))
 def op8_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Where each document stands in the mix."""
     docs = read(spark, folder, "documents").select("doc_id", "source")
