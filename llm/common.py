@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the word and line rules: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -9,6 +11,9 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    context = spark.sparkContext
+    if context.master.startswith("local["):  # a cluster's executors get the package with the job (--py-files)
+        context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

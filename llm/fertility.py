@@ -26,6 +26,8 @@ MEASURES = ("chars_per_token", "byte_share", "entropy")
 LEAST_MARGIN = {"chars_per_token": 0.25, "byte_share": 0.05, "entropy": 0.08}
 #: Words a process remembers the tokens of.
 REMEMBERED = 300_000
+#: Most bands that are broadcast; more are joined.
+BROADCAST_ROWS = 10_000
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(c, pa.int64()) for c in _COUNTS], *[(c, pa.float64()) for c in MEASURES]])
 _DDL = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in _COUNTS) + ", " + ", ".join(f"{c} double" for c in MEASURES)
@@ -135,6 +137,10 @@ def judge(docs: DataFrame, *, vocabulary_file: str = "piece_bpe_32k.model", reac
     spans = measured.filter(~F.col("base_failed")).groupBy(F.coalesce("lang", F.lit("")).alias("__lang"), F.col("size_class").alias("__size")).agg(
         F.count(F.lit(1)).alias("__n"), *[f for c in MEASURES for f in (quartile(c, 0.25).alias(f"__{c}_1"), quartile(c, 0.75).alias(f"__{c}_3"))]
     )
+    # a row per language and length class, unless lang holds something else
+    spans = stored(spans, "fertility-bands")
+    if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        spans = F.broadcast(spans)
     inside = F.lit(True)
     for c in MEASURES:
         low, high = F.col(f"__{c}_1"), F.col(f"__{c}_3")
