@@ -26,10 +26,7 @@ CLASS_OVERRIDES = {"都護治/烏壘": 1}
 SPRING_STIFFNESS = 15000.0
 REPULSION_STRENGTH = 5000.0
 DIRECTION_FORCE = 10000.0
-MASS = 10.0
 MIN_DISTANCE = 0.1
-RESISTANCE = 10.0
-TIME_STEP = 0.01
 
 # --- fixed values: projection extent and ellipsoid ------------------------------------------------
 LON_RANGE = (73.24516481, 92.74103523)

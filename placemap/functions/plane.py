@@ -40,9 +40,5 @@ def li_to_px(li: Column) -> Column:
     return li / F.lit(float(LI_PER_PX))
 
 
-def px_to_li(px: Column) -> Column:
-    return px * F.lit(float(LI_PER_PX))
-
-
 def px_length_to_km(px: Column) -> Column:
     return px * F.lit(KM_PER_PX)

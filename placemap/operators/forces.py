@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placemap.constants import DIRECTION_FORCE, KEY, RESISTANCE, SPRING_STIFFNESS
+from placemap.constants import DIRECTION_FORCE, KEY, SPRING_STIFFNESS
 from placemap.functions.plane import dist, dot, li_to_px, perp
 from placemap.operators.directions import direction_violations
 from placemap.operators.joins import with_endpoints
@@ -44,18 +44,11 @@ def direction_force(
 ) -> DataFrame:
     """Turn the ends of every broken constraint: a constant force square to A -> B, on the side that helps."""
     px, py = perp(F.col("ux"), F.col("uy"))
-    helps = dot(px, py, F.col("dir_x"), F.col("dir_y")) >= dot(-px, -py, F.col("dir_x"), F.col("dir_y"))
+    helps = dot(px, py, F.col("dir_x"), F.col("dir_y")) >= 0
     side = F.when(helps, _number(force)).otherwise(-_number(force))
     return _on_both_ends(direction_violations(directions, positions, salts=salts), side * px, side * py)
 
 
-def drag(velocities: DataFrame, resistance: float = RESISTANCE) -> DataFrame:
-    """Resistance against the velocities ``vx, vy``."""
-    return velocities.select(
-        KEY, "name", (-F.col("vx") * resistance).alias("fx"), (-F.col("vy") * resistance).alias("fy")
-    )
-
-
 def net_force(*forces: DataFrame) -> DataFrame:
     """Sum of several force tables per place."""
     return _sum_forces(reduce(DataFrame.unionByName, forces))

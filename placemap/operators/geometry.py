@@ -12,6 +12,7 @@ from placemap.constants import (
 from placemap.functions.chance import hash_uniform
 from placemap.functions.plane import rotate
 from placemap.functions.projection import lcc_lonlat, lcc_xy
+from placemap.operators.joins import beside_runs
 
 Box = tuple[float, float, float, float]  # x_min, y_min, x_max, y_max
 
@@ -29,7 +30,7 @@ def shift(positions: DataFrame, scale: float = START_SHRINK, centre=CANVAS_CENTR
     """Move each run's mean to ``centre`` and divide its extent by ``scale``."""
     means = positions.groupBy(KEY).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
     return (
-        positions.join(means, KEY)
+        beside_runs(positions, means, "inner")
         .withColumn("x", (F.col("x") - F.col("_mx")) / scale + F.lit(centre[0]))
         .withColumn("y", (F.col("y") - F.col("_my")) / scale + F.lit(centre[1]))
         .select(*positions.columns)
@@ -57,17 +58,13 @@ def anchor_rows(table: DataFrame, name: str, **columns: str) -> DataFrame:
     return table.filter(F.col("name") == name).select(KEY, *wanted)
 
 
-def _beside(table: DataFrame, rows: DataFrame) -> DataFrame:
-    return table.join(rows, KEY, "left")
-
-
 def lcc_forward(points: DataFrame, anchor: str) -> DataFrame:
     """``lon, lat`` to ``x_km, y_km`` about the anchor place, y growing southwards."""
     x, y = lcc_xy(F.col("lon"), F.col("lat"))
     projected = points.withColumn("_x", x).withColumn("_y", y)
     origin = anchor_rows(points, anchor, _lon="lon", _lat="lat")
     ox, oy = lcc_xy(F.col("_lon"), F.col("_lat"))
-    return _beside(projected, origin.select(KEY, ox.alias("_ox"), oy.alias("_oy"))).select(
+    return beside_runs(projected, origin.select(KEY, ox.alias("_ox"), oy.alias("_oy"))).select(
         *points.columns,
         ((F.col("_x") - F.col("_ox")) / 1000).alias("x_km"),
         (-(F.col("_y") - F.col("_oy")) / 1000).alias("y_km"),
@@ -87,7 +84,7 @@ def lcc_inverse(points: DataFrame, origin: Origin) -> DataFrame:
         placed = points.withColumns({"_ox": ox, "_oy": oy})
     else:
         ox, oy = lcc_xy(F.col("lon0"), F.col("lat0"))
-        placed = _beside(points, origin.select(KEY, ox.alias("_ox"), oy.alias("_oy")))
+        placed = beside_runs(points, origin.select(KEY, ox.alias("_ox"), oy.alias("_oy")))
     lon, lat = lcc_lonlat(F.col("_x"), F.col("_y"))
     return (
         placed.withColumn("_x", F.col("x_km") * 1000 + F.col("_ox"))
@@ -131,7 +128,7 @@ def align_rotate(positions: DataFrame, first: str, second: str, theta: float) ->
     dx = (F.col("x") - F.col("_x1")) * F.lit(KM_PER_PX)
     dy = (F.col("y") - F.col("_y1")) * F.lit(KM_PER_PX)
     x, y = rotate(dx, dy, F.col("_turn"))
-    return _beside(positions, frames).select(KEY, "name", x.alias("x_km"), y.alias("y_km"))
+    return beside_runs(positions, frames).select(KEY, "name", x.alias("x_km"), y.alias("y_km"))
 
 
 def geodesic_offset(points: DataFrame, lon0=GEODESIC_ORIGIN[0], lat0=GEODESIC_ORIGIN[1], bearing="math") -> DataFrame:
@@ -210,7 +207,7 @@ def rescale_about(positions: DataFrame, anchor: str, factor=MODEL_FACTOR, ref=RE
     """Scale another model's layout about its anchor and put the anchor on the reference pixel."""
     origin = anchor_rows(positions, anchor, _ax="x", _ay="y")
     return (
-        _beside(positions, origin)
+        beside_runs(positions, origin)
         .withColumn("x", (F.col("x") - F.col("_ax")) * factor + F.lit(float(ref[0])))
         .withColumn("y", (F.col("y") - F.col("_ay")) * factor + F.lit(float(ref[1])))
         .select(*positions.columns)

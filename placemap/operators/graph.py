@@ -94,8 +94,3 @@ def missing_names(edges: DataFrame, places: DataFrame) -> DataFrame:
     used = vertices(edges) if "place_a" in edges.columns else edges.select(*_keys(edges), "name").distinct()
     on = [KEY, "name"] if KEY in used.columns else ["name"]
     return used.join(places.select(*on), on, "left_anti")
-
-
-def unordered(a, b):
-    """Predicate that keeps each unordered pair once."""
-    return a < b

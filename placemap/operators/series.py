@@ -4,6 +4,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placemap.constants import KEY, LOG_FLOOR
+from placemap.functions.plane import dist, li_to_km, px_length_to_km
+from placemap.operators.joins import beside_runs, salted_join
+
+
+def stress_history(distances: DataFrame, trajectory: DataFrame, salts: int = 1) -> DataFrame:
+    """Raw stress of every recorded step; ``trajectory`` is ``run_id, iteration, name, x, y``.
+
+    The edges are joined to the steps once: the first end brings the iteration, the second is looked up within it.
+    Steps in which an edge lacks an end go without that edge.
+    """
+    rows = trajectory.select(KEY, "iteration", "name", "x", "y")
+    first = [KEY, "place_a"] if KEY in distances.columns else ["place_a"]
+    begun = salted_join(distances, rows.toDF(KEY, "iteration", "place_a", "x1", "y1"), first, salts)
+    ended = salted_join(begun, rows.toDF(KEY, "iteration", "place_b", "x2", "y2"), [KEY, "iteration", "place_b"], salts)
+    length = dist(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    gap = px_length_to_km(length) - li_to_km(F.col("li_eval"))
+    return ended.groupBy(KEY, "iteration").agg(F.sum(gap * gap).alias("stress"))
 
 
 def history_summary(history: DataFrame) -> DataFrame:
@@ -26,7 +43,7 @@ def normalise(history: DataFrame) -> DataFrame:
         F.min("log_stress").alias("_low"), F.max("log_stress").alias("_high"),
         F.min("iteration").alias("_first"), F.max("iteration").alias("_last"),
     )
-    return logged.join(ranges, KEY).select(
+    return beside_runs(logged, ranges, "inner").select(
         *history.columns,
         F.try_divide(F.col("iteration") - F.col("_first"), F.col("_last") - F.col("_first")).alias("step_share"),
         F.try_divide(F.col("log_stress") - F.col("_low"), F.col("_high") - F.col("_low")).alias("stress_share"),

@@ -7,6 +7,7 @@ from placemap.constants import KEY, REFERENCE_POINT, TRUTH_CLUSTER
 from placemap.functions.display import diverging_colour
 from placemap.functions.plane import dist
 from placemap.operators.geometry import lcc_forward, px_to_km
+from placemap.operators.joins import beside_runs
 
 
 def resolve_aliases(ground_truth: DataFrame, places: DataFrame) -> DataFrame:
@@ -63,4 +64,4 @@ def error_scale(errors: DataFrame) -> DataFrame:
     """Each place's error as a share of its run's largest, with the matching colour."""
     top = errors.groupBy(KEY).agg(F.max("error_km").alias("max_error_km"))
     share = F.when(F.col("max_error_km") > 0, F.least(F.col("error_km") / F.col("max_error_km"), F.lit(1.0)))
-    return errors.join(top, KEY).withColumn("share", share).withColumn("colour", diverging_colour(F.col("share")))
+    return beside_runs(errors, top, "inner").withColumn("share", share).withColumn("colour", diverging_colour(F.col("share")))

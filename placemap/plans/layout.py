@@ -1,104 +1,11 @@
-"""A bounded number of force rounds over many layouts at once."""
+"""Where a layout starts."""
 
-from functools import reduce
-from typing import NamedTuple
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from placemap.constants import (
-    DIRECTION_FORCE, KEY, MASS, MIN_DISTANCE, REPULSION_JITTER, REPULSION_STRENGTH, SPRING_JITTER,
-    SPRING_STIFFNESS, TIME_STEP,
-)
-from placemap.operators.ensemble import normal_factor, uniform_factor
-from placemap.operators.forces import direction_force, net_force, spring_force
 from placemap.operators.geometry import apply_anchors, random_positions, shift
-from placemap.operators.metrics import raw_stress
-from placemap.operators.repulsion import repulsion
-from placemap.sources.storage import stored
-
-MAX_ROUNDS = 50
-SMALL_RUN = 64
-STEP = TIME_STEP * TIME_STEP / MASS  # displacement per unit of force
-
-
-class Layout(NamedTuple):
-    positions: DataFrame
-    history: DataFrame
-
-
-def move(positions: DataFrame, forces: DataFrame, step: float = STEP, max_move: float = 10.0) -> DataFrame:
-    """Displace places along their force, by at most ``max_move`` pixels."""
-    length = F.hypot(F.col("fx"), F.col("fy")) * step
-    share = F.when(length > max_move, F.lit(max_move) / length).otherwise(1.0) * step
-    return positions.join(forces, [KEY, "name"], "left").select(
-        KEY, "name",
-        (F.col("x") + F.coalesce(F.col("fx") * share, F.lit(0.0))).alias("x"),
-        (F.col("y") + F.coalesce(F.col("fy") * share, F.lit(0.0))).alias("y"),
-    )
-
-
-def layout_round(
-    distances: DataFrame, directions: DataFrame, positions: DataFrame, anchors: DataFrame | None,
-    stiffness: float | Column = SPRING_STIFFNESS, strength: float | Column = REPULSION_STRENGTH,
-    turn: float | Column = DIRECTION_FORCE, min_d: float = MIN_DISTANCE,
-    step: float = STEP, max_move: float = 10.0, small_runs: bool = False,
-) -> DataFrame:
-    """Positions after one round of all forces; anchors stay where they are."""
-    forces = net_force(
-        spring_force(distances, positions, stiffness),
-        repulsion(positions, strength, min_d, small_runs=small_runs),
-        direction_force(directions, positions, turn),
-    )
-    moved = move(positions, forces, step, max_move)
-    return moved if anchors is None else apply_anchors(moved, anchors)
-
-
-def layout(
-    distances: DataFrame, directions: DataFrame, positions: DataFrame, anchors: DataFrame | None = None,
-    rounds: int = 5, **settings,
-) -> Layout:
-    """``rounds`` rounds for every run, with the stress after each.
-
-    Each round is written out, so the plan of a round never contains the rounds before it. Every round reads
-    ``distances`` and ``directions`` anew: pass stored tables (:func:`placemap.sources.storage.stored`) rather
-    than long derivations. ``settings`` are those of :func:`layout_round`.
-    """
-    if not 1 <= rounds <= MAX_ROUNDS:
-        raise ValueError(f"rounds must be between 1 and {MAX_ROUNDS}")
-    current = stored(positions.select(KEY, "name", "x", "y"), "start")
-    if "small_runs" not in settings:
-        sizes = current.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-        settings["small_runs"] = sizes.filter(F.col("n") > SMALL_RUN).isEmpty()
-    history = []
-    for number in range(1, rounds + 1):
-        current = stored(layout_round(distances, directions, current, anchors, **settings), "round")
-        stress = raw_stress(distances, current)
-        history.append(stress.select(KEY, F.lit(number).alias("iteration"), F.col("raw_stress").alias("stress")))
-    return Layout(current, reduce(DataFrame.unionByName, history))
 
 
 def start_positions(places: DataFrame, anchors: DataFrame | None, seed: int = 0) -> DataFrame:
     """Random start, drawn together about the canvas centre, anchors in place."""
     start = shift(random_positions(places, seed))
     return start if anchors is None else apply_anchors(start, anchors)
-
-
-def ensemble(
-    distances: DataFrame, directions: DataFrame, places: DataFrame, anchors: DataFrame | None,
-    n: int, rounds: int = 5, seed: int = 0, sweep: str = "normal",
-    spring_jitter: float = SPRING_JITTER, repulsion_jitter: float = REPULSION_JITTER, **settings,
-) -> Layout:
-    """``n`` replicates of one map, each with its own start and its own factors on the forces.
-
-    ``distances``, ``directions``, ``places`` and ``anchors`` describe the one map and carry no ``run_id``.
-    """
-    factor = {"normal": normal_factor, "uniform": uniform_factor}[sweep]
-    replicate = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    runs = places.select(replicate.alias(KEY), "name")
-    return layout(
-        distances, directions, start_positions(runs, anchors, seed), anchors, rounds=rounds,
-        stiffness=F.lit(SPRING_STIFFNESS) * factor("spring", spring_jitter, seed),
-        strength=F.lit(REPULSION_STRENGTH) * factor("repulsion", repulsion_jitter, seed),
-        **settings,
-    )

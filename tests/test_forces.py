@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from conftest import DIRECTIONS, DISTANCES, POSITIONS
 from placemap.operators import forces
 from placemap.operators.repulsion import repulsion
-from placemap.plans import layout as jobs
 
 
 def _brute(x, y, min_d=0.1, strength=5000.0):
@@ -72,62 +71,6 @@ def test_direction_force_turns_the_right_way(table):
     assert at["b"] == pytest.approx((0, -1))
 
 
-def test_drag_and_net(table):
-    moving = table("run_id long, name string, vx double, vy double", [(0, "a", 1.0, -2.0)])
-    slow = forces.drag(moving)
-    assert tuple(forces.net_force(slow, slow).first())[2:] == (-20.0, 40.0)
-
-
-def _toy(table):
-    positions = table(POSITIONS, [(r, n, x + r, y) for r in (0, 1) for n, x, y in (
-        ("a", 600.0, 500.0), ("b", 640.0, 500.0), ("c", 600.0, 520.0))])
-    distances = table("place_a string, place_b string, li_eval long, li_spring long", [
-        ("a", "b", 300, 300), ("a", "c", 400, 400), ("b", "c", 500, 500)])
-    directions = table("place_a string, place_b string, direction string", [("a", "b", "東")])
-    anchors = table("name string, x double, y double", [("a", 600.0, 500.0)])
-    return distances, directions, positions, anchors
-
-
-def test_layout_lowers_stress_and_keeps_anchors(table):
-    done = jobs.layout(*_toy(table), rounds=6)
-    series = {}
-    for row in done.history.collect():
-        series.setdefault(row.run_id, {})[row.iteration] = row.stress
-    for stress in series.values():
-        assert sorted(stress) == list(range(1, 7)) and stress[6] < stress[1]
-    rows = done.positions.collect()
-    assert len(rows) == 6 and all((r.x, r.y) == (600.0, 500.0) for r in rows if r.name == "a")
-
-
-def test_layout_with_and_without_cells_agree(table):
-    toy = _toy(table)
-    small = {(r.run_id, r.name): (r.x, r.y) for r in jobs.layout(*toy, rounds=2).positions.collect()}
-    cells = {(r.run_id, r.name): (r.x, r.y) for r in jobs.layout(*toy, rounds=2, small_runs=False).positions.collect()}
-    assert small.keys() == cells.keys()
-    for key in small:
-        assert small[key] == pytest.approx(cells[key], abs=1e-9)
-
-
-def test_layout_refuses_unbounded_rounds(table):
-    with pytest.raises(ValueError):
-        jobs.layout(*_toy(table), rounds=51)
-
-
-def test_move_is_capped(table):
-    positions = table(POSITIONS, [(0, "a", 0.0, 0.0), (0, "b", 1.0, 1.0)])
-    pushed = table("run_id long, name string, fx double, fy double", [(0, "a", 3e9, 4e9)])
-    at = {r.name: (r.x, r.y) for r in jobs.move(positions, pushed).collect()}
-    assert at["a"] == pytest.approx((6.0, 8.0)) and at["b"] == (1.0, 1.0)
-
-
-def test_ensemble_runs_differ_and_repeat(table):
-    distances, directions, positions, anchors = _toy(table)
-    places = positions.select("name").distinct()
-
-    def run():
-        done = jobs.ensemble(distances, directions, places, anchors, n=3, rounds=2, seed=4)
-        return {(r.run_id, r.name): (r.x, r.y) for r in done.positions.collect()}
-
-    first = run()
-    assert first == run() and len(first) == 9
-    assert len({first[(r, "b")] for r in range(3)}) == 3
+def test_net_force_adds_up(table):
+    one = table("run_id long, name string, fx double, fy double", [(0, "a", 1.0, -2.0)])
+    assert tuple(forces.net_force(one, one).first())[2:] == (2.0, -4.0)

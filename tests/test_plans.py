@@ -13,6 +13,7 @@ from placemap.operators import metrics
 from placemap.operators.geometry import in_box
 from placemap.plans.jobs import ensemble_statistics, evaluate
 from placemap.sources.storage import shared_folder, stored
+from workload import QUERIES
 from workload.fixtures import ALIGN, Tables
 from workload.map_queries import _truth
 
@@ -24,9 +25,9 @@ def _plan(table):
     return out.getvalue()
 
 
-PLAIN = [n for n in entry_point.queries() if "roundtrip" not in n and n not in ("layout_history", "ensemble")]
+PLAIN = [n for n in QUERIES if "roundtrip" not in n]
 # These end in one global row or name the whole table's extent in a scalar subquery.
-ONE_ROW = {"density_range", "repulsion", "net_force", "layout_round"}
+ONE_ROW = {"density_range", "repulsion", "net_force"}
 
 
 @pytest.mark.parametrize("name", PLAIN)

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from conftest import SMALL
+from workload import ORACLES, QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -24,7 +25,7 @@ def _sorted(rows):
     return sorted(tuple(str(v) for v in row) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     table = entry_point.queries()[name](spark, SMALL)
     columns = sorted(table.columns)
@@ -41,7 +42,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

@@ -10,6 +10,7 @@ from placemap.operators.geometry import random_positions as draw
 from placemap.operators.joins import one_run
 from placemap.plans.layout import start_positions as start
 from workload.fixtures import Tables
+from workload.graph_queries import RAW
 from workload.registry import pick, query, r, rounded
 
 MOMENTS = """mo AS (SELECT name, COUNT(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS sxx, covar_samp(x,y) AS sxy,
@@ -160,6 +161,20 @@ def flatten_samples(t: Tables):
     return pick(stats.flatten_samples(t.sample_arrays(), ids), KEY, "name", x=6, y=6)
 
 
+@query(f"""WITH tr AS (SELECT run_id, step, name, x*(1+step*2e-2) AS x, y*(1+step*1e-2) AS y FROM positions CROSS JOIN range(4) q(step))
+SELECT d.run_id, a.step AS iteration, {r(f'{RAW}/1e6',6)} AS stress_m FROM distances d
+JOIN tr a ON a.run_id=d.run_id AND a.name=d.place_a
+JOIN tr b ON b.run_id=d.run_id AND b.name=d.place_b AND b.step=a.step GROUP BY d.run_id, a.step""")
+def stress_history(t: Tables):
+    """Stress of four steps of each run; every step stretches the layout."""
+    step = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("iteration")
+    moved = t.positions().select(KEY, step, "name", "x", "y").withColumns({
+        "x": F.col("x") * (1 + F.col("iteration") * 0.02), "y": F.col("y") * (1 + F.col("iteration") * 0.01),
+    })
+    table = series.stress_history(t.distances(), moved)
+    return table.select(KEY, "iteration", rounded(F.col("stress") / 1e6, 6).alias("stress_m"))
+
+
 @query(f"""SELECT run_id, {r('MIN(stress)',6)} AS min_stress, {r('MAX(stress)',6)} AS max_stress, COUNT(*) AS n_steps,
   {r('arg_max(stress, iteration)',6)} AS last_stress FROM history GROUP BY run_id""")
 def history_summary(t: Tables):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from placemap.constants import KEY
 from placemap.operators import metrics
+from placemap.operators.joins import beside_runs
 from workload.fixtures import Tables
 
 
@@ -14,7 +15,7 @@ def contradicted_distances(spark: SparkSession, folder: str) -> DataFrame:
     errors = metrics.above_threshold(metrics.edge_error(distances, positions))
     scores = metrics.layout_scores(distances, positions)
     return (
-        errors.join(scores, KEY)
+        beside_runs(errors, scores, "inner")
         .select(KEY, "place_a", "place_b", "li_eval", "error", "delta_km", "raw_stress", "kruskal_stress")
         .orderBy(KEY, F.desc("error"), "place_a", "place_b")
     )

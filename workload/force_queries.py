@@ -1,19 +1,12 @@
-"""Forces at a snapshot and rounds of the layout job."""
-
-import re
-
-from pyspark.sql import functions as F
+"""Forces at a snapshot of a layout."""
 
 from placemap.constants import KEY
 from placemap.operators import forces
 from placemap.operators.repulsion import repulsion as repel
-from placemap.plans import layout as jobs
-from placemap.sources.storage import stored
-from workload.ensemble_queries import _normal, _uniform
-from workload.fixtures import ALIGN, SECOND, Tables
-from workload.graph_queries import ENDS, LENGTH, RAW
+from workload.fixtures import Tables
+from workload.graph_queries import ENDS, LENGTH
 from workload.map_queries import VECTORS
-from workload.registry import pick, query, r, rounded
+from workload.registry import pick, query, r
 
 SPRING = f"""sp AS (
   SELECT d.run_id, place_a, place_b, 15000e0*(d.li_spring/1e1-{LENGTH})*(b.x-a.x)/{LENGTH} AS fx,
@@ -26,7 +19,7 @@ REPEL = """repel AS (
     SUM(5000e0*(a.y-b.y)/pow(greatest(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)),1e-1),2)) AS fy
   FROM positions a JOIN positions b ON b.run_id=a.run_id GROUP BY a.run_id, a.name)"""
 TURN = f"""{VECTORS.strip()},
-tn AS (SELECT run_id, place_a, place_b, CASE WHEN -uy*vx+ux*vy >= uy*vx-ux*vy THEN 10000e0 ELSE -10000e0 END AS side, ux, uy FROM broken),
+tn AS (SELECT run_id, place_a, place_b, CASE WHEN -uy*vx+ux*vy >= 0 THEN 10000e0 ELSE -10000e0 END AS side, ux, uy FROM broken),
 turn AS (SELECT run_id, name, SUM(fx) AS fx, SUM(fy) AS fy FROM (
   SELECT run_id, place_b AS name, -side*uy AS fx, side*ux AS fy FROM tn
   UNION ALL SELECT run_id, place_a, side*uy, -side*ux FROM tn) s GROUP BY run_id, name)"""
@@ -39,14 +32,6 @@ def _out(source: str) -> str:
     return f"SELECT run_id, name, {r('fx', 4)} AS fx, {r('fy', 4)} AS fy FROM {source}"
 
 
-def _anchors(t: Tables):
-    """The two anchors on fixed pixels, in every run."""
-    at = F.when(F.col("name") == ALIGN, 0).otherwise(1)
-    return t.places().filter(F.col("name").isin(ALIGN, SECOND)).select(
-        "name", (600.0 - 90 * at).alias("x"), (500.0 - 70 * at).alias("y")
-    )
-
-
 @query(f"WITH {SPRING} {_out('spring')}")
 def spring_force(t: Tables):
     return pick(forces.spring_force(t.distances(), t.positions()), KEY, "name", fx=4, fy=4)
@@ -62,13 +47,6 @@ def direction_force(t: Tables):
     return pick(forces.direction_force(t.directions(), t.positions()), KEY, "name", fx=4, fy=4)
 
 
-@query(f"SELECT run_id, name, {r('-(x-600)/1e1*10',4)} AS fx, {r('-(y-375)/1e1*10',4)} AS fy FROM positions")
-def drag(t: Tables):
-    """Resistance when every place drifts outwards."""
-    moving = t.positions().withColumns({"vx": (F.col("x") - 600) / 10, "vy": (F.col("y") - 375) / 10})
-    return pick(forces.drag(moving), KEY, "name", fx=4, fy=4)
-
-
 @query(f"WITH {NET} {_out('net')}")
 def net_force(t: Tables):
     positions = t.positions()
@@ -77,78 +55,3 @@ def net_force(t: Tables):
         forces.direction_force(t.directions(), positions),
     )
     return pick(total, KEY, "name", fx=4, fy=4)
-
-
-def _pinned(x: str, y: str) -> str:
-    """Coordinates with the anchors on their pixels."""
-    return (
-        f"CASE name WHEN '{ALIGN}' THEN 600e0 WHEN '{SECOND}' THEN 510e0 ELSE {x} END AS x, "
-        f"CASE name WHEN '{ALIGN}' THEN 500e0 WHEN '{SECOND}' THEN 430e0 ELSE {y} END AS y"
-    )
-
-
-def _round_sql(number: int, source: str, distances: str, directions: str, spring="1e0", repel="1e0") -> str:
-    """One round from the positions ``source`` to the table ``pos<number>``."""
-    text = NET.replace("15000e0", "15000e0*SPRING_FACTOR").replace("5000e0*(a.", "5000e0*REPEL_FACTOR*(a.")
-    move = "coalesce({0}*1e-5*least(1,10/NULLIF(sqrt(fx*fx+fy*fy)*1e-5,0)),0)"
-    text += f""",
-mv AS (SELECT p.run_id, p.name, p.x+{move.format('fx')} AS x, p.y+{move.format('fy')} AS y
-  FROM positions p LEFT JOIN net n ON n.run_id=p.run_id AND n.name=p.name),
-pos AS (SELECT run_id, name, {_pinned('x', 'y')} FROM mv),
-stress AS (SELECT d.run_id, CAST({number} AS BIGINT) AS iteration, {RAW} AS stress {ENDS.replace('positions', 'pos')} GROUP BY d.run_id)"""
-    for own in ("sp", "spring", "repel", "v", "u", "c", "broken", "tn", "turn", "net", "mv", "pos", "stress"):
-        text = re.sub(rf"\b{own}\b", f"{own}{number}", text)
-    for table, name in (("positions", source), ("distances", distances), ("directions", directions)):
-        text = re.sub(rf"\b{table}\b", name, text)
-    return text.replace("SPRING_FACTOR", spring).replace("REPEL_FACTOR", repel)
-
-
-@query(f"WITH {_round_sql(1, 'positions', 'distances', 'directions')} SELECT run_id, name, {r('x', 6)} AS x, {r('y', 6)} AS y FROM pos1")
-def layout_round(t: Tables):
-    moved = jobs.layout_round(t.distances(), t.directions(), t.positions(), _anchors(t))
-    return pick(moved, KEY, "name", x=6, y=6)
-
-
-@query(f"""WITH {_round_sql(1, 'positions', 'distances', 'directions')},
-{_round_sql(2, 'pos1', 'distances', 'directions')}
-SELECT run_id, iteration, {r('stress1/1e6', 4)} AS stress FROM stress1
-UNION ALL SELECT run_id, iteration, {r('stress2/1e6', 4)} FROM stress2""")
-def layout_history(t: Tables):
-    """Stress after each of two rounds."""
-    done = jobs.layout(
-        stored(t.one_map_distances()), stored(t.one_map_directions()), t.positions(), _anchors(t), rounds=2
-    )
-    return done.history.select(
-        KEY, F.col("iteration").cast("bigint").alias("iteration"), rounded(F.col("stress") / 1e6, 4).alias("stress")
-    )
-
-
-def _factor(name: str, half: str) -> str:
-    return f"(CASE a.run_id WHEN 0 THEN 1e0 ELSE 1+{half}*{_normal(chr(39) + '7' + chr(39), 'a.run_id', chr(39) + name + chr(39))} END)"
-
-
-def _draw(low: int, size: int, axis: str) -> str:
-    part = _uniform("'7'", "run_id", "name", f"'{axis}'")
-    return f"{low}+{size}*{part}"
-
-
-_SPRING, _REPEL = _factor("spring", "0.025e0"), _factor("repulsion", "0.1e0")
-REPLICATES = f"""three AS (SELECT CAST(i AS BIGINT) AS run_id FROM range(3) q(i)),
-dist3 AS (SELECT run_id, d.* FROM one_map_distances d CROSS JOIN three),
-dir3 AS (SELECT run_id, d.* FROM one_map_directions d CROSS JOIN three),
-drawn AS (SELECT run_id, name, {_draw(120, 960, 'x')} AS x, {_draw(75, 600, 'y')} AS y
-  FROM (SELECT run_id, name FROM one_map CROSS JOIN three) m),
-middle AS (SELECT run_id, avg(x) AS mx, avg(y) AS my FROM drawn GROUP BY run_id),
-begun AS (SELECT d.run_id, name, {_pinned('(x-mx)/2+600', '(y-my)/2+375')}
-  FROM drawn d JOIN middle m ON m.run_id=d.run_id),
-{_round_sql(1, 'begun', 'dist3', 'dir3', _SPRING, _REPEL)},
-{_round_sql(2, 'pos1', 'dist3', 'dir3', _SPRING, _REPEL)}"""
-
-
-@query(f"WITH {REPLICATES} SELECT run_id, name, {r('x', 6)} AS x, {r('y', 6)} AS y FROM pos2")
-def ensemble(t: Tables):
-    """Three replicates of the one map, two rounds each."""
-    done = jobs.ensemble(
-        stored(t.one_map_distances()), stored(t.one_map_directions()), t.places(), _anchors(t), n=3, rounds=2, seed=7
-    )
-    return pick(done.positions, KEY, "name", x=6, y=6)
