@@ -1,11 +1,11 @@
 """Gaussian kernel densities of each place's samples, with Scott's bandwidth.
 
-Places with at most ``DIRECT_LIMIT`` samples are summed directly, one bounded group at a time. Above that no
-pair of samples is ever formed: in coordinates where the kernel is round and of unit width, samples are
+No pair of samples is ever formed: in coordinates where the kernel is round and of unit width, samples are
 summed into small square cells (as power sums about the cell's middle), the cells are carried over to their
 surroundings one axis at a time with a Taylor series of the kernel, and each point reads its own
-cell (the fast Gauss transform of Greengard and Strain). The work is linear in the samples and the error
-stays below 1e-10 of the kernel's peak.
+cell (the fast Gauss transform of Greengard and Strain). The work is linear in the samples. Cells reach as far and
+series are as long as ``TOLERANCE`` asks, whatever the number of samples; ``method="direct"`` sums all pairs of a
+place in one task instead, for checks.
 """
 
 import math
@@ -19,11 +19,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placemap.constants import CANVAS_HEIGHT, CANVAS_WIDTH, DENSITY_GRID
+from placemap.operators.joins import beside_runs
 
-DIRECT_LIMIT = 2048
+#: Largest error of a density, as a share of what it would be if all samples of its place lay on one point.
+TOLERANCE = 1e-10
+#: Densities up to this share of that value count as zero. It lies far above the tolerance.
+FLOOR = 1e-6
 WIDTH = 0.5  # cell size in kernel widths
-TERMS = 16
-REACH = 18  # cells; beyond 9 kernel widths the kernel is below 1e-17
+
+
+def _terms() -> int:
+    """Terms after which the series' remainder, for offsets up to one cell, is a tenth of the tolerance."""
+    return next(m for m in range(1, 64) if 1.1 * WIDTH**m / math.sqrt(math.factorial(m)) < TOLERANCE / 10)
+
+
+TERMS = _terms()
+REACH = math.ceil(math.sqrt(-2 * math.log(TOLERANCE / 10)) / WIDTH) + 1  # cells
 _COEF = [f"c{b}" for b in range(TERMS)]
 BLOCK = 1024  # targets per numpy block
 _MADE: dict[str, np.ndarray] = {}  # per worker
@@ -69,7 +80,7 @@ def kernels(samples: DataFrame) -> DataFrame:
     )
 
 
-# --- small places: direct sums ------------------------------------------------------------------------
+# --- direct sums ------------------------------------------------------------------------
 
 
 def _direct(group: pd.DataFrame, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
@@ -90,13 +101,13 @@ def _grid_columns(nx: int, ny: int, width: float, height: float) -> tuple[Column
     return gx.cast("double"), gy.cast("double")
 
 
-# --- large places: cells ---------------------------------------------------------------------------------
+# --- cells ---------------------------------------------------------------------------------
 
 
 def _round_coordinates(points: DataFrame, kernel: DataFrame) -> DataFrame:
     """Cell and offset of each point in its place's round coordinates."""
     dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    table = points.join(kernel, "name").withColumns(
+    table = beside_runs(points, kernel, "inner", on="name").withColumns(
         {"_u": F.col("a") * dx, "_v": F.col("b") * dx + F.col("d") * dy}
     )
     table = table.withColumns({"cu": F.floor(F.col("_u") / WIDTH), "cv": F.floor(F.col("_v") / WIDTH)})
@@ -177,8 +188,8 @@ def _along_v(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
 
 def _read_cells(points: DataFrame) -> DataFrame:
     """Value of the cell's polynomial at each point; 0 where no sample is within reach."""
-    kept = [f for f in points.schema.fields if f.name not in ("du", "dv", "coefs", "peak")]
-    schema = T.StructType(kept + [T.StructField("density", T.DoubleType())])
+    kept = [f for f in points.schema.fields if f.name not in ("du", "dv", "coefs", "peak", "n")]
+    schema = T.StructType(kept + [T.StructField(c, T.DoubleType()) for c in ("density", "relative")])
     names = [f.name for f in kept]
 
     def read(batches):
@@ -190,7 +201,8 @@ def _read_cells(points: DataFrame) -> DataFrame:
                 u = np.vander(batch.loc[known, "du"].to_numpy(), TERMS, increasing=True)
                 v = np.vander(batch.loc[known, "dv"].to_numpy(), TERMS, increasing=True)
                 value[known] = np.einsum("ki,kij,kj->k", u, coefs, v)
-            yield batch[names].assign(density=np.maximum(value, 0.0) * batch["peak"].to_numpy())
+            value = np.maximum(value, 0.0)
+            yield batch[names].assign(density=value * batch["peak"].to_numpy(), relative=value / batch["n"].to_numpy())
 
     return points.mapInPandas(read, schema)
 
@@ -218,25 +230,28 @@ def _cell_density(samples: DataFrame, targets: DataFrame, kernel: DataFrame) ->
         _along_v, fields + ", coefs array<double>"
     )
     found = at.join(polynomials, ["name", "cu", "cv"], "left")
-    return _read_cells(found.select(*targets.columns, "du", "dv", "coefs", "peak"))
+    return _read_cells(found.select(*targets.columns, "du", "dv", "coefs", "peak", "n"))
 
 
 # --- operators -----------------------------------------------------------------------------------------
 
 
-def kde_points(samples: DataFrame, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
-    """Density of each place's samples at the samples themselves."""
+def kde_points(samples: DataFrame, method: str = "cells") -> DataFrame:
+    """Density of each place's samples at the samples themselves.
+
+    ``relative`` is its share of the density all samples would have on one point.
+    """
     kernel = kernels(samples)
     rows = samples.select("run_id", "name", "x", "y")
-    schema = T.StructType(rows.schema.fields + [T.StructField("density", T.DoubleType())])
+    if method == "cells":
+        return _cell_density(rows, rows, kernel)
+    schema = T.StructType(rows.schema.fields + [T.StructField(c, T.DoubleType()) for c in ("density", "relative")])
 
     def direct(group: pd.DataFrame) -> pd.DataFrame:
         density = _direct(group, group["x"].to_numpy(), group["y"].to_numpy())
-        return group[["run_id", "name", "x", "y"]].assign(density=density)
+        return group[["run_id", "name", "x", "y"]].assign(density=density, relative=density / (group["peak"] * group["n"]))
 
-    small = rows.join(kernel.filter(F.col("n") <= direct_limit), "name").groupBy("name").applyInPandas(direct, schema)
-    large = kernel.filter(F.col("n") > direct_limit)
-    return small.unionByName(_cell_density(rows, rows, large))
+    return rows.join(kernel, "name").groupBy("name").applyInPandas(direct, schema)
 
 
 def grid(places: DataFrame, nx=DENSITY_GRID[0], ny=DENSITY_GRID[1], width=CANVAS_WIDTH, height=CANVAS_HEIGHT):
@@ -248,27 +263,33 @@ def grid(places: DataFrame, nx=DENSITY_GRID[0], ny=DENSITY_GRID[1], width=CANVAS
 
 def kde_grid(
     samples: DataFrame, nx: int = DENSITY_GRID[0], ny: int = DENSITY_GRID[1],
-    width: float = CANVAS_WIDTH, height: float = CANVAS_HEIGHT, direct_limit: int = DIRECT_LIMIT,
+    width: float = CANVAS_WIDTH, height: float = CANVAS_HEIGHT, method: str = "cells",
 ) -> DataFrame:
     """Density of each place's samples on a regular grid over the canvas."""
     kernel = kernels(samples)
     rows = samples.select("name", "x", "y")
+    if method == "cells":
+        return _cell_density(rows, grid(kernel, nx, ny, width, height), kernel)
 
     def direct(group: pd.DataFrame) -> pd.DataFrame:
         cell = np.arange(nx * ny, dtype=np.int32)
         xs, ys = cell // ny * (width / (nx - 1)), cell % ny * (height / (ny - 1))
+        density = _direct(group, xs, ys)
+        relative = density / (group["peak"].iat[0] * group["n"].iat[0])
         return pd.DataFrame({
-            "name": group["name"].iat[0], "cell": cell, "x": xs, "y": ys, "density": _direct(group, xs, ys),
+            "name": group["name"].iat[0], "cell": cell, "x": xs, "y": ys, "density": density, "relative": relative,
         })
 
-    schema = "name string, cell int, x double, y double, density double"
-    small = rows.join(kernel.filter(F.col("n") <= direct_limit), "name").groupBy("name").applyInPandas(direct, schema)
-    large = kernel.filter(F.col("n") > direct_limit)
-    return small.unionByName(_cell_density(rows, grid(large, nx, ny, width, height), large))
+    schema = "name string, cell int, x double, y double, density double, relative double"
+    return rows.join(kernel, "name").groupBy("name").applyInPandas(direct, schema)
 
 
-def positive_density(densities: DataFrame) -> DataFrame:
-    return densities.filter(F.col("density") > 0)
+def positive_density(densities: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """Rows whose density is above ``floor`` times what its place's samples would have on one point.
+
+    A kernel is nowhere zero; the floor says where it counts as zero, for any number of samples and either method.
+    """
+    return densities.filter(F.col("relative") > floor)
 
 
 def density_range(densities: DataFrame) -> DataFrame:

@@ -31,16 +31,18 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int
     return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def beside_runs(table: DataFrame, values: DataFrame, how: str = "left", limit: int = 10_000, salts: int = 64) -> DataFrame:
-    """Put one row of ``values`` per run beside the rows of ``table``, without exchanging ``table`` by run alone.
+def beside_runs(
+    table: DataFrame, values: DataFrame, how: str = "left", on: str = KEY, limit: int = 10_000, salts: int = 64
+) -> DataFrame:
+    """Put one row of ``values`` per run (or other key) beside the rows of ``table``, without exchanging ``table`` by run alone.
 
     The values are computed once, by a job of their own. Up to ``limit`` of them are broadcast; with more, runs are
     spread over ``salts`` tasks each. Both ways give the same rows.
     """
     found = values.limit(limit + 1).collect()
     if len(found) > limit:
-        return salted_join(table, values, [KEY], salts, how)
-    return table.join(F.broadcast(table.sparkSession.createDataFrame(found, values.schema)), KEY, how)
+        return salted_join(table, values, [on], salts, how)
+    return table.join(F.broadcast(table.sparkSession.createDataFrame(found, values.schema)), on, how)
 
 
 def with_endpoints(edges: DataFrame, positions: DataFrame, salts: int = 1) -> DataFrame:

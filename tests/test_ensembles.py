@@ -36,9 +36,9 @@ def groups():
     }
 
 
-@pytest.mark.parametrize("limit", [0, 2048, 10**9])
-def test_densities_at_samples(spark, groups, limit):
-    got = kde.kde_points(_samples(spark, groups), direct_limit=limit).toPandas()
+@pytest.mark.parametrize("method", ["cells", "direct"])
+def test_densities_at_samples(spark, groups, method):
+    got = kde.kde_points(_samples(spark, groups), method=method).toPandas()
     assert set(got.name) == {"cloud", "two", "pair"}
     for name in ("cloud", "two", "pair"):
         x, y = groups[name]
@@ -47,9 +47,9 @@ def test_densities_at_samples(spark, groups, limit):
         assert np.abs(mine - want).max() < 1e-10 * want.max()
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_densities_on_the_grid(spark, groups, limit):
-    got = kde.kde_grid(_samples(spark, groups), 30, 25, direct_limit=limit).toPandas()
+@pytest.mark.parametrize("method", ["cells", "direct"])
+def test_densities_on_the_grid(spark, groups, method):
+    got = kde.kde_grid(_samples(spark, groups), 30, 25, method=method).toPandas()
     assert len(got) == 3 * 30 * 25
     for name in ("cloud", "two"):
         mine = got[got.name == name].sort_values("cell")
@@ -71,11 +71,19 @@ def test_eligibility_and_range(spark, groups, table):
     assert {r.name for r in kde.kde_eligible(samples).collect()} == {"cloud", "two", "pair", "line"}
     nothing = kde.density_range(kde.kde_points(samples.filter("name = 'line'"))).first()
     assert tuple(nothing) == (0.0, 1.0)
-    rows = table("name string, density double", [("a", 0.0), ("a", 2.0)])
+    rows = table("name string, density double, relative double", [("a", 0.0, 0.0), ("a", 2.0, 0.5), ("a", 1e-9, kde.FLOOR)])
     assert tuple(kde.density_range(rows).first()) == (0.0, 2.0)
     assert kde.positive_density(rows).count() == 1
 
 
+@pytest.mark.parametrize("count", [2000, 2100])
+def test_positive_cells_do_not_depend_on_method_or_count(spark, count):
+    rng = np.random.default_rng(count)
+    samples = _samples(spark, {"n": (rng.normal(600, 40, count), rng.normal(375, 40, count))})
+    cells = {m: {r.cell for r in kde.positive_density(kde.kde_grid(samples, 60, 60, method=m)).collect()} for m in ("cells", "direct")}
+    assert cells["cells"] == cells["direct"] and 200 < len(cells["cells"]) < 3600
+
+
 def test_moments_and_ellipses(spark, groups):
     samples = _samples(spark, groups)
     x, y = groups["cloud"]

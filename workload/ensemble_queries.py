@@ -69,45 +69,46 @@ def ellipses(t: Tables):
 
 
 def _density(table, *plain: str):
-    """Densities per million square pixels."""
-    return table.select(*plain, rounded(F.col("density") * 1e6, 6).alias("density"))
+    """Densities per million square pixels, to more digits than the method's tolerance can change."""
+    return table.select(*plain, rounded(F.col("density") * 1e6, 3).alias("density"))
 
 
-@query(f"WITH {POINTS} SELECT run_id, name, {r('density*1e6',6)} AS density FROM de")
+@query(f"WITH {POINTS} SELECT run_id, name, {r('density*1e6',3)} AS density FROM de")
 def kde_points(t: Tables):
     return _density(kde.kde_points(t.samples()), KEY, "name")
 
 
-@query(f"WITH {POINTS} SELECT run_id, name, {r('density*1e6',6)} AS density FROM de")
+@query(f"WITH {POINTS} SELECT run_id, name, {r('density*1e6',3)} AS density FROM de")
 def kde_points_cells(t: Tables):
-    """The same densities by the method for places with many samples."""
-    return _density(kde.kde_points(t.samples(), direct_limit=0), KEY, "name")
+    """The same densities with the method named."""
+    return _density(kde.kde_points(t.samples(), method="cells"), KEY, "name")
 
 
-@query(f"WITH {GRID} SELECT name, cell, {r('x',6)} AS x, {r('y',6)} AS y, {r('density*1e6',6)} AS density FROM dg")
+@query(f"WITH {GRID} SELECT name, cell, {r('x',6)} AS x, {r('y',6)} AS y, {r('density*1e6',3)} AS density FROM dg")
 def kde_grid(t: Tables):
     table = kde.kde_grid(t.samples(), NX, NY).withColumn("cell", F.col("cell").cast("bigint"))
     table = table.withColumns({"x": rounded("x", 6), "y": rounded("y", 6)})
     return _density(table, "name", "cell", "x", "y")
 
 
-@query(f"WITH {GRID} SELECT name, cell, {r('density*1e6',6)} AS density FROM dg")
+@query(f"WITH {GRID} SELECT name, cell, {r('density*1e6',3)} AS density FROM dg")
 def kde_grid_cells(t: Tables):
-    table = kde.kde_grid(t.samples(), NX, NY, direct_limit=0).withColumn("cell", F.col("cell").cast("bigint"))
+    table = kde.kde_grid(t.samples(), NX, NY, method="cells").withColumn("cell", F.col("cell").cast("bigint"))
     return _density(table, "name", "cell")
 
 
-@query(f"WITH {GRID} SELECT name, cell, {r('density*1e6',6)} AS density FROM dg WHERE {r('density*1e6',6)}>0")
+@query(f"""WITH {GRID} SELECT name, cell, {r('density*1e6',3)} AS density FROM dg JOIN ke USING (name)
+WHERE density*2*pi()*sqrt(det)*h2>1e-6""")
 def positive_density(t: Tables):
-    """Grid cells whose density, given to six digits, is above zero."""
+    """Grid cells whose density lies above the floor, a millionth of the most their place could have."""
     table = kde.kde_grid(t.samples(), NX, NY).withColumn("cell", F.col("cell").cast("bigint"))
-    return kde.positive_density(_density(table, "name", "cell"))
+    return _density(kde.positive_density(table), "name", "cell")
 
 
-@query(f"WITH {POINTS} SELECT {r('MIN(density)*1e6',6)} AS min_density, {r('MAX(density)*1e6',6)} AS max_density FROM de")
+@query(f"WITH {POINTS} SELECT {r('MIN(density)*1e6',3)} AS min_density, {r('MAX(density)*1e6',3)} AS max_density FROM de")
 def density_range(t: Tables):
     spread = kde.density_range(kde.kde_points(t.samples()))
-    return spread.select(*[rounded(F.col(c) * 1e6, 6).alias(c) for c in spread.columns])
+    return spread.select(*[rounded(F.col(c) * 1e6, 3).alias(c) for c in spread.columns])
 
 
 def _hash(*parts: str) -> str:

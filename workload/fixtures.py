@@ -64,9 +64,8 @@ class Tables:
         return _for_runs(self.one_map_distances())
 
     def one_map_directions(self) -> DataFrame:
-        first = self.read("lineitem").filter("l_linenumber = 1")
         tokens = F.array(*[F.lit(t) for t in TOKENS])
-        return first.select(
+        return self.read("lineitem").select(
             F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("place_a"),
             F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("place_b"),
             F.element_at(tokens, (F.col("l_orderkey") % 8 + 1).cast("int")).alias("direction"),
@@ -103,10 +102,11 @@ class Tables:
         return suppliers.unionByName(parts)
 
     def samples(self) -> DataFrame:
-        e = F.col("embedding")
-        return self.read("embeddings").select(
-            F.col("vec_id").alias(KEY), F.concat(F.lit("N"), F.col("label").cast("string")).alias("name"),
-            (600 + 300 * e[0].cast("double")).alias("x"), (375 + 300 * e[1].cast("double")).alias("y"),
+        """Every pair of numbers of a vector as a point, in a run of its own; five places."""
+        pair = F.posexplode(F.expr("transform(sequence(0, 31), i -> struct(embedding[2 * i] AS a, embedding[2 * i + 1] AS b))"))
+        return self.read("embeddings").select("vec_id", "label", pair.alias("i", "p")).select(
+            (F.col("vec_id") * 32 + F.col("i")).alias(KEY), F.concat(F.lit("N"), (F.col("label") % 5).cast("string")).alias("name"),
+            (600 + 300 * F.col("p.a").cast("double")).alias("x"), (375 + 300 * F.col("p.b").cast("double")).alias("y"),
         )
 
     def sample_arrays(self) -> DataFrame:
@@ -158,7 +158,7 @@ CTES = {
   SELECT 'S'||l_suppkey AS place_a, 'P'||l_partkey AS place_b,
     CASE l_orderkey%8 WHEN 0 THEN 'E' WHEN 1 THEN 'W' WHEN 2 THEN 'N' WHEN 3 THEN 'S'
          WHEN 4 THEN 'SE' WHEN 5 THEN 'NW' WHEN 6 THEN 'NE' ELSE 'SW' END AS direction
-  FROM lineitem WHERE l_linenumber=1""",
+  FROM lineitem""",
     "directions": "SELECT run_id, d.* FROM one_map_directions d CROSS JOIN runs",
     "ground_truth": """
   SELECT CASE WHEN s_suppkey%8=5 THEN -1-s_suppkey ELSE s_suppkey*40 END AS row_no,
@@ -171,8 +171,9 @@ CTES = {
   SELECT p_partkey*2+1, '', 'P'||p_partkey, '', 73.3e0+(p_partkey*41%1900)/1e2, 37.2e0+(p_partkey*59%700)/1e2
   FROM part WHERE p_partkey%10<>3""",
     "samples": """
-  SELECT vec_id AS run_id, 'N'||label AS name,
-    600+300*CAST(embedding[1] AS DOUBLE) AS x, 375+300*CAST(embedding[2] AS DOUBLE) AS y FROM embeddings""",
+  SELECT vec_id*32+i AS run_id, 'N'||(label%5) AS name,
+    600+300*CAST(embedding[2*i+1] AS DOUBLE) AS x, 375+300*CAST(embedding[2*i+2] AS DOUBLE) AS y
+  FROM embeddings CROSS JOIN range(32) q(i)""",
     "history": """
   SELECT user_id AS run_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration, value AS stress
   FROM events""",
