@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from placemap.constants import KEY
 from placemap.functions.chance import hash_uniform
+from placemap.operators.joins import beside_runs
+from placemap.sources.storage import stored
 
 
 def _keys(edges: DataFrame) -> list[str]:
@@ -38,52 +40,41 @@ def degrees(distances: DataFrame) -> DataFrame:
 
 
 def adjacency(distances: DataFrame, page_rows: int = 10_000) -> DataFrame:
-    """Neighbours per place as sorted arrays.
+    """Neighbours as sorted arrays, one row per run, name and page.
 
-    Equal entries are counted in ``copies`` before they are collected, and a hub's list is spread over
-    ``pages`` rows of at most about ``page_rows`` entries, so no array grows with the degree. Ordinary
-    places have one page.
+    Equal entries are counted in ``copies`` before they are collected. A place with more than ``page_rows`` different
+    entries has them dealt by hash over ``pages`` rows of about that many, so no array grows with the degree;
+    others have page 0 of one.
     """
     entries = (
         symmetric_edges(distances)
         .groupBy(KEY, F.col("place_a").alias("name"), F.col("place_b").alias("neighbor"), "li_eval", "li_spring")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    sizes = degrees(distances).select(KEY, "name", F.ceil(F.col("degree") / page_rows).cast("int").alias("pages"))
-    page = F.pmod(F.xxhash64("neighbor", "li_eval", "li_spring"), F.col("pages")).cast("int")
-    return (
-        entries.join(sizes, [KEY, "name"])
-        .groupBy(KEY, "name", "pages", page.alias("page"))
-        .agg(
-            F.sum("copies").alias("entries"),
-            F.array_sort(F.collect_list(F.struct("neighbor", "li_eval", "li_spring", "copies"))).alias("neighbors"),
-        )
+    sizes = entries.groupBy(KEY, "name").agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("_pages"))
+    paged = beside_runs(entries, sizes.filter("_pages > 1"), on=[KEY, "name"]).withColumn("pages", F.coalesce("_pages", F.lit(1)))
+    page = F.floor(hash_uniform("page", F.col("neighbor"), F.col("li_eval"), F.col("li_spring")) * F.col("pages")).cast("int")
+    return paged.groupBy(KEY, "name", "pages", page.alias("page")).agg(
+        F.sum("copies").alias("entries"),
+        F.array_sort(F.collect_list(F.struct("neighbor", "li_eval", "li_spring", "copies"))).alias("neighbors"),
     )
 
 
-def dense_ids(places: DataFrame, bucket_rows: int = 100_000, max_buckets: int = 1000) -> DataFrame:
+def dense_ids(places: DataFrame, partitions: int | None = None) -> DataFrame:
     """Index 0..N-1 in name order within each run, without sorting a large run in one task.
 
-    A run above ``bucket_rows`` places is cut at about ``max_buckets`` of its own names (picked by hash,
-    so a retry picks the same ones). Ranks are taken inside the cuts and shifted by the counts before.
+    The places are dealt into ``partitions`` ranges of (run, name), written with their range's number, numbered inside
+    each and shifted by the counts of the run's ranges before.
     """
-    sizes = places.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = (
-        places.join(sizes.filter(F.col("_n") > bucket_rows), KEY)
-        .filter(hash_uniform("cut", F.col(KEY), F.col("name")) * F.col("_n") < max_buckets)
-        .groupBy(KEY)
-        .agg(F.collect_list("name").alias("_cuts"))
-    )
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col("name")))
-    placed = places.join(cuts, KEY, "left").select(
-        *places.columns, F.when(F.col("_cuts").isNull(), 0).otherwise(below).alias("_bucket")
-    )
-    counts = placed.groupBy(KEY, "_bucket").agg(F.count(F.lit(1)).alias("_count"))
-    before = Window.partitionBy(KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(KEY, "_bucket", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(KEY, "_bucket").orderBy("name")
+    by = [F.col(KEY), F.col("name")]
+    ranges = places.repartitionByRange(*by) if partitions is None else places.repartitionByRange(partitions, *by)
+    placed = stored(ranges.withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy(KEY, "_range").agg(F.count(F.lit(1)).alias("_count"))
+    before = Window.partitionBy(KEY).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(KEY, "_range", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(KEY, "_range").orderBy("name")
     return (
-        placed.join(offsets, [KEY, "_bucket"])
+        placed.join(offsets, [KEY, "_range"])
         .withColumn("id", F.row_number().over(inside) - 1 + F.col("_offset"))
         .select(*places.columns, F.col("id").cast("bigint").alias("id"))
     )

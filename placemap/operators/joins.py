@@ -32,7 +32,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int
 
 
 def beside_runs(
-    table: DataFrame, values: DataFrame, how: str = "left", on: str = KEY, limit: int = 10_000, salts: int = 64
+    table: DataFrame, values: DataFrame, how: str = "left", on: str | list[str] = KEY, limit: int = 10_000, salts: int = 64
 ) -> DataFrame:
     """Put one row of ``values`` per run (or other key) beside the rows of ``table``, without exchanging ``table`` by run alone.
 
@@ -41,7 +41,7 @@ def beside_runs(
     """
     found = values.limit(limit + 1).collect()
     if len(found) > limit:
-        return salted_join(table, values, [on], salts, how)
+        return salted_join(table, values, [on] if isinstance(on, str) else on, salts, how)
     return table.join(F.broadcast(table.sparkSession.createDataFrame(found, values.schema)), on, how)
 
 

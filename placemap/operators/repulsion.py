@@ -4,7 +4,8 @@ The 1/d law is the field of a two-dimensional charge, so a distant group of plac
 power series about its middle (the fast multipole method of Greengard and Rokhlin). Places are put
 into quadratic cells of halving size. Near cells are joined and summed exactly, far cells through their
 series; with ``ORDER`` terms the series is exact to about twelve digits. Both parts are equi-joins on cell
-keys followed by sums, and a crowded spot only gets smaller cells.
+keys followed by sums, and a crowded spot only gets smaller cells. In the smallest cells, where the law is linear below
+its limit distance, crowds act through sums of their coordinates, which is exact. Every run has cells of its own size.
 """
 
 import sys
@@ -18,16 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placemap.constants import KEY, MIN_DISTANCE, REPULSION_STRENGTH
-from placemap.operators.joins import spread
+from placemap.operators.joins import beside_runs, spread
 from placemap.sources.storage import stored
 
 ORDER = 24  # series terms
 NEAR = 2  # cells up to this many steps away are summed exactly
+MICRO = 16  # a crowd is summed in squares of this part of the limit distance
+DEEPEST = 52  # halvings after which neighbouring doubles are as far apart as cells
 CELL = [KEY, "level", "cx", "cy"]
 
 # A series travels between tasks as the bytes of its ORDER complex numbers.
 _SERIES = T.StructType(
-    [T.StructField(KEY, T.LongType())] + [T.StructField(c, T.IntegerType()) for c in CELL[1:]]
+    [T.StructField(KEY, T.LongType()), T.StructField("level", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in CELL[2:]]
     + [T.StructField("series", T.BinaryType())]
 )
 _FIELD = T.StructType([T.StructField(KEY, T.LongType())] + [T.StructField(c, T.DoubleType()) for c in "x y ex ey".split()])
@@ -43,14 +46,13 @@ def _points(positions: DataFrame) -> DataFrame:
 
 
 def _rooted(points: DataFrame, min_d: float) -> DataFrame:
-    """Add the root square of all runs and the deepest level of cells."""
+    """Add the root square of each run and its deepest level of cells."""
     extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
-    root = points.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), extent.alias("extent"))
     # Cells more than NEAR apart must not come closer than min_d, where the law changes.
-    side = F.greatest("extent", F.lit(4 * min_d)) * (1 + 1e-9)
-    deepest = F.least(F.floor(F.log2(2 * side / min_d)), F.lit(28)).cast("int")
-    root = root.select(F.struct("x0", "y0", side.alias("side"), deepest.alias("deepest")).alias("root"))
-    return points.withColumn("_root", root.scalar()).select("*", "_root.*").drop("_root")
+    side = F.greatest(extent, F.lit(4 * min_d)) * (1 + 1e-9)
+    roots = points.groupBy(KEY).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), side.alias("side"))
+    deepest = F.least(F.floor(F.log2(2 * F.col("side") / min_d)), F.lit(DEEPEST)).cast("int")
+    return beside_runs(points, roots.withColumn("deepest", deepest), "inner")
 
 
 def _in_cells(points: DataFrame, last: Column) -> DataFrame:
@@ -58,8 +60,8 @@ def _in_cells(points: DataFrame, last: Column) -> DataFrame:
     rows = points.withColumn("level", F.explode(F.sequence(F.lit(2), last)))
     rows = rows.withColumn("cell", F.col("side") / F.pow(F.lit(2.0), F.col("level")))
     return rows.withColumns({
-        "cx": F.floor((F.col("x") - F.col("x0")) / F.col("cell")).cast("int"),
-        "cy": F.floor((F.col("y") - F.col("y0")) / F.col("cell")).cast("int"),
+        "cx": F.floor((F.col("x") - F.col("x0")) / F.col("cell")).cast("bigint"),
+        "cy": F.floor((F.col("y") - F.col("y0")) / F.col("cell")).cast("bigint"),
     })
 
 
@@ -188,52 +190,71 @@ def _push(pairs: DataFrame, min_d: float) -> DataFrame:
     return pairs.select(KEY, "x", "y", (weight * dx).alias("ex"), (weight * dy).alias("ey"))
 
 
-def _near_field(final: DataFrame, cells: DataFrame, min_d: float) -> DataFrame:
+def _near_field(final: DataFrame, cells: DataFrame, crowded: DataFrame, min_d: float) -> DataFrame:
     """Exact sums over the points of the surrounding cells of the same size."""
     steps = F.explode(F.sequence(F.lit(-NEAR), F.lit(NEAR)))
     around = final.withColumn("_ox", steps).withColumn("_oy", steps).select(
         KEY, "level", (F.col("cx") + F.col("_ox")).alias("cx"), (F.col("cy") + F.col("_oy")).alias("cy"), "x", "y"
     )
-    sources = cells.select(*CELL, F.col("x").alias("sx"), F.col("y").alias("sy"), "w")
-    return _push(around.join(sources, CELL), min_d)
+    sources = cells.join(crowded, CELL, "left_anti").select(*CELL, F.col("x").alias("sx"), F.col("y").alias("sy"), "w")
+    return _push(around.join(sources, CELL), min_d).unionByName(_crowd_field(around, cells.join(crowded, CELL, "left_semi"), min_d))
+
+
+def _crowd_field(around: DataFrame, crowd: DataFrame, min_d: float) -> DataFrame:
+    """Push of crowded cells: by sums where a small square lies within min_d of the point, else point by point."""
+    size = min_d / MICRO
+    micro = [*CELL, "mx", "my"]
+    at = crowd.withColumns({"mx": F.floor((F.col("x") - F.col("x0")) / size), "my": F.floor((F.col("y") - F.col("y0")) / size)})
+    at = at.withColumns({"_cx": F.col("x0") + (F.col("mx") + 0.5) * size, "_cy": F.col("y0") + (F.col("my") + 0.5) * size})
+    sums = at.groupBy(*micro, "_cx", "_cy").agg(
+        F.sum("w").alias("w"), F.sum(F.col("w") * (F.col("x") - F.col("_cx"))).alias("_wx"),
+        F.sum(F.col("w") * (F.col("y") - F.col("_cy"))).alias("_wy"),
+    )
+    dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
+    within = F.hypot(F.abs(dx) + size / 2, F.abs(dy) + size / 2) < min_d * (1 - 1e-9)
+    met = around.join(sums, CELL).withColumn("_within", within)
+    linear = 1 / (min_d * min_d)
+    summed = met.filter("_within").select(
+        KEY, "x", "y", ((F.col("w") * dx - F.col("_wx")) * linear).alias("ex"), ((F.col("w") * dy - F.col("_wy")) * linear).alias("ey")
+    )
+    apart = met.filter(~F.col("_within")).select(*micro, "x", "y")
+    points = at.select(*micro, F.col("x").alias("sx"), F.col("y").alias("sy"), "w")
+    return summed.unionByName(_push(apart.join(points, micro), min_d))
 
 
 def _all_field(positions: DataFrame, min_d: float, leaf: int) -> DataFrame:
     points = _rooted(_points(positions), min_d)
     counts = _in_cells(points, F.col("deepest")).groupBy(*CELL).agg(F.count(F.lit(1)).alias("points"), F.first("deepest").alias("deepest"))
     # Cells still too full; they are at most n / leaf per level. Found once, read by all parts below.
-    full = stored(counts.filter((F.col("points") > leaf) & (F.col("level") < F.col("deepest"))).select(*CELL), "cells")
-    last = full.agg(F.coalesce(F.max("level") + 1, F.lit(2)).alias("last")).scalar()
-    cells = _in_cells(points, last)
-    parents = full.toDF(KEY, "_up", "_px", "_py")
+    full = stored(counts.filter(F.col("points") > leaf).select(*CELL, (F.col("level") == F.col("deepest")).alias("_last")), "cells")
+    divided, crowded = full.filter("NOT _last").drop("_last"), full.filter("_last").drop("_last")
+    depth = divided.groupBy(KEY).agg((F.max("level") + 1).alias("_depth"))
+    cells = _in_cells(beside_runs(points, depth), F.coalesce("_depth", F.lit(2))).drop("_depth")
+    parents = divided.toDF(KEY, "_up", "_px", "_py")
     deeper = cells.filter(F.col("level") > 2).withColumns(
         {"_up": F.col("level") - 1, "_px": _half(F.col("cx")), "_py": _half(F.col("cy"))}
     )
     split = deeper.join(parents, [KEY, "_up", "_px", "_py"], "left_semi").select(*cells.columns)
     active = cells.filter(F.col("level") == 2).unionByName(split)
-    final = active.join(full, CELL, "left_anti")
-    return _far_field(active, cells).unionByName(_near_field(final, cells, min_d))
-
-
-def _small_field(positions: DataFrame, min_d: float) -> DataFrame:
-    points = _points(positions)
-    sources = points.select(KEY, F.col("x").alias("sx"), F.col("y").alias("sy"), "w")
-    return _push(points.drop("w").join(sources, KEY), min_d)
+    final = active.join(divided, CELL, "left_anti")
+    return _far_field(active, cells).unionByName(_near_field(final, cells, crowded, min_d))
 
 
 def repulsion(
-    positions: DataFrame, strength: float | Column = REPULSION_STRENGTH, min_d: float = MIN_DISTANCE,
-    leaf: int = 32, small_runs: bool = False,
+    positions: DataFrame, strength: float | Column = REPULSION_STRENGTH, min_d: float = MIN_DISTANCE, leaf: int = 32
 ) -> DataFrame:
     """Sum over all other places of strength / max(d, min_d), pushing away from them.
 
     ``strength`` may be a column over ``run_id``. ``leaf`` is the number of points a cell may hold before it
-    is split; the list of split cells is worked out at once and stored. ``small_runs`` states that the caller
-    has checked every run to hold a few dozen places at most; their pairs are then summed directly, without cells.
+    is split; the list of split cells is worked out at once and stored. A place without finite coordinates stops the job.
     """
-    places = positions.select(KEY, "name", "x", "y")
-    parts = _small_field(places, min_d) if small_runs else _all_field(places, min_d, leaf)
-    field = parts.groupBy(KEY, "x", "y").agg(F.sum("ex").alias("ex"), F.sum("ey").alias("ey"))
+
+    def finite(axis: str) -> Column:
+        lost = F.raise_error(F.concat(F.lit("place without finite coordinates: "), F.col("name"))).cast("double")
+        return F.when(F.abs(axis) < F.lit(float("inf")), F.col(axis)).otherwise(lost).alias(axis)
+
+    places = positions.select(KEY, "name", finite("x"), finite("y"))
+    field = _all_field(places, min_d, leaf).groupBy(KEY, "x", "y").agg(F.sum("ex").alias("ex"), F.sum("ey").alias("ey"))
     force = strength if isinstance(strength, Column) else F.lit(float(strength))
     return places.join(field, [KEY, "x", "y"], "left").select(
         KEY, "name",

@@ -5,7 +5,8 @@ import pytest
 from conftest import POSITIONS
 from placemap.operators.layers import map_layers
 from placemap.plans import jobs
-from placemap.sources import readers, writers
+from placemap import schemas
+from placemap.sources import readers, storage, writers
 
 BOM = b"\xef\xbb\xbf"
 
@@ -97,3 +98,38 @@ def test_unknown_truth_is_not_drawn(table):
     )
     drawn = map_layers(points.filter("lon > 0"), points.filter("lon > 0"), points, edges)
     assert {(r.layer, r.name) for r in drawn.collect()} == {("node", "a"), ("sample", "a"), ("truth", "a")}
+
+
+def test_classes_of_several_files_follow_their_names(spark, tmp_path):
+    folder = tmp_path / "classes"
+    folder.mkdir()
+    (folder / "b.csv").write_text("x,2\ny,2\n")
+    (folder / "c.csv").write_text("x,3\n")
+    (folder / "a.csv").write_text("y,1\n" * 50 + "x,1\n")
+    got = {r.name: r.group_id for r in readers.read_classes(spark, str(folder), overrides={"z": 9}).collect()}
+    assert got == {"x": 3, "y": 2, "z": 9}
+
+
+def test_several_runs_need_a_folder_each(spark, table, tmp_path):
+    positions = table(POSITIONS, [(0, "a", 1.0, 2.0), (5, "a", 3.0, 4.0)])
+    with pytest.raises(ValueError):
+        writers.write_positions(positions, str(tmp_path / "mixed"))
+    writers.write_positions_lonlat(positions, (89.84, 40.53), str(tmp_path / "runs"), by_run=True)
+    rows = readers.read_positions_lonlat(spark, str(tmp_path / "runs"))
+    assert rows.columns == ["run_id", "name", "lon", "lat", "cluster"] and {r.run_id for r in rows.collect()} == {0, 5}
+
+
+def test_rejects_and_good_rows_are_all_rows(spark, tmp_path):
+    path = _file(tmp_path, "d.csv", "a,b,li,li\nx,y,far,1\nx,y,3,4\nx,y\nx,y,1,2,3\n")
+    good, bad = readers.with_rejects(spark, path, schemas.DISTANCES_CSV, header=True)
+    assert [tuple(r) for r in good.collect()] == [("x", "y", 3, 4)]
+    assert {r.line: r.reason for r in bad.collect()} == {
+        "x,y,far,1": "no bigint in li_eval", "x,y": "no bigint in li_eval", "x,y,1,2,3": "wrong number of columns",
+    }
+
+
+def test_step_tables_are_discarded(spark):
+    storage.discard(spark)
+    tables = [storage.stored(spark.range(3)) for _ in range(2)]
+    assert sum(t.count() for t in tables) == 6
+    assert storage.discard(spark) == 2 and storage.discard(spark) == 0

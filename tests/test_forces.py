@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import DIRECTIONS, DISTANCES, POSITIONS
 from placemap.operators import forces
+from placemap.operators import repulsion as crowds
 from placemap.operators.repulsion import repulsion
 
 
@@ -40,7 +41,53 @@ def test_repulsion_of_small_runs(spark):
     rng = np.random.default_rng(2)
     runs = {r: (rng.uniform(0, 1000, 35), rng.uniform(0, 700, 35)) for r in range(3)}
     runs[3] = ([7.0, 7.0, 7.05], [1.0, 1.0, 1.0])
-    _check(repulsion(_frame(spark, runs), small_runs=True).toPandas(), runs)
+    _check(repulsion(_frame(spark, runs)).toPandas(), runs)
+
+
+def _joined_rows(frame):
+    """Rows that the joins of the near field put out."""
+    met = []
+    real = crowds._push
+
+    def push(pairs, min_d):
+        met.append(pairs)
+        return real(pairs, min_d)
+
+    crowds._push = push
+    try:
+        repulsion(frame)
+    finally:
+        crowds._push = real
+    return sum(m.count() for m in met)
+
+
+def test_crowded_spot_is_not_met_pairwise(spark):
+    rng = np.random.default_rng(4)
+    rows = {}
+    for n in (400, 4000):
+        x, y = rng.uniform(500, 500.04, n), rng.uniform(300, 300.04, n)
+        runs = {0: (np.r_[x, 0.0, 1000.0], np.r_[y, 0.0, 700.0])}
+        rows[n] = _joined_rows(_frame(spark, runs))
+        if n == 400:
+            _check(repulsion(_frame(spark, runs)).toPandas(), runs)
+    assert rows[4000] < 20 * (rows[400] + 4000)
+
+
+def test_crowd_wider_than_the_limit(spark):
+    rng = np.random.default_rng(8)
+    runs = {0: (np.r_[rng.normal(500, 0.12, 500), 0.0, 900.0], np.r_[rng.normal(300, 0.12, 500), 0.0, 500.0])}
+    _check(repulsion(_frame(spark, runs)).toPandas(), runs)
+
+
+def test_a_far_place_deepens_its_own_run_only(spark):
+    rng = np.random.default_rng(9)
+    near = {r: (rng.uniform(0, 1000, 150), rng.uniform(0, 700, 150)) for r in (0, 1)}
+    near[1][0][0] = 3e9
+    frame = crowds._rooted(crowds._points(_frame(spark, near)), 0.1)
+    depth = {r.run_id: r.deepest for r in frame.select("run_id", "deepest").distinct().collect()}
+    assert depth[0] == 14 and depth[1] == 35
+    with pytest.raises(Exception, match="without finite coordinates: 0-0"):
+        repulsion(_frame(spark, {0: ([float("nan"), 1.0], [1.0, 2.0])})).collect()
 
 
 def test_repulsion_sums_to_zero(spark):

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from conftest import DISTANCES, POSITIONS
 from placemap.operators import graph
-from placemap.operators.joins import one_run, salted_join, with_endpoints
+from placemap.operators.joins import beside_runs, one_run, salted_join, with_endpoints
 
 ROWS = [(0, "a", "b", 10, 10), (0, "a", "c", 20, 20), (0, "a", "b", 10, 10), (1, "x", "y", 5, 5)]
 
@@ -33,13 +33,22 @@ def test_adjacency_pages_hold_a_hub_whole(spark):
     assert len({n.neighbor for p in pages for n in p.neighbors}) == 5000
 
 
-def test_dense_ids_follow_name_order_for_any_bucket_size(spark):
+def test_run_values_by_broadcast_and_by_salted_join(table):
+    rows = table("run_id long, v long", [(i % 7, i) for i in range(200)])
+    values = table("run_id long, w long", [(i, 10 * i) for i in range(5)])
+    for how in ("left", "inner"):
+        few, many = (sorted(map(str, beside_runs(rows, values, how, limit=n).select("run_id", "v", "w").collect())) for n in (100, 2))
+        assert few == many
+    assert "Broadcast" in beside_runs(rows, values)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_ids_follow_name_order_for_any_number_of_ranges(spark):
     places = spark.range(3000).select(
         F.when(F.col("id") < 2900, 0).otherwise(1).cast("long").alias("run_id"),
         F.md5(F.col("id").cast("string")).alias("name"),
     )
-    for bucket in (10_000, 100):
-        rows = graph.dense_ids(places, bucket_rows=bucket, max_buckets=20).collect()
+    for partitions in (None, 1, 20):
+        rows = graph.dense_ids(places, partitions).collect()
         for run in (0, 1):
             mine = sorted((r.name, r.id) for r in rows if r.run_id == run)
             assert [i for _, i in mine] == list(range(len(mine)))

@@ -9,6 +9,7 @@ from placemap.operators.geometry import anchor_rows, positions_to_lonlat
 from placemap.operators.graph import dense_ids
 from placemap.operators.joins import one_run
 from placemap.operators.layers import map_layers
+from placemap.schemas import DISTANCES_CSV
 from placemap.sources.storage import new_path
 from placemap.sources import readers, writers
 from workload.fixtures import ALIGN, Tables
@@ -53,14 +54,13 @@ def csv_roundtrip_classes(t: Tables):
     return rows.select("name", F.col("group_id").cast("bigint").alias("group_id"))
 
 
-@query(f"""WITH {INVERSE} SELECT name, {r('lon',6)} AS lon, {r('lat',6)} AS lat, CAST(5 AS BIGINT) AS cluster FROM ll
-WHERE run_id=0""")
+@query(f"WITH {INVERSE} SELECT run_id, name, {r('lon',6)} AS lon, {r('lat',6)} AS lat, CAST(5 AS BIGINT) AS cluster FROM ll")
 def csv_roundtrip_positions_lonlat(t: Tables):
-    """The first layout as a map file."""
+    """Both layouts as map files."""
     path = new_path(t.spark, "positions-lonlat")
-    writers.write_positions_lonlat(t.positions().filter("run_id = 0"), _origin(t), path)
+    writers.write_positions_lonlat(t.positions(), _origin(t), path, by_run=True)
     rows = readers.read_positions_lonlat(t.spark, path).withColumn("cluster", F.col("cluster").cast("bigint"))
-    return pick(rows, "name", "cluster", lon=6, lat=6)
+    return pick(rows, KEY, "name", "cluster", lon=6, lat=6)
 
 
 @query(f"""WITH {INVERSE}, i AS (SELECT name, (ROW_NUMBER() OVER (ORDER BY name)-1)%6 AS cluster FROM one_map)
@@ -89,13 +89,13 @@ def _edge_columns(digits: str) -> str:
     return ", ".join(f"{r(c, 6)} AS {c}" for c in ("start_lon", "start_lat", "end_lon", "end_lat")) + digits
 
 
-@query(f"WITH {INVERSE}, {LAYER} SELECT start_name, end_name, {_edge_columns('')}, {r('err_val',8)} AS err_val FROM el WHERE run_id=0")
+@query(f"WITH {INVERSE}, {LAYER} SELECT run_id, start_name, end_name, {_edge_columns('')}, {r('err_val',8)} AS err_val FROM el")
 def csv_roundtrip_edge_errors(t: Tables):
-    first = t.positions().filter("run_id = 0")
+    positions = t.positions()
     path = new_path(t.spark, "edge-errors")
-    writers.write_edge_errors(metrics.edge_error(t.one_map_distances(), first), first, _origin(t), path)
+    writers.write_edge_errors(metrics.edge_error(t.distances(), positions), positions, _origin(t), path, by_run=True)
     rows = readers.read_edge_errors(t.spark, path)
-    return pick(rows, "start_name", "end_name", start_lon=6, start_lat=6, end_lon=6, end_lat=6, err_val=8)
+    return pick(rows, KEY, "start_name", "end_name", start_lon=6, start_lat=6, end_lon=6, end_lat=6, err_val=8)
 
 
 @query(f"WITH {INVERSE}, {LAYER} SELECT run_id, start_name, end_name, {_edge_columns('')}, {r('err_val',8)} AS err_val FROM el")
@@ -107,11 +107,25 @@ def edge_error_layer(t: Tables):
     return pick(layer, KEY, "start_name", "end_name", start_lon=6, start_lat=6, end_lon=6, end_lat=6, err_val=8)
 
 
-@query(f"SELECT name, {r('x',6)} AS x, {r('y',6)} AS y FROM positions WHERE run_id=0")
+@query(f"SELECT run_id, name, {r('x',6)} AS x, {r('y',6)} AS y FROM positions")
 def csv_roundtrip_positions(t: Tables):
     path = new_path(t.spark, "positions")
-    writers.write_positions(t.positions().filter("run_id = 0"), path)
-    return pick(t.spark.read.schema("name string, x double, y double").csv(path), "name", x=6, y=6)
+    writers.write_positions(t.positions(), path, by_run=True)
+    return pick(t.spark.read.schema("name string, x double, y double, run_id bigint").csv(path), KEY, "name", x=6, y=6)
+
+
+@query("""SELECT CASE WHEN li_eval%7=0 THEN NULL ELSE place_a END AS place_a, CASE WHEN li_eval%7=0 THEN NULL ELSE li_eval END AS li_eval,
+  CASE WHEN li_eval%7=0 THEN concat_ws(',', place_a, place_b, li_eval||'?', li_spring) END AS line,
+  CASE WHEN li_eval%7=0 THEN 'no bigint in li_eval' END AS reason FROM one_map_distances""")
+def rejects(t: Tables):
+    """Good and bad rows of a file of distances; together they are all its rows."""
+    li = F.col("li_eval").cast("string")
+    table = t.one_map_distances().withColumn("li_eval", F.when(F.col("li_eval") % 7 == 0, F.concat(li, F.lit("?"))).otherwise(li))
+    good, bad = readers.with_rejects(t.spark, _written(table, "broken", header=True), DISTANCES_CSV, header=True)
+    none = F.lit(None).cast("string")
+    return good.select("place_a", "li_eval", none.alias("line"), none.alias("reason")).unionByName(
+        bad.select(none.alias("place_a"), F.lit(None).cast("bigint").alias("li_eval"), "line", "reason")
+    )
 
 
 _LEVEL = "trunc(255*(1-least(greatest(err_val,0),3e-2)/3e-2))::INT"
@@ -119,32 +133,31 @@ _NAMES = "['red','green','blue','orange','purple','brown']"
 LAYERS = f"""{INVERSE}, {LAYER},
 ix AS (SELECT name, (ROW_NUMBER() OVER (ORDER BY name)-1)%6 AS cluster FROM one_map),
 ly AS (
-  SELECT 'node' AS layer, name, lon, lat, {_NAMES}[5+1] AS colour, 5e0 AS radius, 0.9e0 AS opacity, name AS tooltip,
-    NULL AS end_name, NULL::DOUBLE AS end_lon, NULL::DOUBLE AS end_lat, NULL::DOUBLE AS weight FROM ll WHERE run_id=0
-  UNION ALL SELECT 'sample', ll.name, lon, lat, {_NAMES}[cluster+1], 2e0, 0.5e0, NULL, NULL, NULL, NULL, NULL
+  SELECT run_id, 'node' AS layer, name, lon, lat, {_NAMES}[5+1] AS colour, 5e0 AS radius, 0.9e0 AS opacity, name AS tooltip,
+    NULL AS end_name, NULL::DOUBLE AS end_lon, NULL::DOUBLE AS end_lat, NULL::DOUBLE AS weight FROM ll
+  UNION ALL SELECT run_id, 'sample', ll.name, lon, lat, {_NAMES}[cluster+1], 2e0, 0.5e0, NULL, NULL, NULL, NULL, NULL
     FROM ll JOIN ix ON ix.name=ll.name
-  UNION ALL SELECT 'truth', name, lon, lat, {_NAMES}[2+1], 5e0, 0.9e0, name, NULL, NULL, NULL, NULL FROM truth
-    WHERE run_id=0 AND lon IS NOT NULL
-  UNION ALL SELECT 'edge', start_name, start_lon, start_lat, format('#ff{{:02x}}{{:02x}}', {_LEVEL}, {_LEVEL}), NULL, NULL,
-    printf('%.1f%%', err_val*100), end_name, end_lon, end_lat, 4.5e0 FROM el WHERE run_id=0)
-SELECT layer, name, {r('lon',6)} AS lon, {r('lat',6)} AS lat, colour, radius, opacity, tooltip, end_name,
+  UNION ALL SELECT run_id, 'truth', name, lon, lat, {_NAMES}[2+1], 5e0, 0.9e0, name, NULL, NULL, NULL, NULL FROM truth
+    WHERE lon IS NOT NULL
+  UNION ALL SELECT run_id, 'edge', start_name, start_lon, start_lat, format('#ff{{:02x}}{{:02x}}', {_LEVEL}, {_LEVEL}), NULL, NULL,
+    printf('%.1f%%', err_val*100), end_name, end_lon, end_lat, 4.5e0 FROM el)
+SELECT run_id, layer, name, {r('lon',6)} AS lon, {r('lat',6)} AS lat, colour, radius, opacity, tooltip, end_name,
   {r('end_lon',6)} AS end_lon, {r('end_lat',6)} AS end_lat, weight FROM ly"""
 
 
 def _layers(t: Tables):
     positions = t.positions()
     lonlat = positions_to_lonlat(positions, _origin(t))
-    first = lonlat.filter("run_id = 0")
     ids = dense_ids(one_run(t.places()))
     cluster = ids.select("name", F.pmod("id", F.lit(6)).alias("cluster"))
-    errors = metrics.edge_error(t.one_map_distances(), positions.filter("run_id = 0"))
+    errors = metrics.edge_error(t.distances(), positions)
     return map_layers(
-        first.withColumn("cluster", F.lit(5)), lonlat.join(cluster, "name"),
-        known.truth_layer(first, _truth(t)), metrics.edge_error_layer(errors, first),
+        lonlat.withColumn("cluster", F.lit(5)), lonlat.join(cluster, "name"),
+        known.truth_layer(lonlat, _truth(t)), metrics.edge_error_layer(errors, lonlat),
     )
 
 
-_PLAIN = ("layer", "name", "colour", "radius", "opacity", "tooltip", "end_name", "weight")
+_PLAIN = (KEY, "layer", "name", "colour", "radius", "opacity", "tooltip", "end_name", "weight")
 
 
 @query(f"WITH {LAYERS}")

@@ -27,7 +27,7 @@ def vertices(t: Tables):
 
 @query("SELECT run_id, name, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY name)-1 AS id FROM positions")
 def dense_ids(t: Tables):
-    return graph.dense_ids(t.positions().select(KEY, "name"), bucket_rows=500, max_buckets=40)
+    return graph.dense_ids(t.positions().select(KEY, "name"), partitions=8)
 
 
 @query("SELECT run_id, place_a, place_b FROM distances")
@@ -50,29 +50,37 @@ def adjacency_degree(t: Tables):
     return graph.degrees(t.distances())
 
 
-@query("""
+PAGE_ROWS = 20
+_PAGE = "CAST('0x'||substr(md5(concat_ws('|','page',neighbor,li_eval,li_spring)),1,8) AS BIGINT)/4294967296e0"
+
+
+@query(f"""
 WITH e AS (
   SELECT run_id, place_a AS name, place_b AS neighbor, li_eval, li_spring FROM distances
   UNION ALL SELECT run_id, place_b, place_a, li_eval, li_spring FROM distances),
-c AS (SELECT run_id, name, neighbor, li_eval, li_spring, COUNT(*) AS copies FROM e GROUP BY ALL)
-SELECT run_id, name, CAST(SUM(copies) AS BIGINT) AS entries,
+c AS (SELECT run_id, name, neighbor, li_eval, li_spring, COUNT(*) AS copies FROM e GROUP BY ALL),
+n AS (SELECT run_id, name, CAST(ceil(COUNT(*)/{PAGE_ROWS}e0) AS BIGINT) AS pages FROM c GROUP BY run_id, name),
+p AS (SELECT c.*, pages, CAST(floor({_PAGE}*pages) AS BIGINT) AS page FROM c JOIN n ON n.run_id=c.run_id AND n.name=c.name)
+SELECT run_id, name, pages, page, CAST(SUM(copies) AS BIGINT) AS entries,
   md5(string_agg(neighbor||':'||li_eval||':'||li_spring||':'||copies, ',' ORDER BY neighbor, li_eval, li_spring)) AS list
-FROM c GROUP BY run_id, name""")
+FROM p GROUP BY run_id, name, pages, page""")
 def adjacency(t: Tables):
-    lists = graph.adjacency(t.distances())
+    """Pages so small that most places have several."""
+    lists = graph.adjacency(t.distances(), page_rows=PAGE_ROWS)
     text = F.transform(
         "neighbors",
         lambda n: F.concat_ws(":", n.neighbor, n.li_eval.cast("string"), n.li_spring.cast("string"), n.copies.cast("string")),
     )
-    return lists.select(KEY, "name", "entries", F.md5(F.array_join(text, ",")).alias("list"))
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("pages", "page")]
+    return lists.select(KEY, "name", *whole, "entries", F.md5(F.array_join(text, ",")).alias("list"))
 
 
 @query("""
 SELECT DISTINCT run_id, name FROM (
   SELECT run_id, place_a AS name FROM distances UNION ALL SELECT run_id, place_b FROM distances) e
-WHERE name NOT IN (SELECT alias2 FROM ground_truth)""")
+WHERE name NOT IN (SELECT alias1 FROM ground_truth UNION ALL SELECT alias2 FROM ground_truth UNION ALL SELECT alias3 FROM ground_truth)""")
 def missing_names(t: Tables):
-    known = t.ground_truth().select(F.col("aliases")[1].alias("name"))
+    known = t.ground_truth().select(F.explode("aliases").alias("name"))
     return graph.missing_names(t.distances(), t.positions().join(known, "name", "left_semi"))
 
 
