@@ -42,10 +42,15 @@ def sweep_uniform(table: DataFrame, spring_jitter=SPRING_JITTER, repulsion_jitte
 
 
 def flatten_samples(arrays: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row per run and place from one ``points`` array per run; ``ids`` gives the place of each slot."""
+    """One row per run and place from one ``points`` array per run; ``ids`` gives the place of each slot.
+
+    A slot without a place stops the job.
+    """
     slots = arrays.select(KEY, F.posexplode("points").alias("id", "_p"))
     names = ids.select(F.col("id").cast("int").alias("id"), "name")
-    return slots.join(names, "id").select(KEY, "name", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+    lost = F.raise_error(F.concat(F.lit("no place for slot "), F.col("id").cast("string")))
+    name = F.coalesce("name", lost).alias("name")
+    return slots.join(names, "id", "left").select(KEY, name, F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
 
 
 def sample_mean(samples: DataFrame) -> DataFrame:

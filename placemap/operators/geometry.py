@@ -38,7 +38,10 @@ def shift(positions: DataFrame, scale: float = START_SHRINK, centre=CANVAS_CENTR
 
 
 def apply_anchors(positions: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Replace the coordinates of anchored places. Anchors without ``run_id`` hold in every run."""
+    """Replace the coordinates of anchored places. Anchors without ``run_id`` hold in every run.
+
+    An anchor without coordinates stops the job; one that is no place is refused at once, by a job of its own.
+    """
     on = [KEY, "name"] if KEY in anchors.columns else ["name"]
     fixed = anchors.select(*on, F.struct("x", "y").alias("_at"))
     given = F.col("_at").isNotNull()
@@ -48,6 +51,9 @@ def apply_anchors(positions: DataFrame, anchors: DataFrame) -> DataFrame:
         return F.when(given, F.coalesce(F.col("_at." + axis), lost)).otherwise(F.col(axis)).alias(axis)
 
     rest = [c for c in positions.columns if c not in ("x", "y")]
+    lost = fixed.join(positions.select(*on), on, "left_anti").select("name").limit(5).collect()
+    if lost:
+        raise ValueError(f"anchor is no place: {', '.join(str(row['name']) for row in lost)}")
     moved = positions.join(fixed, on, "left").select(*rest, pick("x"), pick("y"))
     return moved.select(*positions.columns)
 
@@ -58,13 +64,19 @@ def anchor_rows(table: DataFrame, name: str, **columns: str) -> DataFrame:
     return table.filter(F.col("name") == name).select(KEY, *wanted)
 
 
+def _anchored(table: DataFrame, values: DataFrame, name: str, known: str) -> DataFrame:
+    """Put each run's anchor values beside its rows; a run whose anchor lacks them stops the job."""
+    lost = F.raise_error(F.concat(F.lit(f"no anchor {name} in run "), F.col(KEY).cast("string"))).cast("double")
+    return beside_runs(table, values).withColumn(known, F.coalesce(known, lost))
+
+
 def lcc_forward(points: DataFrame, anchor: str) -> DataFrame:
     """``lon, lat`` to ``x_km, y_km`` about the anchor place, y growing southwards."""
     x, y = lcc_xy(F.col("lon"), F.col("lat"))
     projected = points.withColumn("_x", x).withColumn("_y", y)
     origin = anchor_rows(points, anchor, _lon="lon", _lat="lat")
     ox, oy = lcc_xy(F.col("_lon"), F.col("_lat"))
-    return beside_runs(projected, origin.select(KEY, ox.alias("_ox"), oy.alias("_oy"))).select(
+    return _anchored(projected, origin.select(KEY, ox.alias("_ox"), oy.alias("_oy")), anchor, "_ox").select(
         *points.columns,
         ((F.col("_x") - F.col("_ox")) / 1000).alias("x_km"),
         (-(F.col("_y") - F.col("_oy")) / 1000).alias("y_km"),
@@ -128,7 +140,7 @@ def align_rotate(positions: DataFrame, first: str, second: str, theta: float) ->
     dx = (F.col("x") - F.col("_x1")) * F.lit(KM_PER_PX)
     dy = (F.col("y") - F.col("_y1")) * F.lit(KM_PER_PX)
     x, y = rotate(dx, dy, F.col("_turn"))
-    return beside_runs(positions, frames).select(KEY, "name", x.alias("x_km"), y.alias("y_km"))
+    return _anchored(positions, frames, f"{first} or {second}", "_turn").select(KEY, "name", x.alias("x_km"), y.alias("y_km"))
 
 
 def geodesic_offset(points: DataFrame, lon0=GEODESIC_ORIGIN[0], lat0=GEODESIC_ORIGIN[1], bearing="math") -> DataFrame:
@@ -207,7 +219,7 @@ def rescale_about(positions: DataFrame, anchor: str, factor=MODEL_FACTOR, ref=RE
     """Scale another model's layout about its anchor and put the anchor on the reference pixel."""
     origin = anchor_rows(positions, anchor, _ax="x", _ay="y")
     return (
-        beside_runs(positions, origin)
+        _anchored(positions, origin, anchor, "_ax")
         .withColumn("x", (F.col("x") - F.col("_ax")) * factor + F.lit(float(ref[0])))
         .withColumn("y", (F.col("y") - F.col("_ay")) * factor + F.lit(float(ref[1])))
         .select(*positions.columns)

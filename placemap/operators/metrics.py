@@ -54,6 +54,15 @@ def layout_scores(distances: DataFrame, positions: DataFrame, salts: int = 1) ->
     )
 
 
+def scores_of(errors: DataFrame) -> DataFrame:
+    """Both stresses per run from edge errors that are already there."""
+    actual = F.col("ideal_km") + F.col("delta_km")
+    square = F.sum(F.col("delta_km") * F.col("delta_km"))
+    return errors.groupBy(KEY).agg(
+        square.alias("raw_stress"), F.sqrt(F.try_divide(square, F.sum(actual * actual))).alias("kruskal_stress")
+    )
+
+
 def edges_in_box(edges: DataFrame, inside: DataFrame) -> DataFrame:
     """Edges with both ends among the places of ``inside``."""
     names = inside.select(KEY, "name")
@@ -95,15 +104,13 @@ def error_report(errors: DataFrame, threshold: float = ERROR_CAP) -> DataFrame:
 def top_errors(errors: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` worst edges of every run.
 
-    Spark keeps at most ``k`` rows per run and task before the shuffle while ``k`` is small; for a large
-    ``k`` the ranking is first taken inside 64 slices of the run.
+    They are ranked inside 64 slices of the run first and then among the slices' best, so a run of any size keeps
+    64 k rows at most for its last ranking.
     """
-    ranked = errors
-    if k >= 1000:
-        part = Window.partitionBy(KEY, F.pmod(F.xxhash64("place_a", "place_b"), F.lit(64))).orderBy(*_report_order())
-        ranked = ranked.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= k)
+    slices = Window.partitionBy(KEY, F.pmod(F.xxhash64("place_a", "place_b"), F.lit(64))).orderBy(*_report_order())
+    best = errors.withColumn("rank", F.row_number().over(slices)).filter(F.col("rank") <= k)
     whole = Window.partitionBy(KEY).orderBy(*_report_order())
-    return ranked.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
 
 
 def edge_labels(errors: DataFrame) -> DataFrame:
@@ -130,4 +137,5 @@ def edge_error_layer(errors: DataFrame, lonlat: DataFrame, salts: int = 1) -> Da
 def model_comparison(distances: DataFrame, positions: DataFrame, truth: DataFrame, anchor: str, ref=REFERENCE_POINT):
     """RMSE and Kruskal stress of every model (run) side by side."""
     accuracy = rmse(compare_truth(positions, truth, anchor, ref)).select(KEY, "rmse_km")
-    return accuracy.join(kruskal_stress(distances, positions), KEY, "full")
+    parts = accuracy.unionByName(kruskal_stress(distances, positions), allowMissingColumns=True)
+    return parts.groupBy(KEY).agg(F.max("rmse_km").alias("rmse_km"), F.max("kruskal_stress").alias("kruskal_stress"))

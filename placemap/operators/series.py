@@ -51,11 +51,11 @@ def normalise(history: DataFrame) -> DataFrame:
 
 
 def ticks(history: DataFrame, n: int = 6) -> DataFrame:
-    """The ``n`` evenly spread axis steps of each run (counted from 0) with the stress there."""
+    """The ``n`` evenly spread axis steps of each run (counted from 0) with the stress there, null if the step is missing."""
     sizes = history.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.min("iteration").alias("_first"))
     step = F.floor(F.col("tick") * (F.col("_n") - 1) / (n - 1)).cast("bigint")
     wanted = sizes.select(KEY, "_n", "_first", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tick"))
     marks = wanted.select(KEY, "tick", step.alias("step"), (step + F.col("_first")).alias("iteration"))
-    return marks.join(history.withColumn("iteration", F.col("iteration").cast("bigint")), [KEY, "iteration"]).select(
+    return marks.join(history.withColumn("iteration", F.col("iteration").cast("bigint")), [KEY, "iteration"], "left").select(
         KEY, "tick", "step", "stress"
     )

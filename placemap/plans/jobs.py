@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from placemap.constants import ALIGN_ANCHOR, DETAIL_BOX, ERROR_CAP, KEY, REFERENCE_POINT, SECOND_ANCHOR
 from placemap.operators import density, directions as compass, ensemble as stats, metrics, truth as known
 from placemap.operators.geometry import flip_y, km_to_px, lcc_forward
-from placemap.operators.joins import one_run
+from placemap.operators.joins import beside_runs, one_run
 from placemap.operators.layers import map_layers
 from placemap.sources import readers
 
@@ -28,7 +28,7 @@ def evaluate(
     compared = known.compare_truth(positions, truth, anchor, ref)
     broken = compass.direction_violations(directions, positions)
     return {
-        "scores": metrics.layout_scores(distances, positions).join(known.rmse(compared), KEY, "left"),
+        "scores": beside_runs(metrics.layout_scores(distances, positions), known.rmse(compared)),
         "edge_errors": errors,
         "report": metrics.error_report(errors, threshold),
         "detail_errors": metrics.edge_error(distances, positions, box),

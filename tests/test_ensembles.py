@@ -127,3 +127,5 @@ def test_flatten_samples(table):
     ids = table("name string, id long", [("a", 0), ("b", 1)])
     rows = sorted(tuple(r) for r in stats.flatten_samples(arrays, ids).collect())
     assert rows == [(0, "a", 1.0, 2.0), (0, "b", 3.0, 4.0), (1, "a", 5.0, 6.0), (1, "b", 7.0, 8.0)]
+    with pytest.raises(Exception, match="no place for slot 1"):
+        stats.flatten_samples(arrays, ids.filter("id = 0")).collect()

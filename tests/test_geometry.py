@@ -113,3 +113,17 @@ def test_display_texts(spark):
     assert [r.l for r in tie.collect()] == [f"{e * 100:.2f}%" for e in (0.00125, 0.01625)]
     names = spark.range(-1, 8).select(palette(F.col("id")).alias("p")).collect()
     assert [n.p for n in names[:3]] == ["brown", "red", "green"] and names[-1].p == "green"
+
+
+def test_missing_anchors_stop_the_job(spark, table):
+    positions = table(POSITIONS, [(0, "a", 1.0, 2.0), (0, "b", 3.0, 4.0), (1, "b", 5.0, 6.0)])
+    anchors = table("name string, x double, y double", [("a", 0.0, 0.0), ("nowhere", 1.0, 1.0)])
+    with pytest.raises(ValueError, match="anchor is no place: nowhere"):
+        geo.apply_anchors(positions, anchors)
+    moved = {(r.run_id, r.name): (r.x, r.y) for r in geo.apply_anchors(positions, anchors.filter("name = 'a'")).collect()}
+    assert moved == {(0, "a"): (0.0, 0.0), (0, "b"): (3.0, 4.0), (1, "b"): (5.0, 6.0)}
+    with pytest.raises(PySparkException, match="no anchor a in run 1"):
+        geo.rescale_about(positions, "a").collect()
+    points = table("run_id long, name string, lon double, lat double", [(0, "a", None, None), (0, "b", 80.0, 40.0)])
+    with pytest.raises(PySparkException, match="no anchor a in run 0"):
+        geo.lcc_forward(points, "a").collect()

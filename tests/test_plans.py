@@ -32,9 +32,17 @@ ONE_ROW = {"density_range", "repulsion", "net_force"}
 
 @pytest.mark.parametrize("name", PLAIN)
 def test_no_single_partition_and_no_cross_join(spark, name):
-    plan = _plan(entry_point.queries()[name](spark, SMALL))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(entry_point.queries()[name](spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     if name not in ONE_ROW:
         assert "SinglePartition" not in plan
+    # nothing is exchanged on the run alone to be joined
+    for join in re.split(r"\n\n\(\d+\) ", plan):
+        if re.match(r"(SortMergeJoin|ShuffledHashJoin)", join):
+            assert not re.search(r"Left keys \[1\]: \[run_id#\d+L?\]", join), join
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
 
