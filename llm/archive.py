@@ -56,7 +56,7 @@ def write_archive(pages: DataFrame, folder: str, *, least: int = LEAST, date: st
 
 
 def _field(name: str):
-    found = F.regexp_extract("header", rf"(?m)^{name}: (.*?)\r?$", 1)
+    found = F.regexp_extract("header", rf"(?md)^{name}: (.*?)\r?$", 1)  # d: only a line feed ends a line
     return F.when(found != "", found)
 
 
@@ -80,7 +80,7 @@ def read_archive(spark: SparkSession, folder: str, *columns) -> DataFrame:
     payloads = read_payloads(spark, folder, *(columns or ("payload",)))
     parsed = headers.select(
         _page(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Type").alias("record_type"),
-        _page(_field("WARC-Refers-To")).alias("refers_to"), F.regexp_extract("header", r"Payload-Digest: sha256:(\w+)", 1).alias("digest"), "header",
+        _page(_field("WARC-Refers-To")).alias("refers_to"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("digest"), "header",
     )
     return parsed.join(payloads, "digest", "left")
 

@@ -177,7 +177,7 @@ def test_chat_round_trip(spark):
 
 def test_archive(spark):
     big, small = "x" * 1200 + "é", "tiny"
-    pages = [(1, "http://a", big), (2, "http://b\r\nWARC-Type: fake", big), (9, None, big), (3, "u", small), (4, "u", small), (5, "u", None), (6, "u", ""), (9, "again", big), (None, "u", big), (-7, "u", "y" * 1000)]
+    pages = [(1, "http://a", big), (2, "http://b\r\nWARC-Type: fake\u2028WARC-Refers-To: <urn:page:1> WARC-Payload-Digest: sha256:00", big), (9, None, big), (3, "u", small), (4, "u", small), (5, "u", None), (6, "u", ""), (9, "again", big), (None, "u", big), (-7, "u", "y" * 1000)]
     table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("header", F.lit("x")).withColumn("digest", F.lit(0))
     folder = new_path(spark, "archive-test")
     archive.write_archive(table, folder)
@@ -308,3 +308,24 @@ def test_packer_keeps_few_windows_and_no_padding():
     assert all(sum(len(ids) for _, ids in w) == 400 for w in full)
     left = [p for w in packer.windows.values() for p in w]
     assert sum(len(ids) // 4 for w in full for _, ids in w) + sum(len(ids) // 4 for _, ids in left) == sum(sizes)
+
+
+# filters and counts
+
+
+def test_twice_seen_and_frequencies(spark):
+    from llm.bloom import frequencies, twice_seen
+
+    def hashes(batches):
+        for batch in batches:
+            yield np.asarray(batch.column(0)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    once, twice = range(0, 40_000), range(40_000, 50_000)
+    table = spark.createDataFrame([(i,) for i in [*once, *twice, *twice]], "v long").repartition(7)
+    seen = twice_seen(table, hashes, expected=60_000, max_bytes=1 << 20)
+    mixed = lambda r: np.array(list(r), np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert seen.holds(mixed(twice)).all() and seen.holds(mixed(once)).mean() < 0.2
+    counts = frequencies(table, hashes, expected=60_000)
+    assert (counts.of(mixed(twice)) >= 2).all() and (counts.of(mixed(once)) >= 1).all()
+    tiny = twice_seen(table.limit(0), hashes, expected=0, max_bytes=1)
+    assert not tiny.holds(mixed(once)).any() and not len(tiny.holds(mixed([])))
