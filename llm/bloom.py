@@ -1,4 +1,4 @@
-"""A Bloom filter of the hashes that occur more than once, built from two filters on all executors.
+"""A Bloom filter of the hashes that occur more than once, built from two filters on all executors; counts of hashes.
 
 The hashes are dealt out by segment. A segment's task passes over them once with two filters of fixed size: a hash
 enters the first when it is new and the second when the first has it already. Only the second filter is kept.
@@ -93,3 +93,59 @@ def twice_seen(table: DataFrame, hashes: Callable, *, expected: int, max_bytes:
     for row in built.toLocalIterator():
         bits[row["segment"] * width : (row["segment"] + 1) * width] = row["hashes"]
     return TwiceSeen(table.sparkSession.sparkContext.broadcast(bytes(bits)))
+
+
+#: Counters of one segment.
+COUNTERS = 1 << 16
+
+
+class Frequencies:
+    """``of(hashes)``: at least how often each occurred; more where counters are shared."""
+
+    def __init__(self, counts):
+        self.counts = counts  # a broadcast of bytes
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        counts = np.frombuffer(self.counts.value, np.uint32)
+        return counts[_counter(hashes, len(counts))]
+
+
+def _counter(hashes: np.ndarray, size: int) -> np.ndarray:
+    return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) & (size - 1)
+
+
+def _deal_counts(hashes: Callable, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in hashes(batches):
+            at, times = np.unique(_counter(found, size), return_counts=True)
+            cuts = np.searchsorted(at, np.arange(0, size + 1, COUNTERS))
+            rows = [
+                (s, np.stack([at[a:b] - s * COUNTERS, times[a:b]]).astype(np.uint32).tobytes())
+                for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_PACKED)
+
+    return run
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for segment, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            at, times = np.frombuffer(packed.as_py(), np.uint32).reshape(2, -1)
+            sums.setdefault(segment, np.zeros(COUNTERS, np.uint64))[at] += times
+    for segment, total in sums.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([segment], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], schema=_PACKED
+        )
+
+
+def frequencies(table: DataFrame, hashes: Callable, *, expected: int, max_counters: int = 1 << 22) -> Frequencies:
+    """Counts of what ``hashes`` yields, in a counter per expected hash, ``max_counters`` at most (a power of two)."""
+    size = min(max_counters, max(COUNTERS, 1 << max(0, expected - 1).bit_length()))
+    dealt = table.mapInArrow(_deal_counts(hashes, size), "segment int, hashes binary")
+    counts = np.zeros(size, np.uint32)
+    for row in dealt.repartition("segment").mapInArrow(_add_counts, "segment int, hashes binary").toLocalIterator():
+        counts[row["segment"] * COUNTERS : (row["segment"] + 1) * COUNTERS] = np.frombuffer(row["hashes"], np.uint32)
+    return Frequencies(table.sparkSession.sparkContext.broadcast(counts.tobytes()))

@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.bloom import TwiceSeen, twice_seen
+from llm.bloom import Frequencies, TwiceSeen, frequencies, twice_seen
 from llm.common import without
 from placemap.sources.storage import stored
 
 #: Matches a document may ask for.
 MATCHES = (1, 2, 3, 4, 6, 8)
+#: Least number of repeated shingles a document's head holds; heads tell most dissimilar pairs apart.
+HEAD = 64
 #: Cost of verifying a candidate, in entries of a list met.
 VERIFY = 20
 _MIX = [np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F)]
@@ -106,11 +108,24 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
 
-_POSTINGS = pa.schema([(c, pa.int64()) for c in ("node", "n", "shared")] + [("token", pa.list_(pa.int64()))])
+def _often(seen: TwiceSeen):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for tokens in _tokens(batches):
+            yield tokens[seen.holds(tokens)]
+
+    return run
+
+
+PROFILES = "node long, n long, shared long, most long, head array<long>, last long"
+_PROFILES = pa.schema([*[(c, pa.int64()) for c in ("node", "n", "shared", "most")], ("head", pa.list_(pa.int64())), ("last", pa.int64())])
+
 
+def _profiles(percent: int, seen: TwiceSeen, counts: Frequencies):
+    """The first shingles of each set in the order of all sets: those seen once (left out), then rare ones first.
 
-def _postings(percent: int, seen: TwiceSeen):
-    """The longest prefix of each set, in the order (seen once, seen more often; then hash), without what is seen once."""
+    A shingle is its place in that order, count and hash. ``most`` of the head are the longest prefix; the set has no
+    shingle up to ``last`` that is not in the head or seen once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,11 +133,14 @@ def _postings(percent: int, seen: TwiceSeen):
             for node, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = np.frombuffer(packed.as_py(), np.uint64)
                 n, often = len(own), own[seen.holds(own)]
-                most = n - needed(n, percent) + MATCHES[-1] - (n - len(often))
                 if len(often) >= needed(n, percent):
-                    rows.append((node, n, len(often), often[: max(0, most)].view(np.int64).tolist()))
+                    rank = np.minimum(counts.of(often), 0x7FFE).astype(np.int64) << 48 | (often >> np.uint64(16)).astype(np.int64)
+                    rank.sort()
+                    most = max(0, n - needed(n, percent) + MATCHES[-1] - (n - len(often)))
+                    head = rank[: max(HEAD, most)]
+                    rows.append((node, n, len(often), most, head.tolist(), int(head[-1]) if len(head) < len(often) else 2**63 - 1))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _POSTINGS.types)], schema=_POSTINGS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PROFILES.types)], schema=_PROFILES)
 
     return run
 
@@ -136,9 +154,10 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def _adaptive(postings: DataFrame, percent: int) -> DataFrame:
+def _adaptive(profiles: DataFrame, percent: int) -> DataFrame:
     """node, n, shared, matches, token: each document with the number of matches it asks for and the prefix for it."""
-    lists = postings.select("node", "n", "shared", F.posexplode("token").alias("rank", "token"))
+    prefix = F.slice("head", F.lit(1), F.col("most").cast("int"))
+    lists = profiles.select("node", "n", "shared", F.posexplode(prefix).alias("rank", "token"))
     sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     met = lists.join(sizes, "token").withColumn("rank", F.col("rank") + F.col("n") - F.col("shared"))
     base = F.col("n") - F.ceil(F.col("n") * percent / 100)
@@ -147,7 +166,7 @@ def _adaptive(postings: DataFrame, percent: int) -> DataFrame:
         # all lists together hold each candidate as often as it matches, m times at least
         F.struct((e + F.floor(e * VERIFY / m)).alias("cost"), F.lit(m).alias("matches")) for m, e in zip(MATCHES, entries)
     ])).getField("matches")
-    chosen = met.groupBy("node", "n", "shared").agg(cost.alias("matches"), F.collect_list(F.struct("rank", "token", "df")).alias("all"))
+    chosen = met.groupBy("node", "n", "shared").agg(cost.alias("matches"), F.collect_list(F.struct("rank", "token")).alias("all"))
     rows = chosen.select("node", "n", "shared", "matches", F.explode("all").alias("e")).select("node", "n", "shared", "matches", "e.*")
     return rows.filter(F.col("rank") < base + F.col("matches")).select("node", "n", "shared", "matches", "token")
 
@@ -174,20 +193,36 @@ def _star_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.col("k") >= F.col("least")).select("a", "b")
 
 
-def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups with enough matches. Within a list, the documents outside its largest group meet all."""
+def _cross_pairs(postings: DataFrame, profiles: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups with enough matches, each once, at the first shingle both prefixes have.
+
+    Within a list, the documents outside its largest group meet all. What one head has up to the other's end and the
+    other lacks cannot be in both sets, which bounds their overlap.
+    """
     rooted = postings.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     top = counts.groupBy("token").agg(F.max(F.struct("k", "root")).alias("t"), F.sum("k").alias("all"))
     mixed = top.filter(F.col("t.k") < F.col("all")).select("token", F.col("t.root").alias("top"))
-    rows = rooted.join(mixed, "token")
-    minor = rows.filter(F.col("root") != F.col("top")).select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "shared", "matches", "root")])
-    other = rows.select("token", "top", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "shared", "matches", "root")])
+    # the prefix for the matches asked for: so many of the head
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("matches") - (F.col("n") - F.col("shared"))
+    rows = rooted.join(mixed, "token").join(profiles.select("node", "head", "last"), "node")
+    rows = rows.withColumn("prefix", F.slice("head", F.lit(1), length.cast("int")))
+    names = ("node", "n", "shared", "matches", "root", "head", "last", "prefix")
+    minor = rows.filter(F.col("root") != F.col("top")).select("token", *[F.col(c).alias(f"l_{c}") for c in names])
+    other = rows.select("token", "top", *[F.col(c).alias(f"r_{c}") for c in names])
     once = (F.col("r_root") == F.col("top")) | (F.col("l_node") < F.col("r_node"))
-    met = minor.join(other, "token").filter((F.col("l_root") != F.col("r_root")) & once & _may_link("l_", "r_", percent))
-    a, b = F.least("l_node", "r_node"), F.greatest("l_node", "r_node")
-    pairs = met.groupBy(a.alias("a"), b.alias("b"), F.least("l_matches", "r_matches").alias("least")).agg(F.count(F.lit(1)).alias("k"))
-    return pairs.filter(F.col("k") >= F.col("least")).select("a", "b")
+
+    def overlap(a: str, b: str):
+        """At most so many shingles of a are in b."""
+        lacking = F.filter(F.array_except(f"{a}head", f"{b}head"), lambda t: t <= F.col(f"{b}last"))
+        return F.col(f"{a}shared") - F.size(lacking)
+
+    both = F.array_intersect("l_prefix", "r_prefix")
+    first = (F.array_min(both) == minor["token"]) & (F.size(both) >= F.least("l_matches", "r_matches"))
+    close = (100 + percent) * F.least(overlap("l_", "r_"), overlap("r_", "l_")) >= percent * (F.col("l_n") + F.col("r_n"))
+    plain = (F.col("l_root") != F.col("r_root")) & once & _may_link("l_", "r_", percent)
+    met = minor.join(other, (minor["token"] == other["token"]) & F.when(plain, first & close).otherwise(False))
+    return met.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,8 +253,9 @@ def similar_groups(docs: DataFrame, *, words: int = 4, percent: int = 85, max_fi
     compared by their texts; a group's id passes over rows without doc_id (null if all are). Other columns are not
     read. An empty table gives no rows. Shingles are compared by 64-bit hashes.
 
-    The two filters (of shingles seen twice) are broadcast and bounded by ``max_filter_bytes``; fuller filters let more
-    documents through to the join, which does not depend on them.
+    The two filters (of shingles seen twice) and the counts that order shingles are broadcast and bounded, the filters by
+    ``max_filter_bytes``, the counts by four million. Fuller ones let more documents through to the join and order
+    shingles worse, but lose no link.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -230,11 +266,12 @@ def similar_groups(docs: DataFrame, *, words: int = 4, percent: int = 85, max_fi
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
     total = classes.select(F.sum("n").alias("n")).first()["n"] or 0
     second = twice_seen(classes.select("tokens"), _tokens, expected=total, max_bytes=max_filter_bytes)
-    prefixes = classes.select("node", "tokens").mapInArrow(_postings(percent, second), "node long, n long, shared long, token array<long>")
-    postings = stored(_adaptive(prefixes, percent), "postings")
+    counts = frequencies(classes.select("tokens"), _often(second), expected=total)
+    profiles = stored(classes.select("node", "tokens").mapInArrow(_profiles(percent, second, counts), PROFILES), "profiles")
+    postings = stored(_adaptive(profiles, percent), "postings")
     links = stored(_verified(_star_pairs(postings, percent), classes, percent), "links")
     labels = components(links)
-    more = stored(_verified(_cross_pairs(postings, labels, percent), classes, percent), "links")
+    more = stored(_verified(_cross_pairs(postings, profiles, labels, percent), classes, percent), "links")
     labels = components(links.union(more))
 
     roots = classes.select("sig", "doc", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
