@@ -57,7 +57,7 @@ def mix(docs: DataFrame, shares: Mapping[str, int], *, rest: int = 1, block_rows
 
     Null doc_ids are ordered like the empty string. Repeated rows each get a position of their own; which of two
     equal rows gets which is left open. Columns of docs that bear the name of an added column are replaced. An empty
-    table gives an empty one. Plan: two exchanges of the rows' own columns on (lane, slice of the hash) at most; a
+    table gives an empty one. Plan: one exchange of the rows' own columns, on (lane, slice of the hash); a
     source of any size is ranked slice by slice, and only slice counts are summed per source.
     """
     spark = docs.sparkSession
@@ -72,7 +72,8 @@ def mix(docs: DataFrame, shares: Mapping[str, int], *, rest: int = 1, block_rows
     rows = docs.select("source").count()
     digits = max(1, round(len(f"{max(rows, 1):b}") / 8))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    keyed = docs.select("*", lanes.alias("lane"), key.alias("__key")).withColumn("__slice", F.substring("__key", 1, digits))
+    # rows of no lane get one of their own, so that one exchange serves the join and the window below
+    keyed = docs.select("*", F.coalesce(lanes, F.lit(-1)).alias("lane"), key.alias("__key")).withColumn("__slice", F.substring("__key", 1, digits))
 
     sizes = keyed.groupBy("lane", "__slice").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("lane").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,8 +89,7 @@ def mix(docs: DataFrame, shares: Mapping[str, int], *, rest: int = 1, block_rows
 
     in_slice = Window.partitionBy("lane", "__slice").orderBy("__key", "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     ranked = (
-        keyed.join(starts, [keyed.lane.eqNullSafe(starts.lane), keyed["__slice"] == starts["__slice"]], "left")
-        .drop(starts.lane).drop(starts["__slice"])
+        keyed.join(starts, ["lane", "__slice"], "left")
         .withColumn("__rank", F.col("__start") + F.row_number().over(in_slice) - 1)
         .withColumn("block", F.floor(F.col("__rank") / block_rows))
     )
@@ -105,10 +105,11 @@ def mix(docs: DataFrame, shares: Mapping[str, int], *, rest: int = 1, block_rows
         placed.withColumn("slot", slot)
         .withColumn("position", F.col("slot") * block_rows + F.col("__rank") % block_rows)
         .withColumn("in_mix", F.coalesce(F.col("slot") < F.col("__p_horizon"), F.lit(False)))
+        .withColumn("lane", F.when(F.col("lane") >= 0, F.col("lane")))
         .select(*[f"`{c}`" for c in docs.columns], *ADDED)
     )
 
 
 def _share(n: int, shares: Mapping[str, int], rest: int):
     counts = [*shares.values(), *([rest] if rest else [])]
-    return F.element_at(F.array(*[F.lit(c).cast("long") for c in counts]), F.col("lane") + 1)
+    return F.get(F.array(*[F.lit(c).cast("long") for c in counts]), F.col("lane"))
