@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from placemap.constants import KEY
 from placemap.functions.chance import hash_uniform
-from placemap.operators.joins import beside_runs
 from placemap.sources.storage import stored
 
 
@@ -52,7 +51,8 @@ def adjacency(distances: DataFrame, page_rows: int = 10_000) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     sizes = entries.groupBy(KEY, "name").agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("_pages"))
-    paged = beside_runs(entries, sizes.filter("_pages > 1"), on=[KEY, "name"]).withColumn("pages", F.coalesce("_pages", F.lit(1)))
+    # the few places that need pages; how they are joined is left to their number
+    paged = entries.join(sizes.filter("_pages > 1"), [KEY, "name"], "left").withColumn("pages", F.coalesce("_pages", F.lit(1)))
     page = F.floor(hash_uniform("page", F.col("neighbor"), F.col("li_eval"), F.col("li_spring")) * F.col("pages")).cast("int")
     return paged.groupBy(KEY, "name", "pages", page.alias("page")).agg(
         F.sum("copies").alias("entries"),
