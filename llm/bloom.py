@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Bits of one segment of a filter, and bits set per hash.
 SEGMENT_BITS = 1 << 20

@@ -7,8 +7,6 @@ remaining parts) stays below the k-th best lower bound is dropped and the surviv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
