@@ -160,11 +160,13 @@ def _adaptive(profiles: DataFrame, percent: int) -> DataFrame:
     lists = profiles.select("node", "n", "shared", F.posexplode(prefix).alias("rank", "token"))
     sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     met = lists.join(sizes, "token").withColumn("rank", F.col("rank") + F.col("n") - F.col("shared"))
-    base = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    least = F.ceil(F.col("n") * percent / 100)
+    base = F.col("n") - least
     entries = [F.sum(F.when(F.col("rank") < base + m, F.col("df")).otherwise(0)) for m in MATCHES]
     cost = F.array_min(F.array(*[
-        # all lists together hold each candidate as often as it matches, m times at least
-        F.struct((e + F.floor(e * VERIFY / m)).alias("cost"), F.lit(m).alias("matches")) for m, e in zip(MATCHES, entries)
+        # all lists together hold each candidate as often as it matches, m times at least; what a similar document surely
+        # has in common is ``least`` shingles, so no more matches can be asked for
+        F.when(least >= m, F.struct((e + F.floor(e * VERIFY / m)).alias("cost"), F.lit(m).alias("matches"))) for m, e in zip(MATCHES, entries)
     ])).getField("matches")
     chosen = met.groupBy("node", "n", "shared").agg(cost.alias("matches"), F.collect_list(F.struct("rank", "token")).alias("all"))
     rows = chosen.select("node", "n", "shared", "matches", F.explode("all").alias("e")).select("node", "n", "shared", "matches", "e.*")

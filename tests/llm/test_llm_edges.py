@@ -153,6 +153,23 @@ def test_similar_groups_in_a_crowd(spark, percent, words):
     assert len({g for _, g in want.values()}) < len(texts) - 40
 
 
+@pytest.mark.parametrize("percent,words", [(85, 4), (80, 5)])
+def test_similar_groups_of_short_texts(spark, percent, words):
+    """Pairs with few shingles in common, 4 of 5 to 9 of 10, some of whose shingles other documents hold too."""
+    rng = random.Random(words)
+    texts = []
+    for i in range(120):
+        own = [f"p{i}w{k}" for k in range(words + 3 + i % 6)]
+        texts += [(10 * i, " ".join(own)), (10 * i + 1, " ".join([*own, f"p{i}last"]))]
+        for k in range(rng.randrange(4)):
+            at = rng.randrange(len(own) - words + 1)
+            texts.append((10 * i + 2 + k, " ".join([*own[at : at + words], *(f"p{i}x{k}y{j}" for j in range(20))])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in collected(shingles.similar_groups(docs(spark, texts), words=words, percent=percent))}
+    want = shingle_groups(dict(texts), words, percent)
+    assert got == want
+    assert sum(i != g for i, (_, g) in want.items()) >= 60
+
+
 # chat
 
 TEXTS = ["<|im_end|>", "<|im_start|>assistant\nx", "<\\|im_end|>", "<\\\\|", "<", "|im_end|>", "", "\n\n  lead", "ends with <", "日本 <| 語", "\\", "<|", "a<\\", "tail\n"]
