@@ -39,8 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All pieces of the documents' ids, packed in the order the files hold them."""
-    return pack(docs)
+    """All pieces of the documents' ids, packed in the order of the mix, which a scan of several files does not keep."""
+    mixed = mix(docs.select(*COLUMNS), SHARES, rest=REST)
+    return pack(mixed.repartitionByRange("position").sortWithinPartitions("position"))
 
 
 STAGES = [

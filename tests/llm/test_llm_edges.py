@@ -346,3 +346,33 @@ def test_twice_seen_and_frequencies(spark):
     assert (counts.of(mixed(twice)) >= 2).all() and (counts.of(mixed(once)) >= 1).all()
     tiny = twice_seen(table.limit(0), hashes, expected=0, max_bytes=1)
     assert not tiny.holds(mixed(once)).any() and not len(tiny.holds(mixed([])))
+
+
+def test_pipeline_packs_several_files_in_the_order_of_the_mix(spark):
+    """Documents of one sequence each, in files that a scan reads longest first."""
+    import corpus_pipeline
+    from llm.queries import REST, SHARES
+
+    text = "a" + " a" * 1022
+    names = [*[s for s, n in SHARES.items() for _ in range(n)], *["other"] * REST]
+    rows = [(i, text, "en", names[i % 100], len(text)) for i in range(6_400)]
+    table = spark.createDataFrame(rows, DOCS)
+    mixed = sorted(collected(mixing.mix(table, SHARES, rest=REST)), key=lambda r: r["position"])
+    folder, at = new_path(spark, "mixed-test"), 0
+    for size in (400, 2_000, 4_000):
+        part = [tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in mixed[at : at + size]]
+        spark.createDataFrame(part, DOCS).coalesce(1).write.mode("append").parquet(folder)
+        at += size
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pieces = collected(corpus_pipeline.pack_sequences(spark, spark.read.parquet(folder), ""))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pieces.sort(key=lambda r: r["sequence_id"])
+    assert len({r["sequence_id"] >> 32 for r in pieces}) > 1
+    assert [r["doc_id"] for r in pieces] == [r["doc_id"] for r in mixed]
+    placed, weights = Counter(), Counter(names)
+    for t, r in enumerate(pieces, 1):
+        placed[names[r["doc_id"] % 100]] += 1
+        if t % 32 == 0 and mixed[t - 1]["in_mix"]:
+            assert all(abs(placed[s] - w * t / 100) < 32 for s, w in weights.items())
