@@ -1,8 +1,8 @@
 """Quality rules from how a public vocabulary splits a text.
 
 Code points per token, the share of tokens that fall back to single bytes and the normalised entropy of the tokens
-are measured per document. Quartiles over all documents of a language and length class give the bands; a document
-outside one is rejected.
+are measured per document. Quartiles over all documents of a language and length class, merged with those of wider groups as far as
+the class is small, give the bands; a document outside one is rejected.
 """
 
 from __future__ import annotations
@@ -121,22 +121,35 @@ def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, *, vocabulary_file: str = "piece_bpe_32k.model", reach: float = 4.0, least_group: int = 30) -> DataFrame:
+def judge(docs: DataFrame, *, vocabulary_file: str = "piece_bpe_32k.model", reach: float = 4.0, pool: int = 30) -> DataFrame:
     """The measures of each row with base_failed and kept.
 
     Bands are set per lang and length class (the binary logarithm of the number of words) by all documents the base
-    rules pass: the quartiles, widened by ``reach`` times their distance, but by LEAST_MARGIN at least. Groups of fewer
-    than ``least_group`` documents reject nothing. A null or empty text has no words and fails the base rules; rows
+    rules pass: the quartiles, widened by ``reach`` times their distance, but by LEAST_MARGIN at least. The quartiles of a
+    group of n documents weigh n / (n + ``pool``); the rest of the weight is that of its language over all lengths, whose
+    quartiles are merged with those of all documents in the same way. A null or empty text has no words and fails the base rules; rows
     without lang form a language of their own. Repeated rows are judged alike. Other columns are not read. An empty
     table gives no rows. Quartiles are approximate percentiles, merged from all tasks.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     measured = stored(rows.mapInArrow(_measured(vocabulary_file), _DDL), "fertility")
     measured = measured.withColumn("base_failed", base_failed()).withColumn("size_class", F.floor(F.log2(F.greatest("n_words", F.lit(1)))))
-    quartile = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(1000))
-    spans = measured.filter(~F.col("base_failed")).groupBy(F.coalesce("lang", F.lit("")).alias("__lang"), F.col("size_class").alias("__size")).agg(
-        F.count(F.lit(1)).alias("__n"), *[f for c in MEASURES for f in (quartile(c, 0.25).alias(f"__{c}_1"), quartile(c, 0.75).alias(f"__{c}_3"))]
-    )
+    quartile = lambda c, q: F.percentile_approx(c, F.lit(q / 4), F.lit(1000))
+    good, ends = measured.filter(~F.col("base_failed")), [(c, q) for c in MEASURES for q in (1, 3)]
+    lang, size = F.coalesce("lang", F.lit("")).alias("__lang"), F.col("size_class").alias("__size")
+
+    def spans_of(level: str, *by) -> DataFrame:
+        return good.groupBy(*by).agg(F.count(F.lit(1)).alias(f"__n_{level}"), *[quartile(c, q).alias(f"__{c}_{q}_{level}") for c, q in ends])
+
+    def merged(c: str, q: int):
+        at = F.col(f"__{c}_{q}_all")
+        for level in ("lang", "group"):
+            n = F.col(f"__n_{level}")
+            at = (n * F.col(f"__{c}_{q}_{level}") + pool * at) / (n + pool)
+        return at.alias(f"__{c}_{q}")
+
+    spans = spans_of("group", lang, size).join(spans_of("lang", lang), "__lang").crossJoin(spans_of("all"))
+    spans = stored(spans.select("__lang", "__size", *[merged(c, q) for c, q in ends]), "fertility-bands")
     # a row per language and length class, unless lang holds something else
     spans = stored(spans, "fertility-bands")
     if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -147,5 +160,5 @@ def judge(docs: DataFrame, *, vocabulary_file: str = "piece_bpe_32k.model", reac
         margin = F.greatest(reach * (high - low), F.lit(LEAST_MARGIN[c]))
         inside &= F.col(c).between(low - margin, high + margin)
     joined = measured.join(spans, (F.coalesce("lang", F.lit("")) == F.col("__lang")) & (F.col("size_class") == F.col("__size")), "left")
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("__n"), F.lit(0)) < least_group) | ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
     return joined.select("doc_id", "lang", *_COUNTS, *MEASURES, "base_failed", kept.alias("kept"))

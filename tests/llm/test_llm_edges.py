@@ -240,6 +240,18 @@ def test_fertility_rejects_what_the_vocabulary_splits_oddly(spark):
     assert all(rows[i]["kept"] for i in range(80) if not rows[i]["base_failed"])
 
 
+def test_fertility_judges_small_groups_by_wider_ones(spark):
+    rng = random.Random(5)
+    known = "the people of this country have always been able to find some good water near their house and home".split()
+    junk = lambda n: " ".join("".join(rng.choice("ꙮ҈ᚠ༄") for _ in range(6)) for _ in range(n))
+    rows = [(i, " ".join(rng.choice(known) for _ in range(100)), "en") for i in range(80)]
+    rows += [(100, junk(3000), "en"), (101, junk(100), "xx"), (102, junk(100), None), (103, " ".join(rng.choice(known) for _ in range(100)), "xy")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in collected(fertility.judge(table))}
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in (100, 101, 102))
+    assert got[103]["kept"] and all(got[i]["kept"] for i in range(80) if not got[i]["base_failed"])
+
+
 # mixing
 
 
