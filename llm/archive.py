@@ -85,6 +85,12 @@ def read_archive(spark: SparkSession, folder: str, *columns) -> DataFrame:
     return parsed.join(payloads, "digest", "left")
 
 
+def proven(name: str) -> F.Column:
+    """A payload column of read_archive; a row whose payload is missing or altered stops the job."""
+    said = F.concat(F.lit("payload missing or altered: sha256:"), F.coalesce("digest", F.lit("none")))
+    return F.when(F.col("verified"), F.col(name)).otherwise(F.raise_error(said)).alias(name)
+
+
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """page_id and the bytes of each WARC record: header, empty line, block (empty for a revisit), two line ends."""
     whole = read_archive(spark, folder)

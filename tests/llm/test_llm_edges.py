@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from llm import archive, chat, fertility, lines, mixing, packing, quality, repeats, search, shingles
 from placemap.sources.storage import new_path
+from conftest import SMALL
 from test_llm_queries import check_pieces, shingle_groups, windows_removed
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -217,6 +218,23 @@ def test_archive(spark):
     assert archive.read_archive(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("harm", ["altered", "missing"])
+def test_op6_stops_at_a_payload_that_is_not_proven(spark, monkeypatch, harm):
+    from llm import queries
+
+    def write(pages, folder):
+        whole = new_path(spark, "archive-test")
+        archive.write_archive(pages, whole)
+        spark.read.parquet(f"{whole}/headers").write.parquet(f"{folder}/headers")
+        payloads = spark.read.parquet(f"{whole}/payloads")
+        payloads = payloads.withColumn("payload", F.lit(b"other")) if harm == "altered" else payloads.limit(0)
+        payloads.write.parquet(f"{folder}/payloads")
+
+    monkeypatch.setattr(queries, "write_archive", write)
+    with pytest.raises(Exception, match="payload missing or altered"):
+        queries.op6_content_addressed_warc(spark, SMALL).collect()
+
+
 # fertility
 
 
