@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE = b" \t\n\x0b\x0c\r"
 
 
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def ship(spark: SparkSession) -> None:
+    """Let local workers import this package; a cluster's executors get it with the job (--py-files)."""
     context = spark.sparkContext
-    if context.master.startswith("local["):  # a cluster's executors get the package with the job (--py-files)
+    if context.master.startswith("local"):
         context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

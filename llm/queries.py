@@ -10,14 +10,17 @@ from llm.archive import proven, read_archive, write_archive
 from llm.chat import format_chats, read_back, turns_digest
 from llm.common import read
 from llm.fertility import judge
+from llm.lexical import best_documents
 from llm.lines import dedup_lines
 from llm.mixing import mix
 from llm.packing import pack
 from llm.quality import score_quality
 from llm.registry import ORACLES, QUERIES, query  # noqa: F401
+from llm.repair import damage, repair, report
 from llm.repeats import remove_repeats
 from llm.search import top_k
 from llm.shingles import similar_groups
+from llm.toxicity import score_toxicity
 from placemap.sources.storage import new_path
 
 #: Slots of a hundred for each source; all others share the rest.
@@ -102,3 +105,26 @@ def op9_suffix_bucket_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_bounded_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All pieces of all documents' ids."""
     return pack(read(spark, folder, "documents"))
+
+
+@query()
+def op11_ftrl_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for each document."""
+    return score_toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query(oracles.REPAIR)
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cost, audit and digest of each damaged and repaired conversation; nothing but zeros where no row is left."""
+    chats = read(spark, folder, "conversations")
+    found = report(repair(damage(chats))).withColumnRenamed("conv_id", "__conv")
+    every = chats.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    rows = every.join(found, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+@query(oracles.LEXICAL)
+def op13_hybrid_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return best_documents(read(spark, folder, "documents"), read(spark, folder, "benchmark"), k=10)
