@@ -7,22 +7,30 @@ the sorted spans of its tokens by binary search.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from llm.common import without
 from llm.encoding import vocabulary
 
-START, END = "<|im_start|>", "<|im_end|>"
+#: The text of a turn stands between two control strings, so that no token holds bytes of it and of anything else.
+START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: ``<`` and ``|`` with backslashes between them; inside a text one backslash more is put there, so that no text
 #: can hold a control string, and taken away again when the output is read.
 _OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-_TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", re.S)
-RENDERED = "struct<formatted string, token_ids array<int>, loss_mask array<byte>, loss_spans array<struct<start int, stop int>>>"
+_TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END) + "\n", re.S)
+RENDERED = "formatted string, token_ids array<int>, loss_mask array<byte>, loss_spans array<struct<start int, stop int>>"
+PARSED = "turns array<struct<role string, text string>>, loss_text string"
+_SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+_TURNS = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+#: Conversations of one batch, so that memory does not follow the size of Spark's batches.
+BATCH = 100
 
 
 def escape(text: str) -> str:
@@ -33,19 +41,11 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text)
 
 
-def escape_role(role: str) -> str:
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
-
-
-def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
-
-
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The conversation and the spans (code points) of its assistant texts."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        head, body = f"{START}{escape(role)}{SEP}", escape(text)
         begin = at + len(head)
         if role == "assistant" and body:
             spans.append((begin, begin + len(body)))
@@ -56,7 +56,7 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns of a rendered conversation."""
-    return [(unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
+    return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
 @lru_cache(maxsize=1)
@@ -68,15 +68,27 @@ def _encoding(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    special = {START: len(ranks) + 1, END: len(ranks) + 2}
+    special = {name: len(ranks) + 1 + i for i, name in enumerate((START, SEP, END))}
     encoding = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    lengths = np.zeros(len(ranks) + 3, np.int64)
+    lengths = np.zeros(len(ranks) + 4, np.int64)
     for piece, i in ranks.items():
         lengths[i] = len(piece)
-    lengths[special[START]], lengths[special[END]] = len(START), len(END)
+    for name, i in special.items():
+        lengths[i] = len(name)
     return encoding, lengths
 
 
+def decode(ids: np.ndarray, path: str) -> str:
+    """The text of token ids that hold whole characters."""
+    return _encoding(path)[0].decode_bytes(ids.tolist()).decode()
+
+
+def masked_texts(ids: np.ndarray, mask: np.ndarray, path: str) -> list[str]:
+    """The unescaped text of every run of masked tokens."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
+    return [unescape(decode(ids[a:b], path)) for a, b in zip(edges[::2], edges[1::2])]
+
+
 def masked(formatted: str, spans: list[tuple[int, int]], path: str) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Token ids, their loss mask, and the stretches (code points) of the spans that lie under masked tokens."""
     encoding, lengths = _encoding(path)
@@ -100,6 +112,35 @@ def masked(formatted: str, spans: list[tuple[int, int]], path: str) -> tuple[np.
     return ids, mask, under
 
 
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), kind))
+
+
+def _rendered(batches: Iterator[pa.RecordBatch], vocabulary_file: str) -> Iterator[pa.RecordBatch]:
+    path = vocabulary(vocabulary_file)
+    for batch in batches:
+        for at in range(0, len(batch), BATCH):
+            part = batch.slice(at, BATCH)
+            texts, spans = zip(*[render([(r["role"], r["text"]) for r in rows]) for rows in part.column(1).to_pylist()])
+            ids, masks, under = zip(*[masked(t, s, path) for t, s in zip(texts, spans)])
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), pa.array(texts, pa.string()), _lists(ids, pa.int32()), _lists(masks, pa.int8()),
+                pa.array([[{"start": a, "stop": b} for a, b in u] for u in under], pa.list_(_SPAN)),
+            ], ["conv_id", "formatted", "token_ids", "loss_mask", "loss_spans"])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], vocabulary_file: str, at: list[int]) -> Iterator[pa.RecordBatch]:
+    path = vocabulary(vocabulary_file)
+    for batch in batches:
+        for first in range(0, len(batch), BATCH):
+            part = batch.slice(first, BATCH)
+            text, ids, mask = (part.column(i) for i in at)
+            turns = [[{"role": r, "text": x} for r, x in parse(t)] for t in text.to_pylist()]
+            under = ["".join(masked_texts(np.asarray(i.values), np.asarray(m.values), path)) for i, m in zip(ids, mask)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(turns, _TURNS), pa.array(under, pa.string())], [*part.schema.names, "turns", "loss_text"])
+
+
 def format_chats(conversations: DataFrame, *, vocabulary_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """One row per conv_id: formatted, token_ids, loss_mask (1 for tokens that touch an assistant text), loss_spans
     (code points of ``formatted`` under the mask).
@@ -108,35 +149,19 @@ def format_chats(conversations: DataFrame, *, vocabulary_file: str = "byte_bpe_5
     is empty; rows without conv_id form one conversation. Other columns are not read. An empty table gives no rows.
     A conversation is one row of the result, so it must fit a task.
     """
-    @F.pandas_udf(RENDERED)
-    def rendered(turns: pd.Series) -> pd.DataFrame:
-        path, out = vocabulary(vocabulary_file), []
-        for rows in turns:
-            text, spans = render([(r["role"], r["text"]) for r in rows])
-            ids, mask, under = masked(text, spans, path)
-            out.append((text, ids, mask, [{"start": a, "stop": b} for a, b in under]))
-        return pd.DataFrame(out, columns=["formatted", "token_ids", "loss_mask", "loss_spans"])
-
     empty = F.lit("")
     turn = F.struct(
         F.col("turn"), F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text")
     )
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return grouped.select("conv_id", rendered("turns").alias("r")).select("conv_id", "r.*")
-
+    return grouped.mapInArrow(partial(_rendered, vocabulary_file=vocabulary_file), f"conv_id {grouped.schema['conv_id'].dataType.simpleString()}, {RENDERED}")
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """turns (role and text of each, parsed from the output) and loss_text (unescaped text under the mask) added."""
-    @F.pandas_udf("struct<turns array<struct<role string, text string>>, loss_text string>")
-    def parsed(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, under in zip(text, spans):
-            turns = [{"role": r, "text": x} for r, x in parse(t)]
-            rows.append((turns, "".join(unescape(t[s["start"] : s["stop"]]) for s in under)))
-        return pd.DataFrame(rows, columns=["turns", "loss_text"])
 
+def read_back(formatted: DataFrame, *, vocabulary_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """turns (role and text of each, parsed from the output) and loss_text added: what the masked token ids decode to, unescaped."""
     table = without(formatted, "turns", "loss_text")
-    return table.withColumn("__r", parsed("formatted", "loss_spans")).select(*table.columns, "__r.*")
+    schema = StructType([*table.schema, *StructType.fromDDL(PARSED)])
+    return table.mapInArrow(partial(_parsed, vocabulary_file=vocabulary_file, at=[table.columns.index(c) for c in ("formatted", "token_ids", "loss_mask")]), schema)
 
 
 def turns_digest() -> Column:
