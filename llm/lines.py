@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.bloom import TwiceSeen, twice_seen
+from llm.bloom import through_twice_seen
 from llm.common import SPACE, without
 from placemap.sources.storage import stored
 
@@ -37,7 +38,7 @@ def _hashes(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             found = []
-            for text in batch.column(0):
+            for text in batch.column(1):
                 keys = {key(line) for line in (text.as_py() or "").encode().split(b"\n")}
                 found += [xxhash.xxh3_64_intdigest(k) for k in keys if long_enough(k, least)]
             yield np.array(found, np.uint64)
@@ -45,10 +46,10 @@ def _hashes(least: int):
     return run
 
 
-def _suspects(least: int, seen: TwiceSeen):
+def _suspects(least: int):
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, owner = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -59,7 +60,7 @@ def _suspects(least: int, seen: TwiceSeen):
             at = np.flatnonzero(seen.holds(hashes))
             yield pa.RecordBatch.from_arrays([pa.array([owner[i] for i in at], pa.int64()), pa.array([_digest(keys[i]) for i in at], pa.binary())], schema=schema)
 
-    return run
+    return lambda seen, _: partial(run, seen)
 
 
 def _without_lines(least: int):
@@ -92,18 +93,18 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 20, least_docs: int = 3,
     share a doc_id count as one document; a row without doc_id counts as none and keeps no such line. A null or
     empty text is one empty line. Columns of docs named n_lines or n_dropped are replaced; the others stay.
 
-    The filter's size follows the number of lines up to ``max_filter_bytes``, which bounds what is broadcast. Beyond
-    that it lets more lines through; they are counted exactly, so the rows stay the same. Keys are compared by a
-    128-bit digest. The texts are exchanged once, to meet their list of dropped keys.
+    The filter's size follows the number of lines. Up to ``max_filter_bytes`` it is broadcast; a larger one stays on the executors and
+    is asked by exchanged hashes. Keys are compared by a 128-bit digest. The texts are exchanged once, to meet their list
+    of dropped keys, and once more if the filter is not broadcast. An empty table gives an empty one.
     """
     docs = without(docs, "n_lines", "n_dropped")
     id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     lines = docs.select(F.sum(line_count(text)).alias("n")).first()["n"] or 0
-    seen = twice_seen(docs.select(text), _hashes(least_chars), expected=lines, max_bytes=max_filter_bytes)
     # seen twice or more in documents; one row per document and key
-    suspects = stored(
-        docs.select(id_.alias("doc_id"), text.alias("text")).mapInArrow(_suspects(least_chars, seen), "doc_id long, digest binary"), "suspect-lines"
-    )
+    suspects = stored(through_twice_seen(
+        docs.select(id_.alias("doc_id"), text.alias("text")), _hashes(least_chars), _suspects(least_chars), "doc_id long, digest binary",
+        expected=lines, max_bytes=max_filter_bytes,
+    ), "suspect-lines")
     shared = suspects.groupBy("digest").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= least_docs)
     drops = (
         suspects.join(shared.select("digest", "keeper"), "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))

@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.bloom import TwiceSeen, twice_seen
+from llm.bloom import through_twice_seen
 from llm.common import without
 from placemap.sources.storage import stored
 
@@ -92,16 +92,16 @@ def _anchor_arrays(raw: bytes, length: int):
 def _anchor_hashes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            found = [h for t in batch.column(0) for h, *_ in _anchor_arrays((t.as_py() or "").encode(), length)]
+            found = [h for t in batch.column(1) for h, *_ in _anchor_arrays((t.as_py() or "").encode(), length)]
             yield np.concatenate(found) if found else np.zeros(0, np.uint64)
 
     return run
 
 
-def _contexts(length: int, seen: TwiceSeen):
+def _contexts(length: int):
     """Rows of ROWS: for each suspected anchor the text its starts cover; equal ones of a batch form one row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[tuple, list] = {}
             for text_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -120,7 +120,7 @@ def _contexts(length: int, seen: TwiceSeen):
                     pa.array([[{"text_id": t, "start": s} for t, s in v[1]] for _, v in part], _ARROW.types[5]),
                 ], schema=_ARROW)
 
-    return run
+    return lambda seen, _: partial(run, seen)
 
 
 def _parts(items: list, size: int = 5_000) -> Iterator[list]:
@@ -132,10 +132,11 @@ def _ranked(strings: list[bytes], bucket: np.ndarray, width: int) -> tuple[np.nd
     """Places of the strings in sorted order within their buckets, and what each has in common with the one before."""
     table = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width)
     words = np.ascontiguousarray(table).view(">u8")
-    order = np.lexsort([*words.T[::-1], bucket])
+    sizes = np.array([len(s) for s in strings])
+    order = np.lexsort([sizes, *words.T[::-1], bucket])  # a string before those that have NUL bytes more
     same = table[order][1:] == table[order][:-1]
     common = np.where(same.all(1), width, np.argmin(same, 1))
-    sizes = np.array([len(s) for s in strings])[order]
+    sizes = sizes[order]
     common = np.minimum(common, np.minimum(sizes[1:], sizes[:-1]))
     common[bucket[order][1:] != bucket[order][:-1]] = -1
     place = np.empty(len(order), np.int64)
@@ -219,8 +220,9 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, large_bucket: int = 1
     """
     size = texts.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     expected = 2 * size // (length - GRAM + 2) + 1
-    seen = twice_seen(texts.select("text"), _anchor_hashes(length), expected=expected, max_bytes=max_filter_bytes)
-    rows = stored(texts.select("text_id", "text").mapInArrow(_contexts(length, seen), ROWS), "contexts")
+    rows = stored(through_twice_seen(
+        texts.select("text_id", "text"), _anchor_hashes(length), _contexts(length), ROWS, expected=expected, max_bytes=max_filter_bytes
+    ), "contexts")
     large = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > large_bucket).select("h"), "large-buckets")
     few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     large = F.broadcast(large) if few else large

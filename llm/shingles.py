@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from llm.bloom import Frequencies, TwiceSeen, frequencies, twice_seen
+from llm.bloom import through_twice_seen
 from llm.common import without
 from placemap.sources.storage import stored
 
@@ -66,7 +68,7 @@ def _prefixes(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
-            for text in batch.column(0):
+            for text in batch.column(2):
                 own = shingles(text.as_py(), size)
                 found.append(own[: len(own) - needed(len(own), percent) + int(_first_matches(len(own)))])
             yield np.concatenate(found)
@@ -74,17 +76,17 @@ def _prefixes(size: int, percent: int):
     return run
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
 
 
-def _sets(size: int, percent: int, seen: TwiceSeen):
+def _sets(size: int, percent: int):
     """Every document's number of shingles, and its set unless too few of its prefix are seen elsewhere."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingles(t.as_py(), size) for t in part.column(1)]
+                sets = [shingles(t.as_py(), size) for t in part.column(2)]
                 heads = [s[: len(s) - needed(len(s), percent) + int(_first_matches(len(s)))] for s in sets]
                 hits = seen.holds(np.concatenate(heads)) if heads else np.zeros(0, bool)
                 ends = np.cumsum([0, *map(len, heads)])
@@ -97,37 +99,29 @@ def _sets(size: int, percent: int, seen: TwiceSeen):
                         rows.append((n, hashlib.blake2b(packed, digest_size=16).digest(), packed))
                     else:
                         rows.append((n, None, None))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), _SETS.types[1:])]], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows), _SETS.types[2:])]], schema=_SETS)
 
-    return run
+    return lambda seen, _: partial(run, seen)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
-        sets = [np.frombuffer(t.as_py(), np.uint64) for t in batch.column(0)]
+        sets = [np.frombuffer(t.as_py(), np.uint64) for t in batch.column(1)]
         yield np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
 
-def _often(seen: TwiceSeen):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for tokens in _tokens(batches):
-            yield tokens[seen.holds(tokens)]
-
-    return run
-
-
 PROFILES = "node long, n long, shared long, most long, head array<long>, last long"
 _PROFILES = pa.schema([*[(c, pa.int64()) for c in ("node", "n", "shared", "most")], ("head", pa.list_(pa.int64())), ("last", pa.int64())])
 
 
-def _profiles(percent: int, seen: TwiceSeen, counts: Frequencies):
+def _profiles(percent: int):
     """The first shingles of each set in the order of all sets: those seen once (left out), then rare ones first.
 
     A shingle is its place in that order, count and hash. ``most`` of the head are the longest prefix; the set has no
     shingle up to ``last`` that is not in the head or seen once.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(seen, counts, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for node, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -142,7 +136,7 @@ def _profiles(percent: int, seen: TwiceSeen, counts: Frequencies):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PROFILES.types)], schema=_PROFILES)
 
-    return run
+    return lambda seen, counts: partial(run, seen, counts)
 
 
 def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -246,6 +240,34 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "root")
 
 
+def _grouped(rows: DataFrame, words: int, percent: int, max_filter_bytes: int) -> DataFrame:
+    """doc_id, row, n_shingles and best (doc_id and row of the first of its group) of each of ``rows`` (doc_id, row, text)."""
+    size = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    sets = stored(through_twice_seen(
+        rows.select("doc_id", "row", "text"), _prefixes(words, percent), _sets(words, percent), from_arrow_schema(_SETS),
+        expected=size // 24 + 1, max_bytes=max_filter_bytes,
+    ), "shingle-sets")
+    found = sets.filter("sig IS NOT NULL")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    classes = found.groupBy("sig").agg(F.min(first).alias("best"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
+    total = classes.select(F.sum("n").alias("n")).first()["n"] or 0
+    profiles = stored(through_twice_seen(
+        classes.select("node", "tokens"), _tokens, _profiles(percent), from_arrow_schema(_PROFILES), expected=total + 1, max_bytes=max_filter_bytes, counted=True
+    ), "profiles")
+    postings = stored(_adaptive(profiles, percent), "postings")
+    links = stored(_verified(_star_pairs(postings, percent), classes, percent), "links")
+    labels = components(links)
+    more = stored(_verified(_cross_pairs(postings, profiles, labels, percent), classes, percent), "links")
+    labels = components(links.union(more))
+
+    roots = classes.select("sig", "best", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = roots.groupBy("root").agg(F.min("best").alias("best"))
+    by_class = roots.select("sig", "root").join(smallest, "root").select("sig", "best")
+    alone = sets.filter("sig IS NULL").select("doc_id", "row", "n", first.alias("best"))
+    return found.select("doc_id", "row", "n", "sig").join(by_class, "sig").drop("sig").unionByName(alone)
+
+
 def similar_groups(docs: DataFrame, *, words: int = 4, percent: int = 85, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id it reaches over links, itself included.
 
@@ -255,38 +277,22 @@ def similar_groups(docs: DataFrame, *, words: int = 4, percent: int = 85, max_fi
     compared by their texts; a group's id passes over rows without doc_id (null if all are). Other columns are not
     read. An empty table gives no rows. Shingles are compared by 64-bit hashes.
 
-    The two filters (of shingles seen twice) and the counts that order shingles are broadcast and bounded, the filters by
-    ``max_filter_bytes``, the counts by four million. Fuller ones let more documents through to the join and order
-    shingles worse, but lose no link.
+    The two filters (of shingles seen twice) and the counts that order shingles follow the number of shingles. Up to
+    ``max_filter_bytes`` they are broadcast; larger ones stay on the executors and are asked by exchanged hashes.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    first = twice_seen(rows.select("text"), _prefixes(words, percent), expected=size // 24 + 1, max_bytes=max_filter_bytes)
-    sets = stored(rows.mapInArrow(_sets(words, percent, first), "doc_id long, n long, sig binary, tokens binary"), "shingle-sets")
-    found = sets.filter("sig IS NOT NULL")
-    classes = found.groupBy("sig").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
-    total = classes.select(F.sum("n").alias("n")).first()["n"] or 0
-    second = twice_seen(classes.select("tokens"), _tokens, expected=total, max_bytes=max_filter_bytes)
-    counts = frequencies(classes.select("tokens"), _often(second), expected=total)
-    profiles = stored(classes.select("node", "tokens").mapInArrow(_profiles(percent, second, counts), PROFILES), "profiles")
-    postings = stored(_adaptive(profiles, percent), "postings")
-    links = stored(_verified(_star_pairs(postings, percent), classes, percent), "links")
-    labels = components(links)
-    more = stored(_verified(_cross_pairs(postings, profiles, labels, percent), classes, percent), "links")
-    labels = components(links.union(more))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    groups = _grouped(rows, words, percent, max_filter_bytes)
+    return groups.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"))
 
-    roots = classes.select("sig", "doc", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = roots.groupBy("root").agg(F.min("doc").alias("component"))
-    by_class = roots.join(smallest, "root").select("sig", "component")
-    return sets.select("doc_id", "n", "sig").join(by_class, "sig", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
-    )
 
+def keep_one(docs: DataFrame, *, words: int = 4, percent: int = 85, max_filter_bytes: int = 64 << 20) -> DataFrame:
+    """One row of docs per group, with its columns: that of the smallest doc_id, rows without one last.
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs but those whose group has a smaller doc_id; rows without doc_id stay."""
-    groups = similar_groups(docs, **settings)
-    gone = groups.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    docs = without(docs, "__gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    Rows are told apart by a number of their own, so of rows that share a doc_id only those with similar texts are one group, and
+    of equal rows one stays. Null and empty texts are groups of their own and stay. An empty table gives an empty one.
+    """
+    docs = without(docs, "__row", "__gone")
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
+    gone = _grouped(rows, words, percent, max_filter_bytes).filter(F.col("best.row") != F.col("row")).select(F.col("row").alias("__gone"))
+    return numbered.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

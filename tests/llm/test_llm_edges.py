@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,20 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def test_no_masked_token_holds_foreign_bytes():
+    """Texts that begin and end with line feeds, spaces and parts of control strings, next to each other."""
+    from llm.encoding import vocabulary
+
+    path, rng = vocabulary("byte_bpe_50k.tiktoken"), random.Random(2)
+    ends = ["", "\n", "\n\n", " ", "\n\n\n ", "<", "|", "<|", "|>", "\\|", "<\\|", "<|im_sep|>", "日本", "é"]
+    for _ in range(400):
+        turns = [(rng.choice(["user", "assistant", "assistant", "a\n<|im_sep|>"]), rng.choice(ends) + rng.choice(["x", "ok\n\nthen", ""]) + rng.choice(ends)) for _ in range(4)]
+        text, spans = chat.render(turns)
+        ids, mask, _ = chat.masked(text, spans, path)
+        assert chat.parse(text) == turns
+        assert chat.masked_texts(ids, mask, path) == [x for role, x in turns if role == "assistant" and x]
+
+
 # archive
 
 
@@ -378,6 +393,80 @@ def test_twice_seen_and_frequencies(spark):
     assert not tiny.holds(mixed(once)).any() and not len(tiny.holds(mixed([])))
 
 
+def plain_repeats(raws, length):
+    """Bytes of each text that a string of ``length`` bytes covers which also starts elsewhere."""
+    seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        gone = bytearray(len(r))
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        out.append(bytes(c for c, g in zip(r, gone) if not g))
+    return out
+
+
+def test_repeats_with_nul_bytes(spark):
+    """Texts of few different bytes, NUL among them, that are copies of each other's parts."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        base = "".join(rng.choices("\0\0\0a\1", k=400))
+        cut = rng.randrange(100, 300)
+        texts += [base, base[:cut] + "\0" * rng.randrange(3) + base[cut:], "\0" * rng.randrange(4) + base[rng.randrange(100) : rng.randrange(300, 400)], base[: rng.randrange(180, 260)] + "\0" * 30]
+    got = {r["doc_id"]: bytes(r["kept"]) for r in collected(repeats.remove_repeats(docs(spark, list(enumerate(texts)))))}
+    assert [got[i] for i in range(len(texts))] == plain_repeats([t.encode() for t in texts], 200)
+
+
+def test_filters_that_stay_on_the_executors_give_the_same_rows(spark):
+    """With a limit of one byte every filter is left where it is and asked by block."""
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").repartition(3)
+    table = table.unionByName(docs(spark, ODD).select("doc_id", "text"))
+    for run in (lines.dedup_lines, shingles.similar_groups, shingles.keep_one, repeats.remove_repeats):
+        wide, narrow = run(table), run(table, max_filter_bytes=1)
+        assert narrow.schema == wide.schema
+        assert Counter(map(repr, collected(narrow))) == Counter(map(repr, collected(wide)))
+        assert run(table.limit(0), max_filter_bytes=1).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 1])
+def test_filters_let_few_single_hashes_through(spark, limit):
+    """Ten times as many hashes as the limit has bytes for, or well within it: below one in a hundred."""
+    from llm.bloom import through_twice_seen
+
+    def hashes(batches):
+        for batch in batches:
+            yield np.asarray(batch.column(0)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def held(seen, counts):
+        def run(batches):
+            for batch in batches:
+                own = np.asarray(batch.column(0)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                found = seen.holds(own)
+                assert (counts.of(own[found]) >= 1).all()
+                yield batch.filter(pa.array(found))
+
+        return run
+
+    size, twice = 1_000_000, 2_000
+    table = spark.range(size, numPartitions=7).union(spark.range(twice)).select("id")
+    got = through_twice_seen(table, hashes, held, "id long", expected=size, max_bytes=limit, counted=True)
+    counts = Counter(r["id"] for r in got.collect())
+    assert all(counts[i] == 2 for i in range(twice))
+    assert len(counts) - twice < size / 100
+
+
+def test_keep_one_tells_rows_apart(spark):
+    a, b = "one two three four five six seven eight", "a wholly different text of eight own words here"
+    rows = [(2, a), (1, a), (2, b), (9, b + " x"), (9, b + " x"), (None, a), (None, "so alone are these words of no number"), (4, None), (4, None), (5, "")]
+    kept = Counter((r["doc_id"], r["text"]) for r in collected(shingles.keep_one(docs(spark, rows), words=5, percent=80)))
+    want = Counter([(1, a), (2, b), (None, "so alone are these words of no number"), (4, None), (4, None), (5, "")])
+    assert kept == want
+    wide = docs(spark, rows).withColumns({c: F.lit("x") for c in ("__row", "row", "best", "sig", "n")})
+    out = shingles.keep_one(wide, words=5, percent=80)
+    assert sorted(out.columns) == sorted(c for c in wide.columns if c != "__row") and out.count() == sum(want.values())
+
+
 def test_pipeline_packs_several_files_in_the_order_of_the_mix(spark):
     """Documents of one sequence each, in files that a scan reads longest first."""
     import corpus_pipeline
