@@ -4,15 +4,18 @@ The 1/d law is the field of a two-dimensional charge, so a distant group of plac
 power series about its middle (the fast multipole method of Greengard and Rokhlin). Places are put
 into quadratic cells of halving size. Near cells are joined and summed exactly, far cells through their
 series; with ``ORDER`` terms the series is exact to about twelve digits. Both parts are equi-joins on cell
-keys followed by sums, and a crowded spot only gets smaller cells. In the smallest cells, where the law is linear below
-its limit distance, crowds act through sums of their coordinates, which is exact. Every run has cells of its own size.
+keys followed by sums, and a crowded spot only gets smaller cells. Below the limit distance, where the law is linear, crowds act through
+sums of their coordinates, beyond it through series again, and only the ring between is met point by point. Every run has
+cells of its own size.
 """
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,6 @@ from placemap.sources.storage import stored
 
 ORDER = 24  # series terms
 NEAR = 2  # cells up to this many steps away are summed exactly
-MICRO = 16  # a crowd is summed in squares of this part of the limit distance
 DEEPEST = 52  # halvings after which neighbouring doubles are as far apart as cells
 CELL = [KEY, "level", "cx", "cy"]
 
@@ -58,7 +60,10 @@ def _rooted(points: DataFrame, min_d: float) -> DataFrame:
 def _in_cells(points: DataFrame, last: Column) -> DataFrame:
     """One row per point and level from 2 to ``last``."""
     rows = points.withColumn("level", F.explode(F.sequence(F.lit(2), last)))
-    rows = rows.withColumn("cell", F.col("side") / F.pow(F.lit(2.0), F.col("level")))
+    return _celled(rows.withColumn("cell", F.col("side") / F.pow(F.lit(2.0), F.col("level"))))
+
+
+def _celled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({
         "cx": F.floor((F.col("x") - F.col("x0")) / F.col("cell")).cast("bigint"),
         "cy": F.floor((F.col("y") - F.col("y0")) / F.col("cell")).cast("bigint"),
@@ -190,36 +195,149 @@ def _push(pairs: DataFrame, min_d: float) -> DataFrame:
     return pairs.select(KEY, "x", "y", (weight * dx).alias("ex"), (weight * dy).alias("ey"))
 
 
-def _near_field(final: DataFrame, cells: DataFrame, crowded: DataFrame, min_d: float) -> DataFrame:
+def _near_field(final: DataFrame, cells: DataFrame, crowded: DataFrame, min_d: float, leaf: int) -> DataFrame:
     """Exact sums over the points of the surrounding cells of the same size."""
+    sources = cells.join(crowded, CELL, "left_anti").select(*CELL, F.col("x").alias("sx"), F.col("y").alias("sy"), "w")
+    met = _push(_around(final, "x", "y").join(sources, CELL), min_d)
+    if not crowded.limit(1).count():
+        return met
+    return met.unionByName(_crowd_field(final, cells.join(crowded, CELL, "left_semi"), min_d, leaf))
+
+
+def _around(rows: DataFrame, *columns: str) -> DataFrame:
+    """Each row once for every near cell, whose key takes the place of its own."""
     steps = F.explode(F.sequence(F.lit(-NEAR), F.lit(NEAR)))
-    around = final.withColumn("_ox", steps).withColumn("_oy", steps).select(
-        KEY, "level", (F.col("cx") + F.col("_ox")).alias("cx"), (F.col("cy") + F.col("_oy")).alias("cy"), "x", "y"
+    return rows.withColumn("_ox", steps).withColumn("_oy", steps).select(
+        KEY, "level", (F.col("cx") + F.col("_ox")).alias("cx"), (F.col("cy") + F.col("_oy")).alias("cy"), *columns
     )
-    sources = cells.join(crowded, CELL, "left_anti").select(*CELL, F.col("x").alias("sx"), F.col("y").alias("sy"), "w")
-    return _push(around.join(sources, CELL), min_d).unionByName(_crowd_field(around, cells.join(crowded, CELL, "left_semi"), min_d))
-
-
-def _crowd_field(around: DataFrame, crowd: DataFrame, min_d: float) -> DataFrame:
-    """Push of crowded cells: by sums where a small square lies within min_d of the point, else point by point."""
-    size = min_d / MICRO
-    micro = [*CELL, "mx", "my"]
-    at = crowd.withColumns({"mx": F.floor((F.col("x") - F.col("x0")) / size), "my": F.floor((F.col("y") - F.col("y0")) / size)})
-    at = at.withColumns({"_cx": F.col("x0") + (F.col("mx") + 0.5) * size, "_cy": F.col("y0") + (F.col("my") + 0.5) * size})
-    sums = at.groupBy(*micro, "_cx", "_cy").agg(
-        F.sum("w").alias("w"), F.sum(F.col("w") * (F.col("x") - F.col("_cx"))).alias("_wx"),
-        F.sum(F.col("w") * (F.col("y") - F.col("_cy"))).alias("_wy"),
+
+
+PAIR = [KEY, "level", "tx", "ty", "sx", "sy"]
+
+
+def _children(points: DataFrame, level: Column, x: str, y: str) -> DataFrame:
+    """The points of a set of cells one level further down, with the number of points and their sums about the middle."""
+    rows = points.withColumn("level", level).withColumn("cell", F.col("side") / F.pow(F.lit(2.0), F.col("level")))
+    rows = _centred(_celled(rows))
+    return rows.groupBy(*CELL, "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("u")).alias("wu"), F.sum(F.col("w") * F.col("v")).alias("wv")
+    ).select(KEY, "level", F.col("cx").alias(x), F.col("cy").alias(y), "cell", "n", "w", "wu", "wv")
+
+
+def _split_pairs(pairs: DataFrame, targets: DataFrame, sources: DataFrame) -> DataFrame:
+    """All pairs of children of the pairs' cells."""
+    up = [(F.col("level") - 1).alias("level")]
+    t = targets.select(KEY, *up, _half(F.col("tx")).alias("_px"), _half(F.col("ty")).alias("_py"), "tx", "ty", F.col("n").alias("nt"))
+    s = sources.select(KEY, *up, _half(F.col("sx")).alias("_qx"), _half(F.col("sy")).alias("_qy"), "sx", "sy", "cell", F.col("n").alias("ns"), "w", "wu", "wv")
+    above = pairs.toDF(KEY, "level", "_px", "_py", "_qx", "_qy")
+    met = above.join(t, [KEY, "level", "_px", "_py"]).join(s, [KEY, "level", "_qx", "_qy"])
+    return met.withColumn("level", F.col("level") + 1).drop("_px", "_py", "_qx", "_qy")
+
+
+def _crowd_field(final: DataFrame, crowd: DataFrame, min_d: float, leaf: int) -> DataFrame:
+    """Push of crowded cells on the points near them, by pairs of ever smaller cells.
+
+    Where a cell lies within min_d of another as a whole the law is linear and sums act; where it lies beyond as a whole and
+    more than NEAR cells away its series acts. Only pairs that the circle of min_d passes through, or that are too near
+    for a series, are divided again, until they hold few enough points to be met one by one.
+    """
+    few = leaf * leaf
+    held = ["x", "y", "w", "x0", "y0", "side", "level"]
+    first_t = final.groupBy(*CELL).agg(F.count(F.lit(1)).alias("nt"))
+    first_s = crowd.groupBy(*CELL).agg(F.count(F.lit(1)).alias("ns"))
+    begun = _around(first_t, F.col("cx").alias("tx"), F.col("cy").alias("ty"), "nt").join(first_s, CELL)
+    begun = stored(begun.select(KEY, "level", "tx", "ty", F.col("cx").alias("sx"), F.col("cy").alias("sy"), "nt", "ns"), "crowd-pairs")
+    targets = begun.select(KEY, "level", F.col("tx").alias("cx"), F.col("ty").alias("cy")).distinct()
+    targets = stored(final.join(targets, CELL, "left_semi").select(KEY, *held), "crowd-targets")
+    sources = stored(crowd.select(KEY, *held), "crowd-sources")
+
+    one_by_one = [begun.filter(F.col("nt") * F.col("ns") <= few).select(*PAIR)]
+    linear, apart = [], []
+    open_pairs, depth = begun.filter(F.col("nt") * F.col("ns") > few).select(*PAIR), 0
+    while open_pairs.limit(1).count():
+        depth += 1
+        down = F.col("level") + depth
+        met = _split_pairs(open_pairs, _children(targets, down, "tx", "ty"), _children(sources, down, "sx", "sy"))
+        ox, oy = F.abs(F.col("tx") - F.col("sx")), F.abs(F.col("ty") - F.col("sy"))
+        nearest = F.col("cell") * F.hypot(F.greatest(ox - 1, F.lit(0)), F.greatest(oy - 1, F.lit(0)))
+        kind = (
+            F.when(F.col("cell") * F.hypot(ox + 1, oy + 1) < min_d * (1 - 1e-9), "linear")
+            .when((nearest > min_d * (1 + 1e-9)) & (F.greatest(ox, oy) > NEAR), "apart")
+            .when(F.col("nt") * F.col("ns") <= few, "few").otherwise("open")
+        )
+        met = stored(met.withColumn("kind", kind), "crowd-pairs")
+        linear.append(met.filter("kind = 'linear'"))
+        apart.append(met.filter("kind = 'apart'").select(*PAIR))
+        one_by_one.append(met.filter("kind = 'few'").select(*PAIR))
+        open_pairs = met.filter("kind = 'open'").select(*PAIR)
+
+    direct = _one_by_one(_union(one_by_one), targets, sources, depth, min_d)
+    if not depth:
+        return direct
+    return direct.unionByName(_linear_field(_union(linear), targets, depth, min_d)).unionByName(_apart_field(_union(apart), targets, sources, depth))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _below(points: DataFrame, depth: int, first: int = 1) -> DataFrame:
+    """One row per crowded point and level of the divided pairs."""
+    rows = points.withColumn("level", F.explode(F.sequence(F.col("level") + first, F.col("level") + depth)))
+    return _celled(rows.withColumn("cell", F.col("side") / F.pow(F.lit(2.0), F.col("level"))))
+
+
+def _linear_field(pairs: DataFrame, targets: DataFrame, depth: int, min_d: float) -> DataFrame:
+    """Sums of whole cells within min_d, collected per cell and then read at its points."""
+    dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
+    sums = pairs.groupBy(KEY, "level", F.col("tx").alias("cx"), F.col("ty").alias("cy")).agg(
+        F.sum("w").alias("_w"), F.sum(F.col("w") * dx - F.col("wu")).alias("_bx"), F.sum(F.col("w") * dy - F.col("wv")).alias("_by")
+    )
+    here = _centred(_below(targets, depth).join(sums, CELL))
+    scale = F.col("cell") / (min_d * min_d)
+    return here.select(
+        KEY, "x", "y", ((F.col("_w") * F.col("u") + F.col("_bx")) * scale).alias("ex"), ((F.col("_w") * F.col("v") + F.col("_by")) * scale).alias("ey")
     )
-    dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
-    within = F.hypot(F.abs(dx) + size / 2, F.abs(dy) + size / 2) < min_d * (1 - 1e-9)
-    met = around.join(sums, CELL).withColumn("_within", within)
-    linear = 1 / (min_d * min_d)
-    summed = met.filter("_within").select(
-        KEY, "x", "y", ((F.col("w") * dx - F.col("_wx")) * linear).alias("ex"), ((F.col("w") * dy - F.col("_wy")) * linear).alias("ey")
+
+
+def _apart_field(pairs: DataFrame, targets: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
+    """Series of whole cells beyond min_d."""
+    keys = [KEY, "level", "sx", "sy"]
+    wanted = pairs.select(
+        KEY, "level", F.col("tx").alias("cx"), F.col("ty").alias("cy"), (F.col("tx") - F.col("sx")).alias("dx"), (F.col("ty") - F.col("sy")).alias("dy"), "sx", "sy"
     )
-    apart = met.filter(~F.col("_within")).select(*micro, "x", "y")
-    points = at.select(*micro, F.col("x").alias("sx"), F.col("y").alias("sy"), "w")
-    return summed.unionByName(_push(apart.join(points, micro), min_d))
+    started = _centred(_below(sources, depth).join(pairs.select(*keys).distinct().toDF(*CELL), CELL, "left_semi"))
+    series = _total(started.select(*CELL, "u", "v", "w").mapInPandas(_start_series, _SERIES))
+    moved = wanted.join(series.toDF(*keys, "series"), keys).select(*CELL, "dx", "dy", "series")
+    fields = _total(moved.mapInPandas(_shift_series, _SERIES))
+    here = _centred(_below(targets, depth)).select(*CELL, "x", "y", "u", "v", "cell").join(fields, CELL)
+    return here.drop(*CELL[1:]).mapInPandas(_read_field, _FIELD)
+
+
+def _one_by_one(pairs: DataFrame, targets: DataFrame, sources: DataFrame, depth: int, min_d: float) -> DataFrame:
+    """Points of pairs of small cells, packed per cell, so that a pair is one row."""
+
+    def packed(points: DataFrame, x: str, y: str, name: str) -> DataFrame:
+        rows = _below(points, depth, 0).withColumnRenamed("cx", x).withColumnRenamed("cy", y)
+        rows = rows.join(pairs.select(KEY, "level", x, y).distinct(), [KEY, "level", x, y], "left_semi")
+        return rows.groupBy(KEY, "level", x, y).agg(F.collect_list(F.struct("x", "y", "w")).alias(name))
+
+    both = pairs.join(packed(targets, "tx", "ty", "here"), PAIR[:4]).join(packed(sources, "sx", "sy", "there"), [KEY, "level", "sx", "sy"])
+    limit = min_d * min_d
+
+    def push(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, out = [], []
+            for run, here, there in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                t, s = ([np.asarray(points.values.field(c)) for c in range(3)] for points in (here, there))
+                dx, dy = t[0][:, None] - s[0], t[1][:, None] - s[1]
+                weight = s[2] / np.maximum(dx * dx + dy * dy, limit)
+                runs.append(np.full(len(t[0]), run))
+                out.append((t[0], t[1], (weight * dx).sum(1), (weight * dy).sum(1)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs)), *[pa.array(np.concatenate(c)) for c in zip(*out)]], _FIELD.names)
+
+    return both.select(KEY, "here", "there").mapInArrow(push, _FIELD)
 
 
 def _all_field(positions: DataFrame, min_d: float, leaf: int) -> DataFrame:
@@ -237,7 +355,7 @@ def _all_field(positions: DataFrame, min_d: float, leaf: int) -> DataFrame:
     split = deeper.join(parents, [KEY, "_up", "_px", "_py"], "left_semi").select(*cells.columns)
     active = cells.filter(F.col("level") == 2).unionByName(split)
     final = active.join(divided, CELL, "left_anti")
-    return _far_field(active, cells).unionByName(_near_field(final, cells, crowded, min_d))
+    return _far_field(active, cells).unionByName(_near_field(final, cells, crowded, min_d, leaf))
 
 
 def repulsion(

@@ -44,33 +44,38 @@ def test_repulsion_of_small_runs(spark):
     _check(repulsion(_frame(spark, runs)).toPandas(), runs)
 
 
-def _joined_rows(frame):
-    """Rows that the joins of the near field put out."""
-    met = []
-    real = crowds._push
-
-    def push(pairs, min_d):
-        met.append(pairs)
-        return real(pairs, min_d)
-
-    crowds._push = push
-    try:
-        repulsion(frame)
-    finally:
-        crowds._push = real
-    return sum(m.count() for m in met)
-
-
-def test_crowded_spot_is_not_met_pairwise(spark):
+def _met(frame, monkeypatch):
+    """Pairs of cells that a crowd's rounds put out, and pairs of points met one by one."""
+    found = []
+    real = crowds.stored
+
+    def stored(table, label):
+        out = real(table, label)
+        if label == "crowd-pairs":
+            few = F.col("nt") * F.col("ns") <= 1024
+            direct = F.when(few if "kind" not in out.columns else F.col("kind") == "few", F.col("nt") * F.col("ns"))
+            found.append(out.agg(F.count(F.lit(1)), F.sum(direct)).first())
+        return out
+
+    monkeypatch.setattr(crowds, "stored", stored)
+    repulsion(frame)
+    return sum(cells for cells, _ in found), sum(points or 0 for _, points in found)
+
+
+@pytest.mark.parametrize("size", [0.04, 0.3])
+def test_crowded_spot_is_not_met_pairwise(spark, monkeypatch, size):
+    """Four times the places in a spot: what lies within the limit or well beyond costs no more, the ring between the power 1.5."""
     rng = np.random.default_rng(4)
-    rows = {}
-    for n in (400, 4000):
-        x, y = rng.uniform(500, 500.04, n), rng.uniform(300, 300.04, n)
+    met = {}
+    for n in (4000, 16_000):
+        x, y = rng.uniform(500, 500 + size, n), rng.uniform(300, 300 + size, n)
         runs = {0: (np.r_[x, 0.0, 1000.0], np.r_[y, 0.0, 700.0])}
-        rows[n] = _joined_rows(_frame(spark, runs))
-        if n == 400:
+        met[n] = _met(_frame(spark, runs), monkeypatch)
+        if n == 4000:
             _check(repulsion(_frame(spark, runs)).toPandas(), runs)
-    assert rows[4000] < 20 * (rows[400] + 4000)
+    cells, points = zip(met[4000], met[16_000])
+    assert cells[1] < 9.5 * cells[0] and points[1] <= 9.5 * points[0]
+    assert points[1] < 16_000**2 / 8
 
 
 def test_crowd_wider_than_the_limit(spark):
