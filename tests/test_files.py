@@ -128,6 +128,64 @@ def test_rejects_and_good_rows_are_all_rows(spark, tmp_path):
     }
 
 
+def test_rejects_can_be_counted_alone_and_name_their_lines(spark, tmp_path):
+    """Several files, cut into several parts each; with both tables every line that is not blank is accounted for."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    wanted = {}
+    for f in range(3):
+        lines = ["a,b,li,li"]
+        for i in range(2, 3002):
+            lines.append("" if i % 50 == 0 else f"x{i},y,{'far' if i % 7 == 0 else i},{i}")
+            if i % 50 and i % 7 == 0:
+                wanted[f"f{f}.csv", i] = lines[-1]
+        (folder / f"f{f}.csv").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        good, bad = readers.read_distances(spark, str(folder), run_id=4, rejects=True)
+        assert bad.count() == len(wanted) and good.count() == 3 * 2940 - len(wanted)
+        assert bad.select("line").distinct().count() == len(set(wanted.values()))
+        assert {(r.file.rsplit("/", 1)[1], r.line_no): r.line for r in bad.collect()} == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert good.columns == ["run_id", "place_a", "place_b", "li_eval", "li_spring"] and good.select("run_id").distinct().count() == 1
+
+
+def test_every_reader_offers_rejects(spark, tmp_path):
+    cells = [""] * 25
+    truth = [",".join(f"h{i}" for i in range(25))]
+    for name, lon, lat in (("a", "80.5", "40"), ("b", "east", "40"), ("c", "", "40")):
+        cells[2], cells[23], cells[24] = name, lon, lat
+        truth.append(",".join(cells))
+    cases = [
+        (readers.read_distances, "h,h,h,h\na,b,1,2\na,b,1\n", "a,b,1", "no bigint in li_spring"),
+        (readers.read_directions, "a,b,西\na,b,西,c\n", "a,b,西,c", "wrong number of columns"),
+        (readers.read_classes, "a,1\nb,one\n", "b,one", "no int in group_id"),
+        (readers.read_positions_lonlat, "a,80,40\nb,80,north\n", "b,80,north", "no double in lat"),
+        (readers.read_samples_lonlat, "0,a,80,40\nzero,a,80,40\n", "zero,a,80,40", "no bigint in run_id"),
+        (readers.read_edge_errors, "a,1,2,b,3,4,0.5\na,1,2,b,3,?,0.5\n", "a,1,2,b,3,?,0.5", "no double in end_lat"),
+    ]
+    for i, (read, text, line, reason) in enumerate(cases):
+        path = _file(tmp_path, f"{i}.csv", text, bom=i == 1)
+        good, bad = read(spark, path, rejects=True)
+        assert bad.count() == 1 and [(r.line, r.reason) for r in bad.collect()] == [(line, reason)]
+        kept = tmp_path / f"kept{i}.csv"
+        kept.write_bytes((tmp_path / f"{i}.csv").read_bytes().replace((line + "\n").encode(), b""))
+        strict = read(spark, str(kept))
+        assert good.schema == strict.schema and sorted(map(tuple, good.collect())) == sorted(map(tuple, strict.collect()))
+    good, bad = readers.read_ground_truth(spark, _file(tmp_path, "t.csv", "\n".join(truth) + "\n"), rejects=True)
+    assert [(r.aliases[0], r.lon, r.lat) for r in good.collect()] == [("a", 80.5, 40.0)]
+    assert sorted((r.line_no, r.reason) for r in bad.collect()) == [(3, "no double in lon"), (4, "no double in lon")]
+
+
+def test_rejects_of_files_by_run(spark, tmp_path):
+    for run, text in ((3, "a,80,40\nb,?,40\n"), (8, "a,81,41\n")):
+        (tmp_path / "runs" / f"run_id={run}").mkdir(parents=True)
+        (tmp_path / "runs" / f"run_id={run}" / "part.csv").write_text(text)
+    good, bad = readers.read_positions_lonlat(spark, str(tmp_path / "runs"), rejects=True)
+    assert {r.run_id for r in good.collect()} == {3, 8} and [(r.run_id, r.line_no) for r in bad.collect()] == [(3, 2)]
+
+
 def test_step_tables_are_discarded(spark):
     storage.discard(spark)
     tables = [storage.stored(spark.range(3)) for _ in range(2)]

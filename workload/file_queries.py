@@ -128,6 +128,23 @@ def rejects(t: Tables):
     )
 
 
+@query("""SELECT run_id, COUNT(*) FILTER (li_eval%7<>0) AS n_good, COUNT(*) FILTER (li_eval%7=0) AS n_bad, COUNT(*) AS n_lines,
+  COUNT(DISTINCT CASE WHEN li_eval%7=0 THEN 'no bigint in li_eval' END) AS n_reasons
+FROM (SELECT p.run_id, d.li_eval FROM one_map_distances d CROSS JOIN (SELECT range AS run_id FROM range(2)) p) GROUP BY run_id""")
+def rejects_by_run(t: Tables):
+    """Good and bad lines of a folder of files per run, each table counted by itself; no line number occurs twice in a file."""
+    li = F.col("li_eval").cast("string")
+    broken = F.when(F.col("li_eval") % 7 == 0, F.concat(li, F.lit("?"))).otherwise(li)
+    path = new_path(t.spark, "broken-runs")
+    table = t.one_map_distances().withColumn("li_eval", broken).withColumn(KEY, F.explode(F.sequence(F.lit(0), F.lit(1))).cast("bigint"))
+    table.write.option("header", True).partitionBy(KEY).csv(path)
+    good, bad = readers.with_rejects(t.spark, path, DISTANCES_CSV, header=True)
+    n_good = good.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_good"))
+    n_bad = bad.groupBy(KEY).agg(F.count_distinct("file", "line_no").alias("n_bad"), F.count_distinct("reason").alias("n_reasons"))
+    both = n_good.unionByName(n_bad, allowMissingColumns=True).groupBy(KEY).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_good", "n_bad", "n_reasons")])
+    return both.withColumn("n_lines", F.col("n_good") + F.col("n_bad"))
+
+
 _LEVEL = "trunc(255*(1-least(greatest(err_val,0),3e-2)/3e-2))::INT"
 _NAMES = "['red','green','blue','orange','purple','brown']"
 LAYERS = f"""{INVERSE}, {LAYER},
