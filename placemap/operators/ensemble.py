@@ -81,14 +81,68 @@ def distinct_points(samples: DataFrame, approximate: bool = False) -> DataFrame:
     return samples.groupBy("name").agg(F.count(F.lit(1)).alias("n"), count.alias("n_distinct"))
 
 
+STATE = "n bigint, mx double, my double, cxx double, cxy double, cyy double"
+
+
+def moment_states(samples: DataFrame, *by: str) -> DataFrame:
+    """What is kept of a batch of samples per place (and per ``by``): number, means and sums of products of deviations."""
+    n = F.count(F.lit(1))
+    return samples.groupBy(*by, "name").agg(
+        n.alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        (F.var_pop("x") * n).alias("cxx"), (F.covar_pop("x", "y") * n).alias("cxy"), (F.var_pop("y") * n).alias("cyy"),
+    )
+
+
+def _merged_pair(a: Column, b: Column) -> Column:
+    """Both states as one: deviations from either mean are moved to the common mean."""
+    n = a["n"] + b["n"]
+    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+    weight = a["n"] * b["n"] / n
+    return F.when(b["n"] == 0, a).otherwise(F.struct(
+        n.alias("n"), (a["mx"] + dx * b["n"] / n).alias("mx"), (a["my"] + dy * b["n"] / n).alias("my"),
+        (a["cxx"] + b["cxx"] + dx * dx * weight).alias("cxx"), (a["cxy"] + b["cxy"] + dx * dy * weight).alias("cxy"),
+        (a["cyy"] + b["cyy"] + dy * dy * weight).alias("cyy"),
+    ))
+
+
+def merge_states(states: DataFrame, fan_in: int = 256) -> DataFrame:
+    """One state per place from any number of states of it.
+
+    A place's states are merged in ``fan_in`` groups by hash and then the groups' results, so of a place with very many
+    batches no row gathers more than a ``fan_in``-th of them.
+    """
+    fields = ("n", "mx", "my", "cxx", "cxy", "cyy")
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), *[F.lit(0.0).alias(f) for f in fields[1:]])
+    ordered = F.array_sort(F.collect_list(F.struct(*fields)))  # so that a retried task adds up in the same order
+    merged = F.aggregate(ordered, none, _merged_pair)
+
+    def one_state(table: DataFrame, *by: Column | str) -> DataFrame:
+        return table.groupBy("name", *by).agg(merged.alias("_s")).select("name", "_s.*")
+
+    group = F.pmod(F.xxhash64(*fields), F.lit(fan_in)).alias("_group")
+    return one_state(one_state(states, group))
+
+
+def moments_of(states: DataFrame) -> DataFrame:
+    """The table of :func:`sample_moments` from one state per place."""
+    free = F.when(F.col("n") > 1, F.col("n") - 1)
+    spread = [(F.col(c) / free).alias(s) for c, s in (("cxx", "sxx"), ("cxy", "sxy"), ("cyy", "syy"))]
+    return states.select("name", "mx", "my", "n", *spread)
+
+
 def confidence_ellipses(samples: DataFrame, levels=CONFIDENCE_LEVELS) -> DataFrame:
     """Full axes and tilt of the confidence ellipses of every place, larger axis first."""
+    return ellipses_of(sample_moments(samples), levels)
+
+
+def ellipses_of(moments: DataFrame, levels=CONFIDENCE_LEVELS) -> DataFrame:
+    """The same from means and covariances that are already there."""
     large, small = eig2(F.col("sxx"), F.col("sxy"), F.col("syy"))
     steps = F.array(*[
         F.struct(F.lit(level).alias("level"), F.lit(chi2_q2(level)).alias("q"), F.lit(opacity).alias("opacity"))
         for level, opacity in levels
     ])
-    return sample_moments(samples).withColumn("_l", F.explode(steps)).select(
+    return moments.withColumn("_l", F.explode(steps)).select(
         "name", "mx", "my", F.col("_l.level").alias("level"),
         (2 * F.sqrt(large * F.col("_l.q"))).alias("width"),
         (2 * F.sqrt(small * F.col("_l.q"))).alias("height"),

@@ -1,6 +1,6 @@
 """Stress histories as tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemap.constants import KEY, LOG_FLOOR
@@ -8,19 +8,40 @@ from placemap.functions.plane import dist, li_to_km, px_length_to_km
 from placemap.operators.joins import beside_runs, salted_join
 
 
-def stress_history(distances: DataFrame, trajectory: DataFrame, salts: int = 1) -> DataFrame:
+def step_pages(trajectory: DataFrame, page_steps: int = 64) -> DataFrame:
+    """One row per run, place and page of ``page_steps`` steps: ``points``, an array by step with nulls for missing steps.
+
+    A place that has two positions in one step stops the job.
+    """
+    at = F.col("iteration").cast("bigint")
+    rows = trajectory.select(
+        KEY, "name", F.floor(at / page_steps).alias("page"), F.pmod(at, F.lit(page_steps)).cast("int").alias("_at"), F.struct("x", "y").alias("_p")
+    )
+    packed = rows.groupBy(KEY, "name", "page").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_p"))).alias("_m"))
+    steps = F.sequence(F.lit(0), F.lit(page_steps - 1))
+    return packed.select(KEY, "name", "page", F.transform(steps, lambda i: F.try_element_at("_m", i)).alias("points"))
+
+
+def stress_history(distances: DataFrame, trajectory: DataFrame, salts: int = 1, page_steps: int = 64) -> DataFrame:
     """Raw stress of every recorded step; ``trajectory`` is ``run_id, iteration, name, x, y``.
 
-    The edges are joined to the steps once: the first end brings the iteration, the second is looked up within it.
-    Steps in which an edge lacks an end go without that edge.
+    A place's positions of many steps are packed in one row, so an edge is joined once per page of steps, not once per
+    step; its gaps are unpacked where they are summed. Steps in which an edge lacks an end go without that edge.
     """
-    rows = trajectory.select(KEY, "iteration", "name", "x", "y")
+    pages = step_pages(trajectory, page_steps)
     first = [KEY, "place_a"] if KEY in distances.columns else ["place_a"]
-    begun = salted_join(distances, rows.toDF(KEY, "iteration", "place_a", "x1", "y1"), first, salts)
-    ended = salted_join(begun, rows.toDF(KEY, "iteration", "place_b", "x2", "y2"), [KEY, "iteration", "place_b"], salts)
-    length = dist(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    gap = px_length_to_km(length) - li_to_km(F.col("li_eval"))
-    return ended.groupBy(KEY, "iteration").agg(F.sum(gap * gap).alias("stress"))
+    edges = distances.select(*first, "place_b", "li_eval")
+    begun = salted_join(edges, pages.select(KEY, F.col("name").alias("place_a"), "page", F.col("points").alias("_a")), first, salts)
+    ended = salted_join(begun, pages.select(KEY, "page", F.col("name").alias("place_b"), F.col("points").alias("_b")), [KEY, "page", "place_b"], salts)
+
+    def square(a: Column, b: Column) -> Column:
+        gap = px_length_to_km(dist(a["x"], a["y"], b["x"], b["y"])) - li_to_km(F.col("li_eval"))
+        return gap * gap
+
+    step = ended.select(KEY, "page", F.posexplode(F.zip_with("_a", "_b", square)).alias("_at", "_square")).filter(F.col("_square").isNotNull())
+    sums = step.groupBy(KEY, "page", "_at").agg(F.sum("_square").alias("stress"))
+    iteration = (F.col("page") * page_steps + F.col("_at")).cast(trajectory.schema["iteration"].dataType)
+    return sums.select(KEY, iteration.alias("iteration"), "stress")
 
 
 def history_summary(history: DataFrame) -> DataFrame:

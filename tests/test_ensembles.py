@@ -1,12 +1,16 @@
 import math
+import shutil
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from placemap import constants
 from placemap.operators import density as kde
 from placemap.operators import ensemble as stats
+from placemap.operators import series
+from placemap.sources import states
 
 
 def _samples(spark, groups):
@@ -129,3 +133,62 @@ def test_flatten_samples(table):
     assert rows == [(0, "a", 1.0, 2.0), (0, "b", 3.0, 4.0), (1, "a", 5.0, 6.0), (1, "b", 7.0, 8.0)]
     with pytest.raises(Exception, match="no place for slot 1"):
         stats.flatten_samples(arrays, ids.filter("id = 0")).collect()
+
+
+def test_grown_ensemble_equals_one_pass_and_reads_new_files_only(spark, tmp_path):
+    """Batches of very different sizes and spreads; samples of earlier batches are gone when later ones are added."""
+    rng = np.random.default_rng(6)
+    parts = [
+        pd.DataFrame({"run_id": np.arange(n), "name": rng.choice(["a", "b", "c"], n), "x": rng.normal(600, s, n), "y": rng.normal(1e6, s, n)})
+        for n, s in ((500, 3.0), (1, 1.0), (40, 1e-6), (2000, 50.0))
+    ]
+    parts.append(pd.DataFrame({"run_id": [0], "name": ["alone"], "x": [1.0], "y": [2.0]}))
+    folder = str(tmp_path / "states")
+    for i, part in enumerate(parts):
+        path = tmp_path / f"samples{i}"
+        spark.createDataFrame(part).write.parquet(str(path))
+        for _ in range(2):  # a retried batch replaces itself
+            states.add_batch(spark.read.parquet(str(path)), folder, f"runs{i}")
+        shutil.rmtree(path)
+    got = states.grown_moments(spark, folder).toPandas().set_index("name").sort_index()
+    whole = stats.sample_moments(spark.createDataFrame(pd.concat(parts))).toPandas().set_index("name").sort_index()
+    assert list(got.columns) == list(whole.columns) and (got.n == whole.n).all()
+    np.testing.assert_allclose(got.to_numpy(float), whole.to_numpy(float), rtol=1e-9, equal_nan=True)
+    assert states.read_states(spark, folder).count() <= 3 * len(parts)
+
+
+def test_states_merge_in_any_grouping(spark):
+    rng = np.random.default_rng(7)
+    samples = spark.createDataFrame(pd.DataFrame({"run_id": np.arange(900), "name": rng.choice(["a", "b"], 900), "x": rng.normal(size=900), "y": rng.normal(size=900)}))
+    many = stats.moment_states(samples, "run_id")
+    for fan_in in (1, 16):
+        got = stats.moments_of(stats.merge_states(many, fan_in)).toPandas().sort_values("name")
+        want = stats.sample_moments(samples).toPandas().sort_values("name")
+        np.testing.assert_allclose(got.drop(columns="name").to_numpy(float), want.drop(columns="name").to_numpy(float), rtol=1e-11)
+    assert stats.merge_states(many.limit(0)).count() == 0
+
+
+def test_stress_history_over_pages_with_gaps(spark, table):
+    """Steps before zero, beyond a page, and steps that some places lack; exchanged edge rows follow pages, not steps."""
+    rng = np.random.default_rng(8)
+    steps = [*range(-3, 140), 500]
+    rows = [(run, s, n, float(rng.normal()), float(rng.normal())) for run in (0, 1) for s in steps for n in "abcd" if rng.random() < 0.9]
+    edges = [(run, a, b, int(rng.integers(1, 90)), 1) for run in (0, 1) for a, b in ("ab", "ac", "bd", "ab", "xd") for _ in range(2)]
+    at = {(r, s, n): (x, y) for r, s, n, x, y in rows}
+    want = {}
+    for run, a, b, li, _ in edges:
+        for s in steps:
+            if (run, s, a) in at and (run, s, b) in at:
+                (x1, y1), (x2, y2) = at[run, s, a], at[run, s, b]
+                gap = np.hypot(x1 - x2, y1 - y2) * constants.KM_PER_PX - li * constants.LI_KM
+                want[run, s] = want.get((run, s), 0.0) + gap**2
+    trajectory = table("run_id long, iteration int, name string, x double, y double", rows)
+    distances = table("run_id long, place_a string, place_b string, li_eval long, li_spring long", edges)
+    for salts in (1, 3):
+        history = series.stress_history(distances, trajectory, salts)
+        assert history.schema["iteration"].dataType.simpleString() == "int"
+        got = {(r.run_id, r.iteration): r.stress for r in history.collect()}
+        assert got == pytest.approx(want)
+    twice = trajectory.unionByName(trajectory.limit(1))
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        series.stress_history(distances, twice).collect()

@@ -9,6 +9,8 @@ from placemap.operators import graph, series
 from placemap.operators.geometry import random_positions as draw
 from placemap.operators.joins import one_run
 from placemap.plans.layout import start_positions as start
+from placemap.sources.states import add_batch, grown_moments
+from placemap.sources.storage import new_path
 from workload.fixtures import Tables
 from workload.graph_queries import RAW
 from workload.registry import pick, query, r, rounded
@@ -57,17 +59,31 @@ def kde_eligible(t: Tables):
     return kde.kde_eligible(t.samples())
 
 
-@query(f"""WITH {MOMENTS},
+ELLIPSES = f"""WITH {MOMENTS},
 ei AS (SELECT *, greatest((sxx+syy)/2+sqrt(pow((sxx-syy)/2,2)+sxy*sxy),0) AS l1,
   greatest((sxx+syy)/2-sqrt(pow((sxx-syy)/2,2)+sxy*sxy),0) AS l2, degrees(0.5e0*atan2(2*sxy,sxx-syy)) AS angle FROM mo),
 lv AS (SELECT * FROM (VALUES (0.95e0,0.3e0),(0.9e0,0.2e0),(0.85e0,0.1e0)) t(level,opacity))
 SELECT name, level, opacity, {r('mx',6)} AS mx, {r('my',6)} AS my, {r('2*sqrt(l1*-2*ln(1-level))',6)} AS width,
-  {r('2*sqrt(l2*-2*ln(1-level))',6)} AS height, {r('angle',6)} AS angle FROM ei CROSS JOIN lv WHERE l1>0 AND l2>0""")
+  {r('2*sqrt(l2*-2*ln(1-level))',6)} AS height, {r('angle',6)} AS angle FROM ei CROSS JOIN lv WHERE l1>0 AND l2>0"""
+
+
+@query(ELLIPSES)
 def ellipses(t: Tables):
     table = stats.drop_degenerate(stats.confidence_ellipses(t.samples()))
     return pick(table, "name", "level", "opacity", mx=6, my=6, width=6, height=6, angle=6)
 
 
+@query(ELLIPSES)
+def ellipses_of_grown_ensemble(t: Tables):
+    """The same ellipses from three batches of runs that were added one after the other; no batch is read again."""
+    folder = new_path(t.spark, "moment-states")
+    batch = F.pmod(F.xxhash64(KEY), F.lit(3))
+    for i in range(3):
+        add_batch(t.samples().filter(batch == i), folder, f"b{i}")
+    table = stats.drop_degenerate(stats.ellipses_of(grown_moments(t.spark, folder)))
+    return pick(table, "name", "level", "opacity", mx=6, my=6, width=6, height=6, angle=6)
+
+
 def _density(table, *plain: str):
     """Densities per million square pixels, to more digits than the method's tolerance can change."""
     return table.select(*plain, rounded(F.col("density") * 1e6, 3).alias("density"))

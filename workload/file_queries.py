@@ -136,7 +136,7 @@ def rejects_by_run(t: Tables):
     li = F.col("li_eval").cast("string")
     broken = F.when(F.col("li_eval") % 7 == 0, F.concat(li, F.lit("?"))).otherwise(li)
     path = new_path(t.spark, "broken-runs")
-    table = t.one_map_distances().withColumn("li_eval", broken).withColumn(KEY, F.explode(F.sequence(F.lit(0), F.lit(1))).cast("bigint"))
+    table = t.one_map_distances().withColumn("li_eval", broken).withColumn(KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))))
     table.write.option("header", True).partitionBy(KEY).csv(path)
     good, bad = readers.with_rejects(t.spark, path, DISTANCES_CSV, header=True)
     n_good = good.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_good"))
