@@ -79,9 +79,21 @@ def edge_error(distances: DataFrame, positions: DataFrame, box: Box | None = Non
     if box is not None:
         factor = zoom_factor(box)
         positions = zoom(in_box(positions, box), box)
+    return _errors(with_endpoints(distances, positions, salts), factor)
+
+
+def edge_error_of_ends(ended: DataFrame, box: Box) -> DataFrame:
+    """:func:`edge_error` inside the box for edges that bring the coordinates of both ends, without any join."""
+    for x, y in (("x1", "y1"), ("x2", "y2")):
+        names = {x: "x", y: "y"}
+        ended = zoom(in_box(ended.withColumnsRenamed(names), box), box).withColumnsRenamed({v: k for k, v in names.items()})
+    return _errors(ended, zoom_factor(box))
+
+
+def _errors(ended: DataFrame, factor: float) -> DataFrame:
     ideal = li_to_px(F.col("li_eval")) * F.lit(factor)
     actual = _length_px()
-    return with_endpoints(distances, positions, salts).withColumns({
+    return ended.withColumns({
         "error": F.try_divide(F.abs(actual - ideal), ideal),
         "ideal_km": li_to_km(F.col("li_eval")),
         "delta_km": px_length_to_km((actual - ideal) / F.lit(factor)),

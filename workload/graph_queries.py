@@ -6,6 +6,8 @@ from placemap.constants import KEY
 from placemap.operators import graph, metrics
 from placemap.operators.geometry import in_box
 from placemap.operators.joins import with_endpoints
+from placemap.sources.storage import new_path
+from placemap.sources.zoom import read_edges, read_places, write_edges, write_places
 from workload.fixtures import Tables
 from workload.registry import pick, query, r, rounded
 
@@ -145,13 +147,31 @@ ZOOMED = "sqrt(1200e0*750/(300e0*75))"
 INSIDE = "a.x BETWEEN 500 AND 800 AND a.y BETWEEN 325 AND 400 AND b.x BETWEEN 500 AND 800 AND b.y BETWEEN 325 AND 400"
 
 
-@query(f"""SELECT d.run_id, place_a, place_b, li_eval, {r(f'(a.x-650)*{ZOOMED}+600',6)} AS x1, {r(f'(a.y-362.5e0)*{ZOOMED}+375',6)} AS y1,
-  {r(ERROR,8)} AS error {ENDS} WHERE {INSIDE}""")
+ZOOM = f"""SELECT d.run_id, place_a, place_b, li_eval, {r(f'(a.x-650)*{ZOOMED}+600',6)} AS x1, {r(f'(a.y-362.5e0)*{ZOOMED}+375',6)} AS y1,
+  {r(ERROR,8)} AS error {ENDS} WHERE {INSIDE}"""
+
+
+@query(ZOOM)
 def edge_error_zoom(t: Tables):
     errors = metrics.edge_error(t.distances(), t.positions(), BOX)
     return pick(errors, KEY, "place_a", "place_b", "li_eval", x1=6, y1=6, error=8)
 
 
+@query(ZOOM)
+def edge_error_zoom_stored(t: Tables):
+    """The same errors from edges stored along a curve: only the box's stretches of it are read, and nothing is joined."""
+    path = new_path(t.spark, "zoom-edges")
+    write_edges(t.distances(), t.positions(), path)
+    return pick(metrics.edge_error_of_ends(read_edges(t.spark, path, BOX), BOX), KEY, "place_a", "place_b", "li_eval", x1=6, y1=6, error=8)
+
+
+@query(f"SELECT run_id, name, {r('x',6)} AS x, {r('y',6)} AS y FROM positions WHERE x BETWEEN 500 AND 800 AND y BETWEEN 325 AND 400")
+def places_in_box_stored(t: Tables):
+    path = new_path(t.spark, "zoom-places")
+    write_places(t.positions(), path)
+    return pick(read_places(t.spark, path, BOX), KEY, "name", x=6, y=6)
+
+
 @query(f"SELECT d.run_id, place_a, place_b, li_eval, li_spring {ENDS} WHERE {INSIDE}")
 def edges_in_box(t: Tables):
     return metrics.edges_in_box(t.distances(), in_box(t.positions(), BOX)).select(
