@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from placemap.constants import ALIGN_ANCHOR, DETAIL_BOX, ERROR_CAP, KEY, REFERENCE_POINT, SECOND_ANCHOR
 from placemap.operators import density, directions as compass, ensemble as stats, metrics, truth as known
 from placemap.operators.geometry import flip_y, km_to_px, lcc_forward
-from placemap.operators.joins import beside_runs, one_run
+from placemap.operators.joins import beside_runs, one_run, with_endpoints
 from placemap.operators.layers import map_layers
 from placemap.sources import readers
+from placemap.sources.storage import stored
 
 
 def anchors_from_truth(
@@ -23,15 +24,19 @@ def evaluate(
     distances: DataFrame, directions: DataFrame, positions: DataFrame, truth: DataFrame,
     anchor: str = ALIGN_ANCHOR, ref=REFERENCE_POINT, box=DETAIL_BOX, threshold: float = ERROR_CAP,
 ) -> dict[str, DataFrame]:
-    """Everything that is reported about finished layouts, as lazy tables."""
-    errors = metrics.edge_error(distances, positions)
+    """Everything that is reported about finished layouts, as tables.
+
+    The ends of the edges are looked up once, by a job of its own; scores, errors, report and details read what it has written.
+    """
+    ended = stored(with_endpoints(distances, positions), "edges-with-ends")
+    errors = metrics.edge_error_of_ends(ended)
     compared = known.compare_truth(positions, truth, anchor, ref)
     broken = compass.direction_violations(directions, positions)
     return {
-        "scores": beside_runs(metrics.layout_scores(distances, positions), known.rmse(compared)),
+        "scores": beside_runs(metrics.layout_scores_of_ends(ended), known.rmse(compared)),
         "edge_errors": errors,
         "report": metrics.error_report(errors, threshold),
-        "detail_errors": metrics.edge_error(distances, positions, box),
+        "detail_errors": metrics.edge_error_of_ends(ended, box),
         "truth_errors": known.error_scale(compared),
         "violations": broken,
         "places": compass.flag_violating(positions, broken),

@@ -11,6 +11,7 @@ import __spark_entry__ as entry_point
 from conftest import SMALL
 from placemap.operators import metrics
 from placemap.operators.geometry import in_box
+from placemap.operators.joins import with_endpoints
 from placemap.plans.jobs import ensemble_statistics, evaluate
 from placemap.sources.storage import shared_folder, stored
 from workload import QUERIES
@@ -99,6 +100,26 @@ def test_evaluation_job(spark):
     assert tables_out["detail_errors"].count() <= tables_out["edge_errors"].count()
 
 
+def test_metrics_of_stored_ends_exchange_no_edges(spark):
+    """A second metric of a layout costs a scan: what is exchanged are sums per run."""
+    tables = Tables(spark, SMALL)
+    distances, positions = tables.distances(), tables.positions()
+    ended = stored(with_endpoints(distances, positions), "ends")
+    box = (500.0, 325.0, 800.0, 400.0)
+    for found, joined in (
+        (metrics.raw_stress_of_ends(ended), metrics.raw_stress(distances, positions)),
+        (metrics.kruskal_stress_of_ends(ended), metrics.kruskal_stress(distances, positions)),
+        (metrics.layout_scores_of_ends(ended), metrics.layout_scores(distances, positions)),
+    ):
+        plan = _plan(found)
+        assert "Join" not in plan and len(re.findall(r"^\(\d+\) Exchange", plan, re.M)) == 1 and "partial_" in plan
+        columns = sorted(found.columns)
+        for a, b in zip(*[t.select(*columns).orderBy("run_id").collect() for t in (found, joined)]):
+            assert tuple(a) == pytest.approx(tuple(b), rel=1e-12)
+    assert "Exchange" not in _plan(metrics.edge_error_of_ends(ended)) and "Exchange" not in _plan(metrics.edge_error_of_ends(ended, box))
+    assert metrics.edge_error_of_ends(ended, box).count() == metrics.edge_error(distances, positions, box).count()
+
+
 def test_ensemble_job(spark):
     done = ensemble_statistics(Tables(spark, SMALL).samples())
     low, high = done["density_range"].first()

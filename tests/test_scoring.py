@@ -1,6 +1,9 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import DIRECTIONS, DISTANCES, POSITIONS
 from placemap.operators import directions as compass
@@ -122,3 +125,27 @@ def test_series(table):
     assert shares[(1, 1)].step_share is None
     marks = sorted((r.tick, r.step) for r in series.ticks(history).collect() if r.run_id == 0)
     assert marks == [(j, j * 2) for j in range(6)]
+
+
+def test_top_errors_of_a_large_k_need_no_window_over_a_run(spark):
+    """Ties, nulls, runs larger and smaller than k; the same rows as one sort of everything."""
+    rng = np.random.default_rng(11)
+    n = 60_000
+    rows = pd.DataFrame({
+        "run_id": rng.choice([0, 0, 0, 0, 1], n), "place_a": [f"a{i % 700}" for i in range(n)], "place_b": [f"b{i}" for i in range(n)],
+        "li_eval": rng.integers(1, 9, n), "li_spring": 1, "error": np.round(rng.exponential(0.05, n), 4),
+    })
+    rows.loc[rows.index[:50], "run_id"] = 2
+    rows.loc[rows.index[10:30], "error"] = None
+    frame = spark.createDataFrame(rows, "run_id long, place_a string, place_b string, li_eval long, li_spring long, error double")
+    frame = frame.withColumn("error", F.when(~F.isnan("error"), F.col("error"))).repartition(5)
+    order = rows.sort_values(["run_id", "error", "place_a", "place_b"], ascending=[True, False, True, True], na_position="last")
+    for k in (3, 2_000, 20_000):
+        small, large = (metrics.top_errors(frame, k, limit) for limit in (10**9, 0))
+        want = {(r.run_id, r.place_b): i for _, part in order.groupby("run_id") for i, r in enumerate(part.head(k).itertuples(), 1)}
+        for table in (small, large):
+            assert {(r.run_id, r.place_b): r["rank"] for r in table.collect()} == want
+    reached = metrics._least_errors(frame, 2_000).collect()
+    left = sum(int(((rows.run_id == r.run_id) & ((rows.error >= r._least) if r._least is not None else True)).sum()) for r in reached)
+    assert 4_050 <= left < 4_800
+    assert metrics.top_errors(frame.limit(0), 10, 0).count() == 0

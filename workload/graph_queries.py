@@ -143,6 +143,21 @@ def edge_error_topk(t: Tables):
     return pick(top, KEY, "rank", "place_a", "place_b", error=8)
 
 
+@query(f"""
+WITH e AS (SELECT d.run_id, place_a, place_b, li_eval, li_spring, {ERROR} AS error {ENDS}),
+k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY error DESC) AS rank FROM e)
+SELECT run_id, COUNT(*) AS n, MAX(rank) AS last_rank, {r('MIN(error)',8)} AS least_error, {r('MAX(error)',8)} AS most_error,
+  {r('AVG(error)',8)} AS mean_error FROM k WHERE rank<=20000 GROUP BY run_id""")
+def edge_error_topk_large(t: Tables):
+    """The 20,000 worst edges of each run, by a bound of the last one's error and ranks in ranges."""
+    top = metrics.top_errors(metrics.edge_error(t.distances(), t.positions()), 20_000)
+    error = F.col("error")
+    found = top.groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.max("rank").alias("last_rank"), F.min(error).alias("least_error"), F.max(error).alias("most_error"), F.avg(error).alias("mean_error")
+    )
+    return pick(found, KEY, "n", "last_rank", least_error=8, most_error=8, mean_error=8)
+
+
 ZOOMED = "sqrt(1200e0*750/(300e0*75))"
 INSIDE = "a.x BETWEEN 500 AND 800 AND a.y BETWEEN 325 AND 400 AND b.x BETWEEN 500 AND 800 AND b.y BETWEEN 325 AND 400"
 
