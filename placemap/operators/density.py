@@ -10,9 +10,11 @@ place in one task instead, for checks.
 
 import math
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,6 @@ def _terms() -> int:
 
 TERMS = _terms()
 REACH = math.ceil(math.sqrt(-2 * math.log(TOLERANCE / 10)) / WIDTH) + 1  # cells
-_COEF = [f"c{b}" for b in range(TERMS)]
 BLOCK = 1024  # targets per numpy block
 _MADE: dict[str, np.ndarray] = {}  # per worker
 
@@ -152,85 +153,137 @@ def _carry(cells: np.ndarray, blocks: np.ndarray, wanted: np.ndarray | None) ->
     return targets, out
 
 
-def _rows_to_blocks(rows: pd.DataFrame, axis: str) -> tuple[np.ndarray, np.ndarray]:
-    cells, code = np.unique(rows[axis].to_numpy(), return_inverse=True)
-    blocks = np.zeros((len(cells), TERMS, TERMS))
-    np.add.at(blocks, (code, rows["power"].to_numpy()), rows[_COEF].to_numpy())
-    return cells, blocks
+CELL = ["name", "cu", "cv"]
+#: A cell's powers of both offsets, [u, v], as the bytes of TERMS x TERMS numbers.
+_BLOCKS = T.StructType([T.StructField("name", T.StringType()), *[T.StructField(c, T.LongType()) for c in CELL[1:]], T.StructField("block", T.BinaryType())])
+SLICE = 2048  # samples whose powers are formed together
+
+
+def _stacked(blocks: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(blocks), float).reshape(-1, TERMS, TERMS)
+
+
+def _summed(rows: pd.DataFrame, blocks: np.ndarray) -> pd.DataFrame:
+    """One row per cell of ``rows`` with the sum of its blocks."""
+    code = rows.groupby(CELL, sort=False).ngroup().to_numpy()
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    sums = np.add.reduceat(blocks[order], starts, axis=0)
+    return rows[CELL].iloc[order[starts]].assign(block=[b.tobytes() for b in sums])
+
+
+def _power_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of du**a * dv**b over the samples of each cell, a slice of samples at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            part = batch.iloc[at : at + SLICE]
+            u, v = (np.vander(part[c].to_numpy(), TERMS, increasing=True) for c in ("du", "dv"))
+            yield _summed(part, u[:, :, None] * v[:, None, :])
+
+
+def _add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sum neighbouring rows of one cell; the last cell of a batch waits for the next one."""
+    open_cell = None
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            part = batch.iloc[at : at + SLICE]
+            if open_cell is not None:
+                part = pd.concat([open_cell, part])
+            sums = _summed(part, _stacked(part["block"]))
+            open_cell = sums.iloc[-1:]
+            yield sums.iloc[:-1]
+    if open_cell is not None:
+        yield open_cell
 
 
 def _along_u(rows: pd.DataFrame) -> pd.DataFrame:
-    cells, blocks = _rows_to_blocks(rows, "cu")
-    targets, moved = _carry(cells, blocks, None)
-    out = pd.DataFrame(moved.reshape(-1, TERMS), columns=_COEF)
-    out.insert(0, "power", np.tile(np.arange(TERMS), len(targets)))
-    out.insert(0, "cv", rows["cv"].iat[0])
-    out.insert(0, "cu", np.repeat(targets, TERMS))
-    out.insert(0, "name", rows["name"].iat[0])
-    return out
+    rows = rows.sort_values("cu")
+    targets, moved = _carry(rows["cu"].to_numpy(), _stacked(rows["block"]), None)
+    return pd.DataFrame({"name": rows["name"].iat[0], "cu": targets, "cv": rows["cv"].iat[0], "block": [m.tobytes() for m in moved]})
 
 
 def _along_v(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-    columns = ["name", "cu", "cv", "coefs"]
-    nothing = pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+    nothing = pd.DataFrame({c: pd.Series([], dtype=object) for c in _BLOCKS.names})
     if rows.empty or wanted.empty:
         return nothing
-    cells, blocks = _rows_to_blocks(rows, "cv")
+    rows = rows.sort_values("cv")
     # Blocks are [u power, v power]; carry the v axis.
-    targets, moved = _carry(cells, blocks.transpose(0, 2, 1), wanted["cv"].to_numpy())
+    targets, moved = _carry(rows["cv"].to_numpy(), _stacked(rows["block"]).transpose(0, 2, 1), wanted["cv"].to_numpy())
     if not len(targets):
         return nothing
-    coefs = moved.transpose(0, 2, 1).reshape(len(targets), -1)
-    return pd.DataFrame({
-        "name": rows["name"].iat[0], "cu": rows["cu"].iat[0], "cv": targets, "coefs": list(coefs),
-    })[columns]
+    blocks = [np.ascontiguousarray(m.T).tobytes() for m in moved]
+    return pd.DataFrame({"name": rows["name"].iat[0], "cu": rows["cu"].iat[0], "cv": targets, "block": blocks})
 
 
-def _read_cells(points: DataFrame) -> DataFrame:
+def _packed(points: DataFrame, kept: list[T.StructField]) -> DataFrame:
+    """Points of one cell side by side in one row, as far as they come in one batch: a cell of any size is many short rows."""
+    inner = [f.name for f in kept] + ["du", "dv"]
+    fields = [*kept, *[T.StructField(c, T.DoubleType()) for c in ("du", "dv")]]
+    schema = T.StructType([
+        *_BLOCKS.fields[:3], T.StructField("peak", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("points", T.ArrayType(T.StructType(fields))),
+    ])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.select(CELL).to_pandas().groupby(CELL, sort=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            heads = batch.take(pa.array(order[starts]))
+            inside = batch.select(inner).take(pa.array(order)).to_struct_array()
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), inside)
+            yield pa.RecordBatch.from_arrays([*[heads.column(c) for c in (*CELL, "peak", "n")], lists], schema.names)
+
+    return points.select(*CELL, "peak", "n", *[c for c in inner if c not in CELL]).mapInArrow(pack, schema)
+
+
+def _read_cells(slices: DataFrame, kept: list[T.StructField]) -> DataFrame:
     """Value of the cell's polynomial at each point; 0 where no sample is within reach."""
-    kept = [f for f in points.schema.fields if f.name not in ("du", "dv", "coefs", "peak", "n")]
-    schema = T.StructType(kept + [T.StructField(c, T.DoubleType()) for c in ("density", "relative")])
+    schema = T.StructType([*kept, *[T.StructField(c, T.DoubleType()) for c in ("density", "relative")]])
     names = [f.name for f in kept]
 
-    def read(batches):
-        for batch in batches:
-            value = np.zeros(len(batch))
-            known = batch["coefs"].notna().to_numpy()
-            if known.any():
-                coefs = np.stack(batch.loc[known, "coefs"].to_list()).reshape(-1, TERMS, TERMS)
-                u = np.vander(batch.loc[known, "du"].to_numpy(), TERMS, increasing=True)
-                v = np.vander(batch.loc[known, "dv"].to_numpy(), TERMS, increasing=True)
-                value[known] = np.einsum("ki,kij,kj->k", u, coefs, v)
-            value = np.maximum(value, 0.0)
-            yield batch[names].assign(density=value * batch["peak"].to_numpy(), relative=value / batch["n"].to_numpy())
+    def joined(done: list[tuple]) -> pa.RecordBatch:
+        inside, value, relative = (list(c) for c in zip(*done))
+        columns = [pa.concat_arrays([points.field(c) for points in inside]) for c in names]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(value)), pa.array(np.concatenate(relative))], schema.names)
 
-    return points.mapInPandas(read, schema)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, size = [], 0
+            for points, block, peak, n in zip(batch.column("points"), batch.column("block"), batch.column("peak").to_pylist(), batch.column("n").to_pylist()):
+                inside = points.values
+                value = np.zeros(len(inside))
+                if block.is_valid:
+                    u, v = (np.vander(np.asarray(inside.field(c)), TERMS, increasing=True) for c in ("du", "dv"))
+                    value = np.maximum(((u @ np.frombuffer(block.as_py(), float).reshape(TERMS, TERMS)) * v).sum(1), 0.0)
+                done.append((inside, value * peak, value / n))
+                size += len(inside)
+                if size > 16 * SLICE:
+                    yield joined(done)
+                    done, size = [], 0
+            if done:
+                yield joined(done)
+
+    return slices.mapInArrow(read, schema)
 
 
 def _cell_density(samples: DataFrame, targets: DataFrame, kernel: DataFrame) -> DataFrame:
-    """Density of ``samples`` at ``targets``, both joined to their kernel by name."""
+    """Density of ``samples`` at ``targets``, both joined to their kernel by name.
+
+    A batch of samples sends one block per cell, a cell has one polynomial, and the points that read it come as short lists.
+    """
     placed = _round_coordinates(samples.select("name", "x", "y"), kernel)
-    power_u = F.when(F.col("power") == 0, 1.0).otherwise(F.pow("du", F.col("power")))
-    sums = [
-        F.sum(power_u * (F.lit(1.0) if b == 0 else F.pow("dv", F.lit(float(b))))).alias(_COEF[b])
-        for b in range(TERMS)
-    ]
-    cells = (
-        placed.withColumn("power", F.explode(F.sequence(F.lit(0), F.lit(TERMS - 1))))
-        .groupBy("name", "cu", "cv", "power").agg(*sums)
-    )
-    at = _round_coordinates(targets, kernel)
-    wanted = at.select("name", "cu", "cv").distinct()
-    fields = "name string, cu bigint, cv bigint"
-    line = fields + ", power int, " + ", ".join(f"{c} double" for c in _COEF)
+    sums = placed.select(*CELL, "du", "dv").mapInPandas(_power_sums, _BLOCKS)
+    cells = sums.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(_add_up, _BLOCKS)
+    kept = targets.schema.fields
+    slices = _packed(_round_coordinates(targets, kernel), kept)
+    wanted = slices.select(*CELL).distinct()
     # A line holds the occupied cells of one row of cells, not samples.
-    rows = cells.groupBy("name", "cv").applyInPandas(_along_u, line)
+    rows = cells.groupBy("name", "cv").applyInPandas(_along_u, _BLOCKS)
     rows = rows.join(wanted.select("name", "cu").distinct(), ["name", "cu"], "left_semi")
-    polynomials = rows.groupBy("name", "cu").cogroup(wanted.groupBy("name", "cu")).applyInPandas(
-        _along_v, fields + ", coefs array<double>"
-    )
-    found = at.join(polynomials, ["name", "cu", "cv"], "left")
-    return _read_cells(found.select(*targets.columns, "du", "dv", "coefs", "peak", "n"))
+    polynomials = rows.groupBy("name", "cu").cogroup(wanted.groupBy("name", "cu")).applyInPandas(_along_v, _BLOCKS)
+    return _read_cells(slices.join(polynomials, CELL, "left").select("points", "block", "peak", "n"), kept)
 
 
 # --- operators -----------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from placemap.operators.joins import beside_runs, salted_join
 
 
 def step_pages(trajectory: DataFrame, page_steps: int = 64) -> DataFrame:
-    """One row per run, place and page of ``page_steps`` steps: ``points``, an array by step with nulls for missing steps.
+    """One row per run, place and page of ``page_steps`` steps: ``points``, an array by step up to its last one, null where one is missing.
 
     A place that has two positions in one step stops the job.
     """
@@ -18,7 +18,7 @@ def step_pages(trajectory: DataFrame, page_steps: int = 64) -> DataFrame:
         KEY, "name", F.floor(at / page_steps).alias("page"), F.pmod(at, F.lit(page_steps)).cast("int").alias("_at"), F.struct("x", "y").alias("_p")
     )
     packed = rows.groupBy(KEY, "name", "page").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_p"))).alias("_m"))
-    steps = F.sequence(F.lit(0), F.lit(page_steps - 1))
+    steps = F.sequence(F.lit(0), F.array_max(F.map_keys("_m")))
     return packed.select(KEY, "name", "page", F.transform(steps, lambda i: F.try_element_at("_m", i)).alias("points"))
 
 

@@ -192,3 +192,23 @@ def test_stress_history_over_pages_with_gaps(spark, table):
     twice = trajectory.unionByName(trajectory.limit(1))
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
         series.stress_history(distances, twice).collect()
+
+
+def test_a_crowded_cell_is_many_short_rows_and_one_polynomial(spark):
+    """A third of the samples lie in one cell: it comes as lists of a batch each, and no row of a point holds a block."""
+    rng = np.random.default_rng(9)
+    n = 30_000
+    x, y = rng.normal(0, 10, n), rng.normal(0, 10, n)
+    x[: n // 3], y[: n // 3] = rng.normal(5, 1e-3, n // 3), rng.normal(5, 1e-3, n // 3)
+    samples = _samples(spark, {"a": (x, y)}).repartition(6)
+    placed = kde._round_coordinates(samples, kde.kernels(samples))
+    slices = kde._packed(placed, samples.schema.fields)
+    sizes = slices.select("cu", "cv", F.size("points").alias("s")).toPandas()
+    assert sizes.s.sum() == n and sizes.groupby(["cu", "cv"]).s.sum().max() >= n // 3 and sizes.s.max() <= 10_000
+    assert sizes.groupby(["cu", "cv"]).size().max() >= 6
+    sums = placed.select(*kde.CELL, "du", "dv").mapInPandas(kde._power_sums, kde._BLOCKS)
+    assert sums.count() < 0.6 * n
+    got = kde.kde_points(samples).toPandas().sort_values("run_id")
+    some = rng.choice(n, 60, replace=False)
+    want = _scott(x, y, x[some], y[some])
+    assert np.abs(got.density.to_numpy()[some] - want).max() < 1e-8 * want.max()
