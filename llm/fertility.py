@@ -121,7 +121,7 @@ def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, *, vocabulary_file: str = "piece_bpe_32k.model", reach: float = 4.0, pool: int = 30) -> DataFrame:
+def judge(docs: DataFrame, *, vocabulary_file: str = "piece_bpe_32k.model", reach: float = 2.0, pool: int = 30) -> DataFrame:
     """The measures of each row with base_failed and kept.
 
     Bands are set per lang and length class (the binary logarithm of the number of words) by all documents the base
@@ -149,9 +149,8 @@ def judge(docs: DataFrame, *, vocabulary_file: str = "piece_bpe_32k.model", reac
         return at.alias(f"__{c}_{q}")
 
     spans = spans_of("group", lang, size).join(spans_of("lang", lang), "__lang").crossJoin(spans_of("all"))
-    spans = stored(spans.select("__lang", "__size", *[merged(c, q) for c, q in ends]), "fertility-bands")
     # a row per language and length class, unless lang holds something else
-    spans = stored(spans, "fertility-bands")
+    spans = stored(spans.select("__lang", "__size", *[merged(c, q) for c, q in ends]), "fertility-bands")
     if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
     inside = F.lit(True)

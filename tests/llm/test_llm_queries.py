@@ -146,6 +146,46 @@ def test_op7(spark, docs):
     assert np.mean(passed) > 0.97
 
 
+def test_op7_measures_and_verdict(spark, docs):
+    """Tokens of every word one by one, quartiles by sorting, bands merged as the docstring says."""
+    import math
+
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    langs = {r["doc_id"]: r["lang"] or "" for r in table(spark, "documents")}
+    rows = {r["doc_id"]: r for r in run(spark, "op7_tokeniser_fertility")}
+    measures, classes = {}, {}
+    for i, text in docs.items():
+        words = [w.decode() for w in text.encode().split()]
+        ids = [t for w in words for t in model.encode(w)]
+        share = [n / len(ids) for n in Counter(ids).values()]
+        entropy = -sum(p * math.log2(p) for p in share) / math.log2(len(ids)) if len(ids) > 1 else 0.0
+        measures[i] = sum(map(len, words)) / max(len(ids), 1), sum(map(model.is_byte, ids)) / max(len(ids), 1), entropy
+        assert [rows[i][c] for c in ("chars_per_token", "byte_share", "entropy")] == pytest.approx(measures[i], rel=1e-9, abs=1e-12)
+        classes[i] = langs[i], math.floor(math.log2(max(len(words), 1)))
+    good = [i for i in docs if not rows[i]["base_failed"]]
+
+    def quartile(members, c, q):
+        values = sorted(measures[i][c] for i in members)
+        return values[max(math.ceil(q * len(values) / 4), 1) - 1]
+
+    for i in docs:
+        inside = True
+        for c, least in enumerate((0.25, 0.05, 0.08)):
+            ends = []
+            for q in (1, 3):
+                at = quartile(good, c, q)
+                for members in ([j for j in good if langs[j] == langs[i]], [j for j in good if classes[j] == classes[i]]):
+                    if members:
+                        at = (len(members) * quartile(members, c, q) + 30 * at) / (len(members) + 30)
+                ends.append(at)
+            margin = max(2.0 * (ends[1] - ends[0]), least)
+            inside &= ends[0] - margin <= measures[i][c] <= ends[1] + margin
+        assert rows[i]["kept"] == (inside and not rows[i]["base_failed"])
+
+
 def test_op8_order_follows_the_weights(spark, docs):
     from llm.queries import REST, SHARES
 
