@@ -205,11 +205,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of docs whose text scores 0.5 or more, with their columns; the model is learnt from docs and labels."""
+def keep_good(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, **settings) -> DataFrame:
+    """The rows of docs whose text scores 0.5 or more, with their columns; the model is learnt from docs and labels.
+
+    The documents to learn from are picked among the labels first (``sample_rows`` of them at most, which bounds what is
+    broadcast), so no text is exchanged. A null text scores like an empty one and repeated rows alike; an empty table gives an empty
+    one, and without labels all rows score 0.5 and stay.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = rows.join(labels.filter("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    model = train(stored(marked.mapInArrow(_featured, "doc_id long, features array<double>"), "quality-features"), labels, **settings)
+    marked = labels.filter("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    picked = marked.filter(F.col("doc_id").isNotNull() & ~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    found = rows.join(F.broadcast(picked), "doc_id").mapInArrow(_featured, "doc_id long, features array<double>")
+    model = train(stored(found, "quality-features"), labels, sample_rows=sample_rows, **settings)
 
     def run(texts: pa.Array) -> pa.Array:
         x = np.array([features(t.as_py()) for t in texts], np.float64).reshape(-1, len(FEATURES))
