@@ -1,6 +1,6 @@
 """Stress histories as tables."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placemap.constants import KEY, LOG_FLOOR
@@ -34,11 +34,10 @@ def stress_history(distances: DataFrame, trajectory: DataFrame, salts: int = 1,
     begun = salted_join(edges, pages.select(KEY, F.col("name").alias("place_a"), "page", F.col("points").alias("_a")), first, salts)
     ended = salted_join(begun, pages.select(KEY, "page", F.col("name").alias("place_b"), F.col("points").alias("_b")), [KEY, "page", "place_b"], salts)
 
-    def square(a: Column, b: Column) -> Column:
-        gap = px_length_to_km(dist(a["x"], a["y"], b["x"], b["y"])) - li_to_km(F.col("li_eval"))
-        return gap * gap
-
-    step = ended.select(KEY, "page", F.posexplode(F.zip_with("_a", "_b", square)).alias("_at", "_square")).filter(F.col("_square").isNotNull())
+    step = ended.select(KEY, "page", "li_eval", F.posexplode(F.arrays_zip("_a", "_b")).alias("_at", "_p"))
+    length = dist(F.col("_p._a.x"), F.col("_p._a.y"), F.col("_p._b.x"), F.col("_p._b.y"))
+    gap = px_length_to_km(length) - li_to_km(F.col("li_eval"))
+    step = step.select(KEY, "page", "_at", (gap * gap).alias("_square")).filter(F.col("_square").isNotNull())
     sums = step.groupBy(KEY, "page", "_at").agg(F.sum("_square").alias("stress"))
     iteration = (F.col("page") * page_steps + F.col("_at")).cast(trajectory.schema["iteration"].dataType)
     return sums.select(KEY, iteration.alias("iteration"), "stress")
