@@ -5,6 +5,9 @@ within prefixes lengthened for ``m`` matches, and at least the smaller ``m`` of
 document chooses the ``m`` whose estimated cost is least: the entries its prefix meets, plus the candidates left to
 verify, which become fewer with every further match that is required.
 
+The smaller document of a pair needs a shorter prefix, because it must share more of itself than the larger one does. Only
+lists that hold such an inner entry are met, which spares the shingles that all texts of one template have.
+
 What is asked for are groups, so pairs within a group that is already linked are not met: each prefix shingle first
 links its documents to one of them, and only documents of different groups meet afterwards.
 """
@@ -12,8 +15,10 @@ links its documents to one of them, and only documents of different groups meet
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,8 @@ MATCHES = (1, 2, 3, 4, 6, 8)
 HEAD = 64
 #: Cost of verifying a candidate, in entries of a list met.
 VERIFY = 20
+#: Entries of a list that one task meets; longer lists are split.
+LONG_LIST = 2_048
 _MIX = [np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F)]
 
 
@@ -148,15 +155,28 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
+def _least_as_smaller(n, percent: int):
+    """Least overlap of a set of ``n`` shingles with a similar one that is not smaller."""
+    return F.ceil(2 * percent * n / (100 + percent))
+
+
 def _adaptive(profiles: DataFrame, percent: int) -> DataFrame:
-    """node, n, shared, matches, token: each document with the number of matches it asks for and the prefix for it."""
+    """node, n, shared, matches, token, inner: each document with the number of matches it asks for and the prefix for it.
+
+    ``inner`` marks the shorter prefix that is enough to meet documents that are not smaller. A document that has too little in common
+    with others to be the smaller of a pair has none. What texts of one template all have is seldom inner, as their own words are rarer.
+    """
     prefix = F.slice("head", F.lit(1), F.col("most").cast("int"))
-    lists = profiles.select("node", "n", "shared", F.posexplode(prefix).alias("rank", "token"))
-    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    met = lists.join(sizes, "token").withColumn("rank", F.col("rank") + F.col("n") - F.col("shared"))
-    least = F.ceil(F.col("n") * percent / 100)
+    least, smaller = F.ceil(F.col("n") * percent / 100), _least_as_smaller(F.col("n"), percent)
+    lists = profiles.select("node", "n", "shared", F.posexplode(prefix).alias("rank", "token")).withColumn("rank", F.col("rank") + F.col("n") - F.col("shared"))
+
+    def inner(m):
+        return (F.col("shared") >= smaller) & (F.col("rank") < F.col("n") - smaller + m)
+
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.count_if(inner(1)).alias("inner_df")).filter("df > 1")
+    met = lists.join(sizes, "token")
     base = F.col("n") - least
-    entries = [F.sum(F.when(F.col("rank") < base + m, F.col("df")).otherwise(0)) for m in MATCHES]
+    entries = [F.sum(F.when(inner(m), F.col("df")).otherwise(0) + F.when(F.col("rank") < base + m, F.col("inner_df")).otherwise(0)) for m in MATCHES]
     cost = F.array_min(F.array(*[
         # all lists together hold each candidate as often as it matches, m times at least; what a similar document surely
         # has in common is ``least`` shingles, so no more matches can be asked for
@@ -164,7 +184,7 @@ def _adaptive(profiles: DataFrame, percent: int) -> DataFrame:
     ])).getField("matches")
     chosen = met.groupBy("node", "n", "shared").agg(cost.alias("matches"), F.collect_list(F.struct("rank", "token")).alias("all"))
     rows = chosen.select("node", "n", "shared", "matches", F.explode("all").alias("e")).select("node", "n", "shared", "matches", "e.*")
-    return rows.filter(F.col("rank") < base + F.col("matches")).select("node", "n", "shared", "matches", "token")
+    return rows.filter(F.col("rank") < base + F.col("matches")).select("node", "n", "shared", "matches", "token", inner(F.col("matches")).alias("inner"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,23 +210,34 @@ def _star_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_pairs(postings: DataFrame, profiles: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups with enough matches, each once, at the first shingle both prefixes have.
+    """Pairs (a, b) of different groups with enough matches, each once, at the first shingle of their prefixes.
 
-    Within a list, the documents outside its largest group meet all. What one head has up to the other's end and the
-    other lacks cannot be in both sets, which bounds their overlap.
+    The smaller of a pair has that shingle in its inner prefix, so a list meets its inner entries with larger documents only, and not those
+    of its largest group with each other. Long lists are split by bands of set size and dealt to several tasks. What
+    one head has up to the other's end and the other lacks cannot be in both sets, which bounds their overlap.
     """
     rooted = postings.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    top = counts.groupBy("token").agg(F.max(F.struct("k", "root")).alias("t"), F.sum("k").alias("all"))
-    mixed = top.filter(F.col("t.k") < F.col("all")).select("token", F.col("t.root").alias("top"))
-    # the prefix for the matches asked for: so many of the head
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("matches") - (F.col("n") - F.col("shared"))
+    counts = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.count_if("inner").alias("inner"))
+    top = counts.groupBy("token").agg(F.max(F.struct("k", "root")).alias("t"), F.sum("k").alias("all"), F.sum("inner").alias("inners"))
+    mixed = top.filter((F.col("t.k") < F.col("all")) & (F.col("inners") > 0)).select("token", F.col("t.root").alias("top"), "all")
     rows = rooted.join(mixed, "token").join(profiles.select("node", "head", "last"), "node")
-    rows = rows.withColumn("prefix", F.slice("head", F.lit(1), length.cast("int")))
+    once = F.col("n") - F.col("shared")  # these come before the head
+
+    def prefix(least):
+        return F.slice("head", F.lit(1), F.greatest(F.col("n") - least + F.col("matches") - once, F.lit(0)).cast("int"))
+
+    # equal sizes are ordered by node; a similar larger document is in the same band or the next (or, by rounding, one more)
+    band = F.when(F.col("all") > LONG_LIST, F.floor(F.log(F.col("n")) / math.log(100 / min(percent, 99)))).otherwise(0).cast("int")
+    bands = F.when(F.col("all") > LONG_LIST, F.array(band, band + 1, band + 2)).otherwise(F.array(F.lit(0)))
+    deals = F.ceil(F.col("all") / LONG_LIST).cast("int")
+    major = F.col("root") == F.col("top")
     names = ("node", "n", "shared", "matches", "root", "head", "last", "prefix")
-    minor = rows.filter(F.col("root") != F.col("top")).select("token", *[F.col(c).alias(f"l_{c}") for c in names])
-    other = rows.select("token", "top", *[F.col(c).alias(f"r_{c}") for c in names])
-    once = (F.col("r_root") == F.col("top")) | (F.col("l_node") < F.col("r_node"))
+    small = rows.filter("inner").withColumn("prefix", prefix(_least_as_smaller(F.col("n"), percent)))
+    small = small.withColumn("major", F.explode(F.when(major, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    small = small.withColumn("band", F.explode(bands)).withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+    small = small.select("token", "major", "band", "deal", *[F.col(c).alias(f"l_{c}") for c in names])
+    large = rows.withColumn("prefix", prefix(F.ceil(F.col("n") * percent / 100)))
+    large = large.select("token", major.alias("major"), band.alias("band"), F.pmod(F.xxhash64("node"), deals).cast("int").alias("deal"), *[F.col(c).alias(f"r_{c}") for c in names])
 
     def overlap(a: str, b: str):
         """At most so many shingles of a are in b."""
@@ -214,10 +245,12 @@ def _cross_pairs(postings: DataFrame, profiles: DataFrame, labels: DataFrame, pe
         return F.col(f"{a}shared") - F.size(lacking)
 
     both = F.array_intersect("l_prefix", "r_prefix")
-    first = (F.array_min(both) == minor["token"]) & (F.size(both) >= F.least("l_matches", "r_matches"))
+    first = (F.array_min(both) == small["token"]) & (F.size(both) >= F.least("l_matches", "r_matches"))
     close = (100 + percent) * F.least(overlap("l_", "r_"), overlap("r_", "l_")) >= percent * (F.col("l_n") + F.col("r_n"))
-    plain = (F.col("l_root") != F.col("r_root")) & once & _may_link("l_", "r_", percent)
-    met = minor.join(other, (minor["token"] == other["token"]) & F.when(plain, first & close).otherwise(False))
+    larger = (F.col("l_n") < F.col("r_n")) | ((F.col("l_n") == F.col("r_n")) & (F.col("l_node") < F.col("r_node")))
+    plain = larger & (F.col("l_root") != F.col("r_root")) & _may_link("l_", "r_", percent)
+    keys = [small[c] == large[c] for c in ("token", "major", "band", "deal")]
+    met = small.join(large, reduce(and_, keys) & F.when(plain, first & close).otherwise(False))
     return met.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"))
 
 

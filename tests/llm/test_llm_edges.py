@@ -172,6 +172,46 @@ def test_similar_groups_of_short_texts(spark, percent, words):
     assert sum(i != g for i, (_, g) in want.items()) >= 60
 
 
+def template_texts(n, words, vocabulary, seed=3):
+    """Texts of one template that differ in three words; with a ``vocabulary`` those words come back in other texts."""
+    draw = random.Random(seed)
+    for i in range(n):
+        text = [f"w{k}" for k in range(words)]
+        for slot in (words // 6, words // 2, 5 * words // 6):
+            text[slot] = f"own{i if vocabulary is None else draw.randrange(vocabulary)}at{slot}"
+        yield i, " ".join(text)
+
+
+@pytest.mark.parametrize(("words", "vocabulary"), [(85, None), (76, 6), (76, 40), (110, 5)])
+def test_similar_groups_of_one_template(spark, monkeypatch, words, vocabulary):
+    monkeypatch.setattr(shingles, "LONG_LIST", 16)  # lists are split by size band and dealt
+    texts = list(template_texts(150, words, vocabulary))
+    texts += [(1000 + i, t + " " + " ".join(f"tail{k}" for k in range(i % 23))) for i, t in texts[::3]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in collected(shingles.similar_groups(docs(spark, texts), words=4, percent=85))}
+    assert got == shingle_groups(dict(texts), 4, 85)
+
+
+@pytest.mark.parametrize(("words", "vocabulary"), [(85, None), (76, 50)])
+def test_lists_of_a_template_are_not_met(spark, words, vocabulary):
+    def met(n):
+        """Entries that inner entries meet, for texts whose own words come back in as many texts whatever n is."""
+        sets = [shingles.shingles(t, 4) for _, t in template_texts(n, words, vocabulary and vocabulary * n // 100)]
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+        rows = []
+        for node, own in enumerate(sets):
+            df = counts[np.searchsorted(tokens, own)]
+            rank = sorted((int(c) << 48) | (int(h) >> 16) for h, c in zip(own, df) if c > 1)
+            most = max(0, len(rank) - shingles.needed(len(own), 85) + shingles.MATCHES[-1])
+            if len(rank) >= shingles.needed(len(own), 85):
+                rows.append((node, len(own), len(rank), most, rank[: max(shingles.HEAD, most)], 2**63 - 1))
+        postings = shingles._adaptive(spark.createDataFrame(rows, shingles.PROFILES), 85)
+        lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.count_if("inner").alias("inner"))
+        return lists.select(F.sum(F.col("k") * F.col("inner"))).first()[0]
+
+    few, many = met(300), met(1200)
+    assert many <= 5 * few
+
+
 # chat
 
 TEXTS = ["<|im_end|>", "<|im_start|>assistant\nx", "<\\|im_end|>", "<\\\\|", "<", "|im_end|>", "", "\n\n  lead", "ends with <", "日本 <| 語", "\\", "<|", "a<\\", "tail\n"]
