@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placemap.sources.storage import stored
+
 #: Payloads below so many bytes are never replaced by a reference.
 LEAST = 1000
 VERSION = "WARC/1.1"
@@ -64,36 +66,57 @@ def _page(field):
     return F.regexp_extract(field, r"<urn:page:(-?\d+)>", 1).try_cast("long")
 
 
-def read_payloads(spark: SparkSession, folder: str, *columns) -> DataFrame:
-    """digest, the asked columns (expressions over ``payload``) and verified: the bytes still have that digest."""
-    payloads = spark.read.parquet(f"{folder}/payloads")
-    return payloads.select("digest", *columns, (F.sha2("payload", 256) == F.col("digest")).alias("verified"))
+def _parsed(headers: DataFrame) -> DataFrame:
+    """The table with page_id, record_type, refers_to and digest, as its ``header`` says."""
+    return headers.withColumns({
+        "page_id": _page(_field("WARC-Record-ID")), "record_type": _field("WARC-Type"), "refers_to": _page(_field("WARC-Refers-To")),
+        "digest": F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", ""),
+    })
 
 
-def read_archive(spark: SparkSession, folder: str, *columns) -> DataFrame:
-    """One row per record: page_id, record_type, refers_to, header, digest, the asked payload columns and verified.
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """The bytes of each WARC record: header, empty line, block (empty for a revisit), two line ends.
 
-    Without ``columns`` the payload itself is joined. Expressions over ``payload`` are computed before the join, so
-    that the bytes need not be exchanged for them. A missing or altered payload leaves ``verified`` null or false.
+    Only responses are joined with payloads. A payload that is missing, or whose digest is not the stored one, stops the job.
     """
-    headers = spark.read.parquet(f"{folder}/headers")
-    payloads = read_payloads(spark, folder, *(columns or ("payload",)))
-    parsed = headers.select(
-        _page(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Type").alias("record_type"),
-        _page(_field("WARC-Refers-To")).alias("refers_to"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("digest"), "header",
-    )
-    return parsed.join(payloads, "digest", "left")
+    headers = _parsed(spark.read.parquet(f"{folder}/headers")).select("header", "digest", "record_type")
+    payloads = spark.read.parquet(f"{folder}/payloads").withColumn("proven", F.sha2("payload", 256) == F.col("digest"))
+    responses = headers.filter("record_type = 'response'").join(payloads, "digest", "left")
+    said = F.concat(F.lit("payload missing or altered: sha256:"), F.coalesce("digest", F.lit("none")))
+    block = F.when(F.col("proven"), F.col("payload")).otherwise(F.raise_error(said))
+    revisits = headers.filter("record_type <> 'response'").select("header", F.lit(b"").alias("block"))
+    whole = responses.select("header", block.alias("block")).unionByName(revisits)
+    end = F.lit(b"\r\n")
+    return whole.select(F.concat(F.encode("header", "UTF-8"), end, "block", end, end).alias("record"))
 
 
-def proven(name: str) -> F.Column:
-    """A payload column of read_archive; a row whose payload is missing or altered stops the job."""
-    said = F.concat(F.lit("payload missing or altered: sha256:"), F.coalesce("digest", F.lit("none")))
-    return F.when(F.col("verified"), F.col(name)).otherwise(F.raise_error(said)).alias(name)
+def read_records(rows: DataFrame) -> DataFrame:
+    """page_id, record_type, refers_to, digest, header and block of each ``record``, from its bytes alone.
 
+    The header ends at the first empty line. A block that is not as long as Content-Length says, or is not followed by
+    two line ends, stops the job.
+    """
+    cut = rows.select("record", F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1).alias("header"))
+    start, size = F.octet_length("header") + 4, F.octet_length("record") - F.octet_length("header") - 8
+    whole = (_field("Content-Length").try_cast("long") == size) & (F.substring(F.col("record"), F.lit(-4), F.lit(4)) == F.lit(b"\r\n\r\n"))
+    block = F.when(whole, F.substring(F.col("record"), start + 1, size)).otherwise(F.raise_error(F.concat(F.lit("not a whole record: "), F.col("header"))))
+    return _parsed(cut.withColumn("block", block)).select("page_id", "record_type", "refers_to", "digest", "header", "block")
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id and the bytes of each WARC record: header, empty line, block (empty for a revisit), two line ends."""
-    whole = read_archive(spark, folder)
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    end = F.lit(b"\r\n")
-    return whole.select("page_id", F.concat(F.encode("header", "UTF-8"), end, block, end, end).alias("record"))
+
+def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest (SHA-1), record_type and refers_to of every record, read from the rebuilt records.
+
+    A revisit has its payload's length and digest from the response with the payload it names. An empty archive gives no rows.
+    """
+    block = F.col("block")
+    found = read_records(records(spark, folder)).select(
+        "page_id", "record_type", "refers_to", "digest", F.length(block).cast("long").alias("payload_bytes"), F.sha1(block).alias("payload_digest")
+    )
+    found = stored(found, "records")
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    responses = found.filter("record_type = 'response'")
+    full = responses.groupBy("digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    revisits = found.filter("record_type <> 'response'").drop("payload_bytes", "payload_digest").join(full, "digest", "left")
+    lost = F.raise_error(F.concat(F.lit("no response with the payload sha256:"), "digest"))
+    revisits = revisits.withColumn("payload_bytes", F.coalesce("payload_bytes", lost.cast("long")))
+    return responses.select(*names).unionByName(revisits.select(*names))
