@@ -19,6 +19,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,42 +196,81 @@ def _sort_buckets(length: int):
     return run
 
 
-def _windows(length: int):
-    """Every start of rows from large buckets with a digest of its string."""
-    schema = pa.schema([("digest", pa.binary()), ("times", pa.int32()), ("text_id", pa.binary()), ("begin", pa.int64())])
+PIECES = f"piece binary, {ROWS}"
+_PIECES = pa.schema([("piece", pa.binary()), *_ARROW])
+
+
+def _pieces(length: int, step: int):
+    """Rows of large buckets cut into rows of at most ``step`` neighbouring starts, each in a bucket of its own.
+
+    Starts ``d`` to ``d + step - 1`` bytes before the anchor all hold the ``d`` bytes before it and what lies behind it
+    up to ``length`` less the others' distance; that core names the new bucket. Starts of equal strings lie equally far before their
+    anchors and so stay together. With one start a row the core is the string itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(list(zip(*[c.to_pylist() for c in batch.columns])), 500):
-                rows = [
-                    (hashlib.blake2b(context[i : i + length], digest_size=16).digest(), times if k == 0 else 0, m["text_id"], m["start"] + i)
-                    for _, _, n, context, times, members in part for i in range(n) for k, m in enumerate(members)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+            for part in _parts(list(zip(*[batch.column(c).to_pylist() for c in ("h", "off", "n", "context", "times", "members")])), 500):
+                rows: dict[tuple, list] = {}
+                for h, off, n, context, times, members in part:
+                    for at in range((off - n + 1) // step * step, off + 1, step):
+                        low, high = max(at, off - n + 1), min(at + step - 1, off)
+                        core = context[off - at : off - at - step + 1 + length]
+                        bucket = xxhash.xxh3_64_intdigest(core, (h + at) & (2**64 - 1))
+                        row = rows.setdefault((bucket, high, high - low + 1, context[off - high : off - low + length]), [0, []])
+                        row[0] += times
+                        row[1] += [{"text_id": m["text_id"], "start": m["start"] + off - high} for m in members]
+                names = [hashlib.blake2b(b"%d %d %d " % k[:3] + k[3], digest_size=16).digest() for k in rows]
+                columns = [names, np.array([k[0] for k in rows], np.uint64).view(np.int64), *zip(*[k[1:] for k in rows])]
+                columns += [[min(v[0], 2) for v in rows.values()], [v[1] for v in rows.values()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECES.types)], schema=_PIECES)
 
     return run
 
 
+#: Starts a row, where a bucket is large and where it still is.
+STEPS = (8, 1)
+
+
+def _large(rows: DataFrame, large_bucket: int) -> DataFrame:
+    """h of buckets with more than ``large_bucket`` rows; a list of few is broadcast."""
+    large = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > large_bucket).select("h"), "large-buckets")
+    return F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
+
+
 def repeated_spans(texts: DataFrame, *, length: int = 200, large_bucket: int = 1_024, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """text_id, begin, end (bytes) of spans that repeated strings cover, from rows (text_id binary, text string).
 
-    Spans of a text may overlap. Equal texts have equal text_ids and count as often as they occur. Buckets of more
-    than ``large_bucket`` rows are not sorted in one task: there each start's string is counted by its digest
-    instead, with counts summed before the exchange.
+    Spans of a text may overlap. Equal texts have equal text_ids and count as often as they occur. A bucket of more
+    than ``large_bucket`` rows is split by what its starts have in common, and of equal rows only one, with their number, goes to the same
+    sorter; what it finds is joined with the texts that hold them. Where a part still is large, each start is a part, all
+    rows of which are equal.
     """
     size = texts.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     expected = 2 * size // (length - GRAM + 2) + 1
     rows = stored(through_twice_seen(
         texts.select("text_id", "text"), _anchor_hashes(length), _contexts(length), ROWS, expected=expected, max_bytes=max_filter_bytes
     ), "contexts")
-    large = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > large_bucket).select("h"), "large-buckets")
-    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    large = F.broadcast(large) if few else large
-    by_sort = rows.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_buckets(length), SPANS)
-    windows = rows.join(large, "h", "left_semi").mapInArrow(_windows(length), "digest binary, times int, text_id binary, begin long")
-    twice = windows.groupBy("digest").agg(F.sum("times").alias("times")).filter("times > 1").select("digest")
-    by_count = windows.join(twice, "digest").select("text_id", "begin", (F.col("begin") + length).alias("end"))
-    return by_sort.unionByName(by_count).distinct()
+
+    def sort(buckets: DataFrame) -> DataFrame:
+        return buckets.select(*_ARROW.names).repartition("h").sortWithinPartitions("h").mapInArrow(_sort_buckets(length), SPANS)
+
+    large = _large(rows, large_bucket)
+    spans = sort(rows.join(large, "h", "left_anti"))
+    for step in STEPS:
+        pieces = rows.join(large, "h", "left_semi").mapInArrow(_pieces(length, step), PIECES)
+        context = [F.first(c).alias(c) for c in ("h", "off", "n", "context")]
+        itself = F.array(F.struct(F.col("piece").alias("text_id"), F.lit(0).cast("long").alias("start"))).alias("members")
+        once = pieces.groupBy("piece").agg(*context, F.least(F.sum("times"), F.lit(2)).cast("int").alias("times")).select("*", itself)
+        once = stored(once, "pieces")
+        found = once
+        if step > 1:
+            rows, large = pieces.drop("piece"), _large(once, large_bucket)
+            found = once.join(large, "h", "left_anti")
+        found = sort(found).withColumnRenamed("text_id", "piece")
+        holders = pieces.select("piece", F.explode("members").alias("m")).join(found, "piece")
+        spans = spans.unionByName(holders.select("m.text_id", (F.col("m.start") + F.col("begin")).alias("begin"), (F.col("m.start") + F.col("end")).alias("end")))
+    return spans.distinct()
 
 
 _CUT = "n_bytes long, spans array<struct<begin long, end long>>, kept binary"

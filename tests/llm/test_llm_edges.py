@@ -363,7 +363,7 @@ def test_mix_edges(spark):
 # repeats
 
 
-@pytest.mark.parametrize("large", [1024, 1])
+@pytest.mark.parametrize("large", [1024, 12, 1])
 def test_repeats_against_brute_force(spark, large):
     rng = random.Random(large)
     word = lambda: "".join(rng.choice("abé \n") for _ in range(rng.randrange(60, 140)))
@@ -449,14 +449,24 @@ def plain_repeats(raws, length):
     return out
 
 
-def test_repeats_with_nul_bytes(spark):
-    """Texts of few different bytes, NUL among them, that are copies of each other's parts."""
+@pytest.mark.parametrize("large", [1024, 20, 2])
+def test_repeats_with_nul_bytes(spark, large):
+    """Texts of few different bytes, NUL among them, that are copies of each other's parts; buckets whole and split once or twice."""
     rng = random.Random(12)
     texts = []
     for _ in range(60):
         base = "".join(rng.choices("\0\0\0a\1", k=400))
         cut = rng.randrange(100, 300)
         texts += [base, base[:cut] + "\0" * rng.randrange(3) + base[cut:], "\0" * rng.randrange(4) + base[rng.randrange(100) : rng.randrange(300, 400)], base[: rng.randrange(180, 260)] + "\0" * 30]
+    got = {r["doc_id"]: bytes(r["kept"]) for r in collected(repeats.remove_repeats(docs(spark, list(enumerate(texts))), large_bucket=large))}
+    assert [got[i] for i in range(len(texts))] == plain_repeats([t.encode() for t in texts], 200)
+
+
+def test_repeats_of_a_passage_in_very_many_texts(spark):
+    """A bucket above the production limit: one passage between words of each text's own, or cut short by some."""
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcdefgh \0", k=320))
+    texts = [f"{i} own words {i * i} " + passage[i % 7 : 320 - i % 11] + f" {i % 3} end of {i}" for i in range(1500)]
     got = {r["doc_id"]: bytes(r["kept"]) for r in collected(repeats.remove_repeats(docs(spark, list(enumerate(texts)))))}
     assert [got[i] for i in range(len(texts))] == plain_repeats([t.encode() for t in texts], 200)
 
