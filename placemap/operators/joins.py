@@ -18,17 +18,27 @@ def one_run(table: DataFrame, run_id: int = 0) -> DataFrame:
     return table.select(F.greatest(F.least(F.xxhash64(table.columns[0]), value), value).alias(KEY), "*")
 
 
+def sized_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join of two tables that both grow with the input: both are exchanged and sorted, which spills.
+
+    Left to itself the optimizer broadcasts a side whose size it guesses to be small. Its guess is a share of the file's
+    compressed size and does not count the rows an explode makes, so tables of millions of places went through the driver and
+    into the memory of every task.
+    """
+    return left.join(right.hint("merge"), [on] if isinstance(on, str) else list(on), how)
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int = 1, how: str = "inner") -> DataFrame:
     """Equi-join whose hot keys may be spread over ``salts`` tasks.
 
     With one salt the plan is the ordinary join and skewed partitions are left to adaptive execution.
-    With more, the (smaller) right side is repeated once per salt and each left row meets one copy.
+    With more, the (smaller) right side is repeated once per salt and each left row meets one copy. Neither is broadcast.
     """
     if salts <= 1:
-        return left.join(right, list(on), how)
+        return sized_join(left, right, on, how)
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    return sized_join(left.withColumn("_salt", salt), copies, [*on, "_salt"], how).drop("_salt")
 
 
 def beside_runs(

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemap.constants import KEY
+from placemap.operators.joins import sized_join
 
 ALIGN, SECOND = "S0", "P2"
 RUNS = (0, 1)
@@ -29,12 +30,8 @@ class Tables:
         return self._keys().select("name")
 
     def one_map(self) -> DataFrame:
-        k, o = F.col("k"), F.col("o")
-        return self._keys().select(
-            "name",
-            (120 + ((k * 7919 + o * 4801) % 9600) / F.lit(10.0)).alias("x"),
-            (75 + ((k * 104729 + o * 3001) % 6000) / F.lit(10.0)).alias("y"),
-        )
+        x, y = _place(F.col("k"), F.col("o"))
+        return self._keys().select("name", x.alias("x"), y.alias("y"))
 
     def positions(self) -> DataFrame:
         """Two layouts; the second is stretched in x by 3 % and in y by 1 %."""
@@ -45,18 +42,18 @@ class Tables:
         )
 
     def one_map_distances(self) -> DataFrame:
-        at = self.one_map()
-        lines = self.read("lineitem").select(
-            F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("place_a"),
-            F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("place_b"),
-            (F.col("l_orderkey") + F.col("l_linenumber")).alias("k"),
-        )
-        ends = lines.join(at.toDF("place_a", "ax", "ay"), "place_a").join(at.toDF("place_b", "bx", "by"), "place_b")
-        dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+        """Matched by the numbers of both places; names and coordinates are made from them, once they need not travel."""
+        s, p = F.col("l_suppkey"), F.col("l_partkey")
+        turn = ((F.col("l_orderkey") + F.col("l_linenumber")) % 13).cast("byte").alias("turn")
+        lines = self.read("lineitem").select(s, p, turn)
+        lines = sized_join(lines, self.read("supplier").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey")
+        ends = sized_join(lines, self.read("part").select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
+        (ax, ay), (bx, by) = _place(s, F.lit(0)), _place(p, F.lit(1))
+        dx, dy = ax - bx, ay - by
         li = F.sqrt(dx * dx + dy * dy) * 10
-        off = 1 + (F.col("k") % 13 - 6) / F.lit(100.0)
+        off = 1 + (F.col("turn") - 6) / F.lit(100.0)
         return ends.select(
-            "place_a", "place_b",
+            F.concat(F.lit("S"), s.cast("string")).alias("place_a"), F.concat(F.lit("P"), p.cast("string")).alias("place_b"),
             F.floor(li * off + 1).cast("bigint").alias("li_eval"), F.floor(li + 1).cast("bigint").alias("li_spring"),
         )
 
@@ -134,6 +131,11 @@ class Tables:
 TOKENS = ("E", "W", "N", "S", "SE", "NW", "NE", "SW")
 
 
+def _place(k, o) -> tuple:
+    """Coordinates of the place with number ``k``."""
+    return 120 + ((k * 7919 + o * 4801) % 9600) / F.lit(10.0), 75 + ((k * 104729 + o * 3001) % 6000) / F.lit(10.0)
+
+
 def _for_runs(table: DataFrame) -> DataFrame:
     return table.select(F.explode(F.array(*[F.lit(r).cast("bigint") for r in RUNS])).alias(KEY), "*")
 
