@@ -7,7 +7,7 @@ from placemap.constants import KEY, REFERENCE_POINT, TRUTH_CLUSTER
 from placemap.functions.display import diverging_colour
 from placemap.functions.plane import dist
 from placemap.operators.geometry import lcc_forward, px_to_km
-from placemap.operators.joins import beside_runs
+from placemap.operators.joins import beside_runs, sized_join
 
 
 def resolve_aliases(ground_truth: DataFrame, places: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def resolve_aliases(ground_truth: DataFrame, places: DataFrame) -> DataFrame:
     last row wins. The point (0, 0) means unknown.
     """
     named = ground_truth.select("row_no", F.posexplode("aliases").alias("_pos", "name"), "lon", "lat")
-    hits = named.filter(F.col("name") != "").join(places.select(KEY, "name"), "name")
+    hits = sized_join(named.filter(F.col("name") != ""), places.select(KEY, "name"), "name")
     bound = hits.groupBy(KEY, "row_no").agg(F.min_by(F.struct("name", "lon", "lat"), "_pos").alias("_hit"))
     known = (
         bound.groupBy(KEY, F.col("_hit.name").alias("name"))
@@ -29,7 +29,7 @@ def resolve_aliases(ground_truth: DataFrame, places: DataFrame) -> DataFrame:
             F.when(F.col("_known"), F.col("_hit.lat")).alias("lat"),
         )
     )
-    return places.select(KEY, "name").join(known, [KEY, "name"], "left")
+    return sized_join(places.select(KEY, "name"), known, [KEY, "name"], "left")
 
 
 def with_truth(points: DataFrame) -> DataFrame:
@@ -38,9 +38,8 @@ def with_truth(points: DataFrame) -> DataFrame:
 
 def truth_layer(places: DataFrame, truth: DataFrame, cluster: int = TRUTH_CLUSTER) -> DataFrame:
     """All places with their known coordinates (null when unknown) and a constant cluster."""
-    return places.select(KEY, "name").join(truth.select(KEY, "name", "lon", "lat"), [KEY, "name"], "left").withColumn(
-        "cluster", F.lit(cluster)
-    )
+    known = truth.select(KEY, "name", "lon", "lat")
+    return sized_join(places.select(KEY, "name"), known, [KEY, "name"], "left").withColumn("cluster", F.lit(cluster))
 
 
 def compare_truth(positions: DataFrame, truth: DataFrame, anchor: str, ref=REFERENCE_POINT) -> DataFrame:
@@ -50,7 +49,7 @@ def compare_truth(positions: DataFrame, truth: DataFrame, anchor: str, ref=REFER
         KEY, "name", F.col("x_km").alias("truth_x_km"), F.col("y_km").alias("truth_y_km")
     )
     error = dist(F.col("truth_x_km"), F.col("truth_y_km"), F.col("x_km"), F.col("y_km"))
-    return layout.join(known, [KEY, "name"]).withColumn("error_km", error)
+    return sized_join(layout, known, [KEY, "name"]).withColumn("error_km", error)
 
 
 def rmse(errors: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
