@@ -10,7 +10,7 @@ def plan(table) -> str:
     return table._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["endpoint_join_salted", "model_comparison"])
+@pytest.mark.parametrize("name", ["endpoint_join_salted", "model_comparison", "stress_history"])
 def test_places_are_not_broadcast(spark, name):
     """Only rows of runs may be; before, tables of places went through the driver."""
     found = plan(QUERIES[name](spark, SMALL))
