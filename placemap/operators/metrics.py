@@ -16,6 +16,11 @@ def _length_px() -> Column:
     return dist(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
 
 
+def _relative_error(ideal_px: Column) -> Column:
+    """In pixels for every caller: in kilometres an edge on the threshold may round to its other side."""
+    return F.try_divide(F.abs(_length_px() - ideal_px), ideal_px)
+
+
 def _with_km(ended: DataFrame) -> DataFrame:
     return ended.withColumns({"actual_km": px_length_to_km(_length_px()), "ideal_km": li_to_km(F.col("li_eval"))})
 
@@ -62,8 +67,7 @@ def kruskal_stress_of_ends(ended: DataFrame) -> DataFrame:
 
 
 def layout_scores_of_ends(ended: DataFrame) -> DataFrame:
-    gap = F.abs(F.col("actual_km") - F.col("ideal_km"))
-    bad = F.count_if(F.try_divide(gap, F.col("ideal_km")) > ERROR_CAP).alias("n_bad_edges")
+    bad = F.count_if(_relative_error(li_to_px(F.col("li_eval"))) > ERROR_CAP).alias("n_bad_edges")
     return _with_km(ended).groupBy(KEY).agg(_raw(), _kruskal(), F.count(F.lit(1)).alias("n_edges"), bad)
 
 
@@ -109,7 +113,7 @@ def _errors(ended: DataFrame, factor: float) -> DataFrame:
     ideal = li_to_px(F.col("li_eval")) * F.lit(factor)
     actual = _length_px()
     return ended.withColumns({
-        "error": F.try_divide(F.abs(actual - ideal), ideal),
+        "error": _relative_error(ideal),
         "ideal_km": li_to_km(F.col("li_eval")),
         "delta_km": px_length_to_km((actual - ideal) / F.lit(factor)),
     })

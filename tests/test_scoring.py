@@ -28,6 +28,14 @@ def test_stress_by_hand(table):
     assert scores.n_bad_edges == 2
 
 
+def test_an_edge_on_the_threshold_counts_as_in_the_report(table):
+    """3 % as pixels give it, a little more as kilometres did."""
+    positions = table(POSITIONS, [(0, "a", 0.0, 0.0), (0, "b", 12.36, 0.0)])
+    distances = table(DISTANCES, [(0, "a", "b", 120, 1)])
+    assert metrics.error_report(metrics.edge_error(distances, positions)).count() == 0
+    assert metrics.layout_scores(distances, positions).first().n_bad_edges == 0
+
+
 def test_coinciding_ends_give_no_kruskal(table):
     assert metrics.kruskal_stress(table(DISTANCES, [(0, "a", "c", 5, 1)]), table(POSITIONS, SQUARE)).first()[1] is None
 
