@@ -3,7 +3,10 @@
 import pytest
 
 from conftest import SMALL
+from placemap.sources.writers import write_layers
 from workload import QUERIES
+from workload.file_queries import _layers
+from workload.fixtures import Tables
 
 
 def plan(table) -> str:
@@ -17,3 +20,13 @@ def test_places_are_not_broadcast(spark, name):
     assert "SortMergeJoin" in found
     keys = [line.split("BroadcastHashJoin [")[1].split("]")[0] for line in found.splitlines() if "BroadcastHashJoin [" in line]
     assert all(key.startswith("run_id#") and "," not in key for key in keys)
+
+
+def test_layers_look_the_ends_up_once_and_are_written_compressed(spark, tmp_path):
+    """Two joins by an end's name, before four; JSON in gzip."""
+    layers = _layers(Tables(spark, SMALL))
+    ends = [line for line in plan(layers).splitlines() if "Join [" in line and "place_" in line]
+    assert len(ends) == 2
+    write_layers(layers.limit(10), str(tmp_path / "layers"))
+    assert all(p.suffix == ".gz" for p in (tmp_path / "layers").glob("part-*"))
+    assert spark.read.json(str(tmp_path / "layers")).count() == 10
