@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from placemap.constants import KEY
 from placemap.functions.chance import hash_uniform
+from placemap.operators.joins import sized_join
 from placemap.sources.storage import stored
 
 
@@ -38,21 +39,43 @@ def degrees(distances: DataFrame) -> DataFrame:
     return distances.select(KEY, names).groupBy(KEY, "name").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def adjacency(distances: DataFrame, page_rows: int = 10_000) -> DataFrame:
+#: Places are counted in so many hashed groups; a group with more than HUB_ROWS entries has a place that one task should not hold.
+SPOTS, HUB_ROWS, TASK_ROWS = 65_536, 2_000_000, 250_000
+
+
+def adjacency(distances: DataFrame, page_rows: int = 10_000, hub_rows: int = HUB_ROWS) -> DataFrame:
     """Neighbours as sorted arrays, one row per run, name and page.
 
     Equal entries are counted in ``copies`` before they are collected. A place with more than ``page_rows`` different
     entries has them dealt by hash over ``pages`` rows of about that many, so no array grows with the degree;
     others have page 0 of one.
+
+    The entries are exchanged once, by place, into tasks of about TASK_ROWS; copies, pages and arrays are made where they then
+    lie. Places of crowded groups, found by a count of its own, are put together entry by entry and page by page instead.
     """
-    entries = (
-        symmetric_edges(distances)
-        .groupBy(KEY, F.col("place_a").alias("name"), F.col("place_b").alias("neighbor"), "li_eval", "li_spring")
-        .agg(F.count(F.lit(1)).alias("copies"))
+    entries = symmetric_edges(distances).select(
+        KEY, F.col("place_a").alias("name"), F.col("place_b").alias("neighbor"), "li_eval", "li_spring"
     )
-    sizes = entries.groupBy(KEY, "name").agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("_pages"))
-    # the few places that need pages; how they are joined is left to their number
-    paged = entries.join(sizes.filter("_pages > 1"), [KEY, "name"], "left").withColumn("pages", F.coalesce("_pages", F.lit(1)))
+    spot = F.pmod(F.xxhash64(KEY, "name"), F.lit(SPOTS))
+    counts = entries.groupBy(spot.alias("spot")).agg(F.count(F.lit(1)).alias("n")).collect()
+    crowded = [row["spot"] for row in counts if row["n"] > hub_rows]
+    tasks = -(-sum(row["n"] for row in counts) // TASK_ROWS)
+    own_pages = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(KEY, "name")) / page_rows).cast("int")
+    lists = _lists(_counted(entries.filter(~spot.isin(crowded)).repartition(max(tasks, 1), KEY, "name")).withColumn("pages", own_pages))
+    if not crowded:
+        return lists
+    hubs = _counted(entries.filter(spot.isin(crowded)))
+    sizes = hubs.groupBy(KEY, "name").agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("pages"))
+    # few, as each crowded group holds many entries; how they are joined is left to their number
+    return lists.unionByName(_lists(hubs.join(sizes, [KEY, "name"])))
+
+
+def _counted(entries: DataFrame) -> DataFrame:
+    return entries.groupBy(KEY, "name", "neighbor", "li_eval", "li_spring").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _lists(paged: DataFrame) -> DataFrame:
+    """One sorted array per page from entries that know the number of pages of their place."""
     page = F.floor(hash_uniform("page", F.col("neighbor"), F.col("li_eval"), F.col("li_spring")) * F.col("pages")).cast("int")
     return paged.groupBy(KEY, "name", "pages", page.alias("page")).agg(
         F.sum("copies").alias("entries"),
@@ -84,4 +107,4 @@ def missing_names(edges: DataFrame, places: DataFrame) -> DataFrame:
     """Names used by edges (or anchors) that are no known place."""
     used = vertices(edges) if "place_a" in edges.columns else edges.select(*_keys(edges), "name").distinct()
     on = [KEY, "name"] if KEY in used.columns else ["name"]
-    return used.join(places.select(*on), on, "left_anti")
+    return sized_join(used, places.select(*on), on, "left_anti")

@@ -83,3 +83,18 @@ def test_index_of_one_run_needs_no_nested_loop(spark, tmp_path):
     plan = ids._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "SinglePartition" not in plan
     assert sorted(r.id for r in ids.collect()) == list(range(100))
+
+
+def test_places_of_crowded_groups_give_the_same_lists(table):
+    """Whether a place's entries are put together in one task or page by page."""
+    rows = [(r, "hub", f"p{i % 40}", i % 3, 1) for r in (0, 1) for i in range(200)] + [(0, "p1", "p2", 7, 7)]
+    distances = table(DISTANCES, rows)
+    plain = sorted(map(str, graph.adjacency(distances, page_rows=9).collect()))
+    assert plain == sorted(map(str, graph.adjacency(distances, page_rows=9, hub_rows=50).collect()))
+    assert plain == sorted(map(str, graph.adjacency(distances, page_rows=9, hub_rows=0).collect()))
+
+
+def test_entries_are_exchanged_once(table):
+    """Before, by entry (twice), by place for the sizes, by place for the join."""
+    plan = graph.adjacency(table(DISTANCES, ROWS), page_rows=1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
