@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from placemap.constants import KEY, LOG_FLOOR
 from placemap.functions.plane import dist, li_to_km, px_length_to_km
-from placemap.operators.joins import beside_runs, salted_join
+from placemap.operators.joins import beside_runs, salted_join, sized_join
 
 
 def step_pages(trajectory: DataFrame, page_steps: int = 64) -> DataFrame:
@@ -76,6 +76,6 @@ def ticks(history: DataFrame, n: int = 6) -> DataFrame:
     step = F.floor(F.col("tick") * (F.col("_n") - 1) / (n - 1)).cast("bigint")
     wanted = sizes.select(KEY, "_n", "_first", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tick"))
     marks = wanted.select(KEY, "tick", step.alias("step"), (step + F.col("_first")).alias("iteration"))
-    return marks.join(history.withColumn("iteration", F.col("iteration").cast("bigint")), [KEY, "iteration"], "left").select(
+    return sized_join(marks, history.withColumn("iteration", F.col("iteration").cast("bigint")), [KEY, "iteration"], "left").select(
         KEY, "tick", "step", "stress"
     )

@@ -1,8 +1,10 @@
 """Plans of joins whose sides both grow with the input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
+from placemap.operators.joins import beside_runs
 from placemap.sources.writers import write_layers
 from workload import QUERIES
 from workload.file_queries import _layers
@@ -13,13 +15,19 @@ def plan(table) -> str:
     return table._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["endpoint_join_salted", "model_comparison", "stress_history"])
+EDGES = (
+    "edge_error edge_error_report edge_error_topk edge_labels edge_error_layer layers endpoint_join raw_stress kruskal_stress "
+    "spring_force direction_force flagged_places"
+)
+
+
+@pytest.mark.parametrize("name", ["endpoint_join_salted", "model_comparison", "stress_history", *EDGES.split()])
 def test_places_are_not_broadcast(spark, name):
-    """Only rows of runs may be; before, tables of places went through the driver."""
+    """Only rows of runs, or of ranges of them, may be; before, tables of places went through the driver."""
     found = plan(QUERIES[name](spark, SMALL))
     assert "SortMergeJoin" in found
     keys = [line.split("BroadcastHashJoin [")[1].split("]")[0] for line in found.splitlines() if "BroadcastHashJoin [" in line]
-    assert all(key.startswith("run_id#") and "," not in key for key in keys)
+    assert not [key for key in keys if "name#" in key or "place_" in key or "_salt" in key or "suppkey" in key or "partkey" in key]
 
 
 def test_layers_look_the_ends_up_once_and_are_written_compressed(spark, tmp_path):
@@ -30,3 +38,12 @@ def test_layers_look_the_ends_up_once_and_are_written_compressed(spark, tmp_path
     write_layers(layers.limit(10), str(tmp_path / "layers"))
     assert all(p.suffix == ".gz" for p in (tmp_path / "layers").glob("part-*"))
     assert spark.read.json(str(tmp_path / "layers")).count() == 10
+
+
+def test_values_of_many_runs_are_not_broadcast(spark):
+    """Before, the copies of every run's values were."""
+    table = spark.range(100).select((F.col("id") % 20).alias("run_id"), "id")
+    values = table.groupBy("run_id").agg(F.max("id").alias("last"))
+    many = beside_runs(table, values, limit=3)
+    assert "SortMergeJoin" in plan(many) and "Broadcast" not in plan(many)
+    assert sorted(map(tuple, many.collect())) == sorted((i % 20, i, 80 + i % 20) for i in range(100))
