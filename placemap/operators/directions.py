@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placemap.constants import KEY
 from placemap.functions.compass import direction_vector
 from placemap.functions.plane import dist, dot
-from placemap.operators.joins import with_endpoints
+from placemap.operators.joins import sized_join, with_endpoints
 
 CARDINAL_LIMIT = 0.0
 DIAGONAL_LIMIT = 1 / math.sqrt(2)
@@ -55,7 +55,7 @@ def flag_violating(places: DataFrame, violations: DataFrame) -> DataFrame:
     names = F.explode(F.array("place_a", "place_b")).alias("name")
     named = violations.select(KEY, names).distinct().withColumn("_hit", F.lit(True))
     return (
-        places.join(named, [KEY, "name"], "left")
+        sized_join(places, named, [KEY, "name"], "left")
         .withColumn("violating", F.col("_hit").isNotNull())
         .drop("_hit")
     )
