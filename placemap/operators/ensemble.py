@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from placemap.constants import CONFIDENCE_LEVELS, KEY, REPULSION_JITTER, SPRING_JITTER
 from placemap.functions.chance import hash_normal, hash_uniform
 from placemap.functions.moments import chi2_q2, eig2, major_axis_degrees
+from placemap.operators.joins import sized_join
 
 
 def runs(spark: SparkSession, n: int) -> DataFrame:
@@ -50,7 +51,7 @@ def flatten_samples(arrays: DataFrame, ids: DataFrame) -> DataFrame:
     names = ids.select(F.col("id").cast("int").alias("id"), "name")
     lost = F.raise_error(F.concat(F.lit("no place for slot "), F.col("id").cast("string")))
     name = F.coalesce("name", lost).alias("name")
-    return slots.join(names, "id", "left").select(KEY, name, F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+    return sized_join(slots, names, "id", "left").select(KEY, name, F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
 
 
 def sample_mean(samples: DataFrame) -> DataFrame:
