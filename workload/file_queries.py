@@ -101,9 +101,7 @@ def csv_roundtrip_edge_errors(t: Tables):
 @query(f"WITH {INVERSE}, {LAYER} SELECT run_id, start_name, end_name, {_edge_columns('')}, {r('err_val',8)} AS err_val FROM el")
 def edge_error_layer(t: Tables):
     positions = t.positions()
-    layer = metrics.edge_error_layer(
-        metrics.edge_error(t.distances(), positions), positions_to_lonlat(positions, _origin(t))
-    )
+    layer = metrics.edge_error_layer_of_places(t.distances(), positions_to_lonlat(positions, _origin(t)))
     return pick(layer, KEY, "start_name", "end_name", start_lon=6, start_lat=6, end_lon=6, end_lat=6, err_val=8)
 
 
