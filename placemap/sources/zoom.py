@@ -17,10 +17,10 @@ KEY_COLUMN = "z_key"
 GROUP_BYTES = 1 << 20
 
 
-def _write(table: DataFrame, x: str, y: str, path: str, group_bytes: int, mode: str) -> None:
-    """Rows in key order below ``rows``, and the square the keys refer to below ``extent``."""
-    finite = table.filter((F.abs(x) < F.lit(float("inf"))) & (F.abs(y) < F.lit(float("inf"))))
-    least = finite.agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1")).first()
+def _write(table: DataFrame, x: str, y: str, places: DataFrame, path: str, group_bytes: int, mode: str) -> None:
+    """Rows in key order below ``rows``, and the square the keys refer to below ``extent``: that of ``places``, all ends of edges among them."""
+    finite = places.filter((F.abs("x") < F.lit(float("inf"))) & (F.abs("y") < F.lit(float("inf"))))
+    least = finite.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).first()
     x0, y0 = least["x0"] or 0.0, least["y0"] or 0.0
     side = max((least["x1"] or 0.0) - x0, (least["y1"] or 0.0) - y0, 1e-9) * (1 + 1e-9)
     extent = [(float(x0), float(y0), float(side))]
@@ -44,7 +44,7 @@ def _read(spark: SparkSession, path: str, box: Box) -> DataFrame:
 
 def write_places(positions: DataFrame, path: str, group_bytes: int = GROUP_BYTES, mode: str = "errorifexists") -> None:
     """All columns of a layout with ``x, y``. Row groups of about ``group_bytes`` are what can be left out."""
-    _write(positions, "x", "y", path, group_bytes, mode)
+    _write(positions, "x", "y", positions, path, group_bytes, mode)
 
 
 def read_places(spark: SparkSession, path: str, box: Box) -> DataFrame:
@@ -54,7 +54,7 @@ def read_places(spark: SparkSession, path: str, box: Box) -> DataFrame:
 
 def write_edges(distances: DataFrame, positions: DataFrame, path: str, group_bytes: int = GROUP_BYTES, mode: str = "errorifexists", salts: int = 1) -> None:
     """Recorded distances with ``x1, y1, x2, y2`` of both ends; edges naming an unknown place are not kept."""
-    _write(with_endpoints(distances, positions, salts), "x1", "y1", path, group_bytes, mode)
+    _write(with_endpoints(distances, positions, salts), "x1", "y1", positions, path, group_bytes, mode)
 
 
 def read_edges(spark: SparkSession, path: str, box: Box) -> DataFrame:

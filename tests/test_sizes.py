@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from conftest import DISTANCES, POSITIONS, SMALL
+from placemap.operators import metrics
 from placemap.operators.joins import beside_runs
+from placemap.sources import zoom
 from placemap.sources.writers import write_layers
 from workload import QUERIES
 from workload.file_queries import _layers
@@ -47,3 +49,24 @@ def test_values_of_many_runs_are_not_broadcast(spark):
     many = beside_runs(table, values, limit=3)
     assert "SortMergeJoin" in plan(many) and "Broadcast" not in plan(many)
     assert sorted(map(tuple, many.collect())) == sorted((i % 20, i, 80 + i % 20) for i in range(100))
+
+
+def test_the_square_of_stored_edges_needs_no_join(spark, table, tmp_path, monkeypatch):
+    """Before, the edges were joined with both ends once for the square and once for the rows."""
+    positions = table(POSITIONS, [(0, "a", 1.0, 2.0), (0, "b", 5.0, 9.0), (0, "c", float("inf"), 0.0)])
+    edges = table(DISTANCES, [(0, "a", "b", 3, 3), (0, "b", "a", 4, 4), (0, "a", "unknown", 5, 5)])
+    plans, first = [], type(positions).first
+    monkeypatch.setattr(type(positions), "first", lambda rows: plans.append(plan(rows)) or first(rows))
+    zoom.write_edges(edges, positions, str(tmp_path / "edges"))
+    assert plans and not any("Join" in p for p in plans)
+    found = zoom.read_edges(spark, str(tmp_path / "edges"), (0.0, 0.0, 9.0, 9.0))
+    assert sorted((r.place_a, r.place_b, r.x1, r.y2) for r in found.collect()) == [("a", "b", 1.0, 9.0), ("b", "a", 5.0, 2.0)]
+
+
+@pytest.mark.parametrize("name, module, step", [("edge_error_topk_large", metrics, "stored"), ("edge_error_zoom_stored", zoom, "_write")])
+def test_places_are_not_broadcast_into_written_steps(spark, monkeypatch, name, module, step):
+    """Before, tables of places went through the driver into what is written on the way."""
+    plans, write = [], getattr(module, step)
+    monkeypatch.setattr(module, step, lambda rows, *rest: plans.append(plan(rows)) or write(rows, *rest))
+    QUERIES[name](spark, SMALL).collect()
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
